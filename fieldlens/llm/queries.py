@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import language_id, quality_rules, sentencepiece_codec, toxicity
+from fieldlens.llm import language_id, quality_rules, sentencepiece_codec, sharding, toxicity
 from fieldlens.plans.lineage import materialize
 from fieldlens.plans.tables import table
 
@@ -24,6 +24,10 @@ def fold(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.kd_shards(table(spark, folder, "documents"))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", fold(4) == 2)
     model = language_id.train(docs.filter(~F.col("held_out")), "text", "lang")
@@ -48,6 +52,7 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op7_toxicity": op7_toxicity,
