@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import language_id, packing, quality_rules, sentencepiece_codec, sharding, toxicity
+from fieldlens.llm import language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, toxicity
 from fieldlens.plans.lineage import materialize
 from fieldlens.plans.tables import table
 
@@ -41,6 +41,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"), ["doc_id"], length=200)
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
