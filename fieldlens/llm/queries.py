@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, toxicity
+from fieldlens.llm import language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, topk, toxicity
 from fieldlens.plans.lineage import materialize
 from fieldlens.plans.tables import table
 
@@ -59,6 +59,10 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -67,6 +71,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_topk": op9_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id <> v.vec_id
+            WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
