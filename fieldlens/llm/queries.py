@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, topk, toxicity
+from fieldlens.llm import html_text, language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, topk, toxicity
 from fieldlens.plans.lineage import materialize
 from fieldlens.plans.tables import table
 
@@ -63,6 +63,10 @@ def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_topk": op9_topk,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
