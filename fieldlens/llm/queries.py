@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import html_text, language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, topk, toxicity
+from fieldlens.llm import html_text, jaccard_join, language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, topk, toxicity
 from fieldlens.plans.lineage import materialize
 from fieldlens.plans.tables import table
 
@@ -45,6 +45,10 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, folder, "documents"), ["doc_id"], length=200)
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.components(table(spark, folder, "documents"), n=5, similarity=(80, 100))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
