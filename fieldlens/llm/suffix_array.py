@@ -44,7 +44,7 @@ def induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     head = np.cumsum(counts) - counts
     tail = head + counts
     used = np.flatnonzero(counts)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     by_code = np.bincount(s[seeds], minlength=256) if len(seeds) else np.zeros(256, np.int64)
     seed_of = seeds[np.argsort(s[seeds], kind="stable")]
     seed_at = np.concatenate(([0], np.cumsum(by_code)))
@@ -94,7 +94,7 @@ def _order_names(names: np.ndarray) -> np.ndarray:
         after = np.zeros(len(rank), np.int64)
         after[:-width] = rank[width:] + 1
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate(([0], np.cumsum(np.diff(key[order]) > 0)))
         rank = np.empty(len(order), np.int64)
         rank[order] = fresh

@@ -2,20 +2,22 @@
 
 Every byte covered by a ``length``-byte string that also starts anywhere else
 (in another text or the same one) is removed. The corpus is not sorted as one
-string. Any window of ``length`` bytes holds an anchor, the k-byte string with
-the smallest hash in it, and equal windows hold equal anchors at equal places.
-So it is enough to compare, for every anchor seen twice, the contexts around
-it: all bytes that a window with this anchor can reach.
-
-1. Anchors with a hash of their context are counted. Equal contexts are
-   merged before anything is shuffled further: a context seen twice is
-   repeated as a whole, and one copy of it stands for all.
-2. Contexts that share an anchor but differ meet in a shard chosen by the
-   anchor. Each shard's suffix array (induced sorting) and permuted common
-   prefixes give the windows that occur at two places or more.
-3. An anchor with very many different contexts (a common passage between
-   unlike neighbours) would overfill a shard. Its windows are counted by hash
-   instead, as rows spread over all tasks: exact as well, without a group.
+string. Each window of ``length`` bytes has an anchor: the k-byte string in it
+with the smallest hash, the first one of equals. Equal windows have equal
+anchors at equal places, so only windows with the same anchor need comparing.
+Consecutive windows with one anchor form a context, the unit of work.
+
+1. Anchors with a hash of their context are counted. Equal contexts are merged
+   before anything is shuffled further: a context seen twice is repeated as a
+   whole, and one copy of it stands for all.
+2. Unlike contexts with the same anchor are split by where a window reaches
+   farther from the anchor, left or right, and meet by a hash of anchor and the
+   bytes on that side. Those that meet another go to a shard. Each shard's
+   suffix array (induced sorting) and permuted common prefixes give the windows
+   that occur at two places or more.
+3. A meeting of very many unlike contexts would overfill a shard. Its windows
+   are counted by hash instead, as rows spread over all tasks: exact as well,
+   without a group.
 4. Each text's covered ranges are merged and cut out.
 
 A text is identified by a 64-bit hash of id and bytes; equal rows count as two
@@ -51,30 +53,37 @@ def _slide(x: np.ndarray, w: int, op: np.ufunc, empty: int) -> np.ndarray:
     return op(down[:n], up[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, position in the text, anchor hash and context hash of all anchors."""
-    none = np.zeros(0, np.int64)
-    w = length - ANCHOR + 1
-    if len(data) < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+#: Low bits of a window key hold a position in the buffer.
+_PLACE = np.uint64((1 << 28) - 1)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """One entry per context: text number, first and last window start and anchor position (all in the text), hashes of anchor, context and the bytes left and right of the anchor (0: no window reaches half of the rest there)."""
+    names = ("doc", "low", "high", "at", "anchor", "context", "left", "right")
+    if len(data) < length or not (np.diff(offsets) >= length).any():
+        return {k: np.zeros(0, np.int64) for k in names}
+    if len(data) > int(_PLACE):
+        raise ValueError("texts of 256 MB and more are not supported")
     roll = tk.Rolling(data)
-    h = roll.windows(ANCHOR) | np.uint64(1)
-    least = _slide(h, w, np.minimum, 2**64 - 1)
-    n = len(least)
-    valid = np.zeros(n + 1, np.int32)
+    h = roll.windows(ANCHOR)
+    least = _slide((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - ANCHOR + 1, np.minimum, 2**64 - 1)
     sizes = np.diff(offsets)
     long = sizes >= length
-    np.add.at(valid, offsets[:-1][long], 1)
-    np.add.at(valid, offsets[1:][long] - length + 1, -1)
-    least[np.cumsum(valid[:n]) == 0] = 0
-    edge = np.zeros(w - 1, np.uint64)
-    most = _slide(np.concatenate((edge, least, edge)), w, np.maximum, 0)
-    at = np.flatnonzero(most == h)
-    doc = np.searchsorted(offsets, at, "right") - 1
-    low = np.maximum(offsets[doc], at - (length - ANCHOR))
-    high = np.minimum(offsets[doc + 1], at + length)
-    shape = (at - low).astype(np.uint64) * np.uint64(1 << 20) + (high - at).astype(np.uint64)
-    return doc, at - offsets[doc], h[at], tk.mix(roll.of(low, high) ^ tk.mix(shape))
+    edge = np.zeros(len(least) + 1, np.int32)
+    np.add.at(edge, offsets[:-1][long], 1)
+    np.add.at(edge, offsets[1:][long] - length + 1, -1)
+    start = np.flatnonzero(np.cumsum(edge[: len(least)]) > 0)
+    at = (least[start] & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    low, high, at = start[first], start[np.concatenate((first[1:], [len(start)])) - 1], at[first]
+    half = (length - ANCHOR) // 2
+    context = tk.mix(roll.of(low, high + length) ^ tk.mix((at - low).astype(np.uint64) * np.uint64(1 << 20) + (high - low).astype(np.uint64)))
+    left = np.where(at - low >= half, roll.of(np.maximum(at - half, 0), at) | np.uint64(1), np.uint64(0))
+    end = np.minimum(at + length - half, len(data))
+    right = np.where(at - high < half, roll.of(at + ANCHOR, end) | np.uint64(1), np.uint64(0))
+    doc = np.searchsorted(offsets, low, "right") - 1
+    base = offsets[doc]
+    return dict(zip(names, (doc, low - base, high - base, at - base, h[at], context, left, right), strict=True))
 
 
 def repeated_windows(contexts: list[bytes], owner: np.ndarray, start: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,46 +125,56 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.withColumn("__data", data).withColumn("__rid", F.xxhash64(F.col(id_col), F.col("__data")))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 2 << 20, most_contexts: int = 1000) -> DataFrame:
-    """rid, spans: for each text with repeated strings, its covered byte ranges (start, end), unmerged."""
-    reach = length - ANCHOR
+def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20, most_contexts: int = 1000) -> DataFrame:
+    """rid, spans: for each text with repeated strings, its covered byte ranges (low, high), unmerged."""
+    half = (length - ANCHOR) // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.raw(batch.column(1).cast(pa.binary()).view(pa.string()))
             rid = batch.column(0).to_numpy()
             for a, _, d, o in tk.chunks(data, offsets):
-                doc, pos, anchor, context = anchors(d, o, length)
-                size = np.diff(o)[doc]
-                cols = [anchor.view(np.int64), context.view(np.int64), rid[a + doc], pos.astype(np.int32), np.maximum(pos - reach, 0).astype(np.int32), np.minimum(pos + length, size).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "rid", "pos", "low", "high"])
+                x = anchors(d, o, length)
+                # first window, anchor's distance from it and number of further windows in one number; so are the two sides
+                place = (x["low"] << 20) | ((x["at"] - x["low"]) << 10) | (x["high"] - x["low"])
+                sides = (x["left"].astype(np.uint64) >> np.uint64(32) << np.uint64(32)) | (x["right"].astype(np.uint64) >> np.uint64(32))
+                cols = [x["anchor"].view(np.int64), x["context"].view(np.int64), rid[a + x["doc"]], place, sides.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "rid", "place", "sides"])
 
     texts = _keyed(docs, text_col, id_col)
-    found = texts.filter(F.octet_length("__data") >= length).select("__rid", "__data").mapInArrow(find, "anchor long, context long, rid long, pos int, low int, high int")
+    found = texts.filter(F.octet_length("__data") >= length).select("__rid", "__data").mapInArrow(find, "anchor long, context long, rid long, place long, sides long")
     # anchors seen once can't be part of a repetition
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1").select(F.col("anchor").alias("a"), (F.col("c0") == F.col("c1")).alias("alike"))
+    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1")
+    again = materialize(again.select(F.col("anchor").alias("a"), (F.col("c0") == F.col("c1")).alias("alike")))
     shared = materialize(found.join(again, F.col("anchor") == F.col("a")).drop("a"))
+    low, first, more = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023), F.col("place").bitwiseAND(1023)
+    span = [low.cast("int").alias("low"), (low + more + length).cast("int").alias("high")]
 
     unlike = shared.filter(~F.col("alike"))
-    kinds = materialize(unlike.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "pos", "low", "high")).alias("one")))
+    kinds = materialize(unlike.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "place", "sides")).alias("one")))
     many = kinds.filter("copies > 1").select(F.col("anchor").alias("a"), F.col("context").alias("c"))
-    whole = shared.filter("alike").select("rid", "low", "high").unionByName(unlike.join(many, (F.col("anchor") == F.col("a")) & (F.col("context") == F.col("c"))).select("rid", "low", "high"))
-
-    # contexts that differ around the same anchor
-    crowd = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > most_contexts).select(F.col("anchor").alias("a"), F.lit(True).alias("crowded"))
-    n_shards = max(1, -(-kinds.count() * (length + reach) // shard_bytes))
-    members = kinds.join(crowd, F.col("anchor") == F.col("a"), "left").select("anchor", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"), "one.rid", "one.low", "one.high")
-    wanted = members.groupBy("rid").agg(F.collect_set(F.struct("low", "high", "copies", "anchor", "crowded")).alias("cuts"))
+    whole = shared.filter("alike").select("rid", *span).unionByName(unlike.join(many, (F.col("anchor") == F.col("a")) & (F.col("context") == F.col("c"))).select("rid", *span))
+
+    # windows whose anchor begins at least half of the rest behind their start meet by the bytes left of it, the others by those right of it
+    one = kinds.select("anchor", "copies", "one.*")
+    side = lambda name, value, begin, end: one.filter(value != 0).select(F.xxhash64("anchor", F.lit(name), value).alias("meeting"), "copies", "rid", begin.cast("int").alias("low"), (end + length).cast("int").alias("high"))
+    at = low + first
+    left = side("left", F.shiftrightunsigned("sides", 32), low, F.least(low + more, at - half))
+    right = side("right", F.col("sides").bitwiseAND(0xFFFFFFFF), F.greatest(low, at - half + 1), low + more)
+    members = left.unionByName(right)
+    crowd = members.groupBy("meeting").agg(F.count(F.lit(1)).alias("contexts"), F.min("copies").alias("fewest")).filter("contexts > 1 and fewest = 1").select(F.col("meeting").alias("m"), (F.col("contexts") > most_contexts).alias("crowded"))
+    members = materialize(members.join(crowd, F.col("meeting") == F.col("m")).drop("m"))
+    n_shards = max(1, -(-(members.agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0) // shard_bytes))
+    wanted = members.groupBy("rid").agg(F.collect_set(F.struct("low", "high", "copies", "meeting", "crowded")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, data, cuts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seen = {(c["anchor"], c["low"], c["high"]): c for c in cuts}.values()
-                yield pa.RecordBatch.from_pylist([{"shard": c["anchor"] % n_shards, "anchor": c["anchor"], "crowded": c["crowded"], "copies": c["copies"], "rid": rid, "low": c["low"], "bytes": data[c["low"] : c["high"]]} for c in seen], schema=shape)
+            rows = [(c["meeting"] % n_shards, c["meeting"], c["crowded"], c["copies"], rid, c["low"], data[c["low"] : c["high"]]) for rid, data, cuts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for c in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(shape)], schema=shape)
 
-    shape = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("crowded", pa.bool_()), ("copies", pa.int64()), ("rid", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])
+    shape = pa.schema([("shard", pa.int64()), ("meeting", pa.int64()), ("crowded", pa.bool_()), ("copies", pa.int64()), ("rid", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])
     one_of_each = texts.select("__rid", "__data").join(wanted, F.col("__rid") == F.col("rid")).select("rid", F.col("__data").alias("data"), "cuts")
-    contexts = materialize(one_of_each.mapInArrow(cut, "shard long, anchor long, crowded boolean, copies long, rid long, low int, bytes binary"))
+    contexts = materialize(one_of_each.mapInArrow(cut, "shard long, meeting long, crowded boolean, copies long, rid long, low int, bytes binary"))
 
     def sort_shard(table: pa.Table) -> pa.Table:
         rid, low, copies = (table.column(c).to_numpy() for c in ("rid", "low", "copies"))
@@ -174,13 +193,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 n = np.maximum(np.diff(o) - length + 1, 0)
                 at = tk.ragged(o[:-1], n)
                 row = np.repeat(np.arange(a, b), n)
-                anchor, copies, rid, low = (batch.column(i).to_numpy()[row] for i in range(4))
+                meeting, copies, rid, low = (batch.column(i).to_numpy()[row] for i in range(4))
                 start = low + at - o[row - a]
-                h = tk.Rolling(d).of(at, at + length) ^ tk.mix(anchor.view(np.uint64))
+                h = tk.Rolling(d).of(at, at + length) ^ tk.mix(meeting.view(np.uint64))
                 place = tk.mix(rid.view(np.uint64) ^ tk.mix(start.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), place.view(np.int64), copies, rid, start.astype(np.int32))], ["h", "place", "copies", "rid", "low"])
 
-    crowded = contexts.filter("crowded").select("anchor", "copies", "rid", "low", "bytes").mapInArrow(windows, "h long, place long, copies long, rid long, low int")
+    crowded = contexts.filter("crowded").select("meeting", "copies", "rid", "low", "bytes").mapInArrow(windows, "h long, place long, copies long, rid long, low int")
     twice = crowded.groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.max("copies").alias("c")).filter("p0 <> p1 or c > 1").select(F.col("h").alias("k"))
     counted = crowded.filter("copies = 1").join(twice, F.col("h") == F.col("k")).select("rid", "low", (F.col("low") + length).alias("high"))
     return whole.unionByName(sorted_out).unionByName(counted).groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
@@ -198,7 +217,7 @@ def merged(spans: list[dict], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """The ``keep`` columns, n_bytes, n_removed, n_spans and kept_sha256 of every row; with_text adds the remaining bytes.
+    """The ``keep`` columns, n_bytes, n_removed, n_spans and kept_sha256 of every row; with_text adds the remaining text, without bytes of characters that were cut in half (null text: empty).
 
     All columns are of the input's rows; nothing is dropped, repeated or reordered within a row.
     """
@@ -212,11 +231,11 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "do
             for data, spans in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 low, high = merged(spans or [], len(data))
                 rest = b"".join([data[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)], strict=True)])
-                for column, v in zip(out, (len(data), len(data) - len(rest), len(low), hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                for column, v in zip(out, (len(data), len(data) - len(rest), len(low), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else ""), strict=True):
                     column.append(v)
             cols = [*(batch.column(i) for i in range(n)), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.binary())] * with_text, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_text)
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.string())] * with_text, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     joined = texts.select(*keep, "__rid", "__data").join(spans, F.col("__rid") == F.col("rid"), "left").select(*keep, "__data", "spans")
-    return joined.mapInArrow(finish, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
+    return joined.mapInArrow(finish, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
