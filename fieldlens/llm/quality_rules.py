@@ -74,16 +74,17 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns and the statistics of the whole text, as longs."""
+    """The ``keep`` columns and the statistics of the whole text, as longs. ``keep`` must not have their names."""
+    columns = keep if text_col in keep else [*keep, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tk.raw(batch.column(batch.num_columns - 1))
+            data, offsets = tk.raw(batch.column(columns.index(text_col)))
             rows = np.concatenate([np.zeros((0, 12), np.int64), *(statistics(d, o) for _, _, d, o in tk.chunks(data, offsets))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*keep, *_COUNTS, *_EXTRA])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*keep, *_COUNTS, *_EXTRA])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, ", ".join([kinds, *(f"{c} long" for c in _COUNTS + _EXTRA)]))
+    return docs.select(*columns).mapInArrow(run, ", ".join([kinds, *(f"{c} long" for c in _COUNTS + _EXTRA)]))
 
 
 def base_failed() -> Column:
@@ -189,18 +190,21 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], least_precision: flo
     return rules
 
 
-def train(stats: DataFrame, label_col: str = "quality", most_rows: int = 20000) -> list[Rule]:
-    """Rules from labelled rows (0: low quality) that pass the base rule.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 20000) -> list[Rule]:
+    """Rules from labelled documents (0: low quality) that pass the base rule.
 
-    Bounded: at most about ``most_rows`` rows of rates, picked by a hash, reach the driver.
+    Bounded: about ``most_rows`` labels, picked by a hash, are broadcast to
+    their texts, and only those rows' rates reach the driver. Labels that are
+    null or have no document are left out.
     """
     names = [*RATES, *PLAIN]
-    rows = stats.filter(F.col(label_col).isNotNull() & ~base_failed())
-    n = rows.count()
-    pick = F.pmod(F.xxhash64(*_COUNTS, *_EXTRA), F.lit(2**31)) < int(min(1.0, most_rows / max(n, 1)) * 2**31)
-    got = rows.filter(pick).limit(2 * most_rows).select(*(rate(c).alias(c) for c in names), (F.col(label_col) == 0).alias("bad")).toArrow()
+    marks = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) == 0).alias("__bad"))
+    n = marks.count()
+    picked = marks.filter(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(2**31)) < int(min(1.0, most_rows / max(n, 1)) * 2**31)).limit(2 * most_rows)
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__bad", "__text")
+    got = with_statistics(rows, ["__bad"], "__text").filter(~base_failed()).select(*(rate(c).alias(c) for c in names), "__bad").toArrow()
     x = np.stack([got[c].to_numpy() for c in names], 1) if len(got) else np.zeros((0, len(names)))
-    bad = got["bad"].to_numpy(zero_copy_only=False).astype(bool)
+    bad = got["__bad"].to_numpy(zero_copy_only=False).astype(bool)
     order = np.lexsort((bad, *x.T))
     return learn(x[order], bad[order], names) if len(x) else []
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm import html_text, jaccard_join, language_id, packing, quality_rules, sentencepiece_codec, sharding, suffix_dedup, topk, toxicity
-from fieldlens.plans.lineage import materialize
 from fieldlens.plans.tables import table
 
 
@@ -35,9 +34,9 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    stats = materialize(quality_rules.with_statistics(table(spark, folder, "documents"), ["doc_id"]))
-    labels = table(spark, folder, "labels").select("doc_id", "quality")
-    rules = quality_rules.train(stats.join(labels, "doc_id"))
+    docs = table(spark, folder, "documents")
+    rules = quality_rules.train(docs, table(spark, folder, "labels"))
+    stats = quality_rules.with_statistics(docs, ["doc_id"])
     return quality_rules.apply(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 

@@ -162,7 +162,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     left = side("left", F.shiftrightunsigned("sides", 32), low, F.least(low + more, at - half))
     right = side("right", F.col("sides").bitwiseAND(0xFFFFFFFF), F.greatest(low, at - half + 1), low + more)
     members = left.unionByName(right)
-    crowd = members.groupBy("meeting").agg(F.count(F.lit(1)).alias("contexts"), F.min("copies").alias("fewest")).filter("contexts > 1 and fewest = 1").select(F.col("meeting").alias("m"), (F.col("contexts") > most_contexts).alias("crowded"))
+    crowd = members.groupBy("meeting").agg(F.count(F.lit(1)).alias("contexts"), F.min("copies").alias("fewest")).filter("contexts > 1 and fewest = 1")
+    crowd = materialize(crowd.select(F.col("meeting").alias("m"), (F.col("contexts") > most_contexts).alias("crowded")))
     members = materialize(members.join(crowd, F.col("meeting") == F.col("m")).drop("m"))
     n_shards = max(1, -(-(members.agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0) // shard_bytes))
     wanted = members.groupBy("rid").agg(F.collect_set(F.struct("low", "high", "copies", "meeting", "crowded")).alias("cuts"))
@@ -199,10 +200,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 place = tk.mix(rid.view(np.uint64) ^ tk.mix(start.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), place.view(np.int64), copies, rid, start.astype(np.int32))], ["h", "place", "copies", "rid", "low"])
 
-    crowded = contexts.filter("crowded").select("meeting", "copies", "rid", "low", "bytes").mapInArrow(windows, "h long, place long, copies long, rid long, low int")
-    twice = crowded.groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.max("copies").alias("c")).filter("p0 <> p1 or c > 1").select(F.col("h").alias("k"))
-    counted = crowded.filter("copies = 1").join(twice, F.col("h") == F.col("k")).select("rid", "low", (F.col("low") + length).alias("high"))
-    return whole.unionByName(sorted_out).unionByName(counted).groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = whole.unionByName(sorted_out)
+    if not crowd.filter("crowded").isEmpty():
+        crowded = materialize(contexts.filter("crowded").select("meeting", "copies", "rid", "low", "bytes").mapInArrow(windows, "h long, place long, copies long, rid long, low int"))
+        twice = crowded.groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.max("copies").alias("c")).filter("p0 <> p1 or c > 1").select(F.col("h").alias("k"))
+        counted = crowded.filter("copies = 1").join(materialize(twice), F.col("h") == F.col("k"))
+        spans = spans.unionByName(counted.select("rid", "low", (F.col("low") + length).alias("high")))
+    return spans.groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def merged(spans: list[dict], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,5 +241,6 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "do
             yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.string())] * with_text, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    joined = texts.select(*keep, "__rid", "__data").join(spans, F.col("__rid") == F.col("rid"), "left").select(*keep, "__data", "spans")
+    spans = spans.select(F.col("rid").alias("__of"), F.col("spans").alias("__spans"))
+    joined = texts.select(*keep, "__rid", "__data").join(spans, F.col("__rid") == F.col("__of"), "left").select(*keep, "__data", "__spans")
     return joined.mapInArrow(finish, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
