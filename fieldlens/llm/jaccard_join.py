@@ -65,9 +65,22 @@ def _packed(group: np.ndarray, n_groups: int, owner: np.ndarray, sids: np.ndarra
         yield [g, sids[who].tobytes(), sizes[who].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), *(c[at].tobytes() for c in columns)]
 
 
+def _six_bytes(tokens: np.ndarray) -> np.ndarray:
+    """The low 48 bits: with the bucket's number, enough to tell the shingles of a bucket apart."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+
+
 def _unpack(table: pa.Table, kinds: list[type]) -> list[np.ndarray]:
     """sid and size of each entry, then the entry columns."""
-    read = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in table[name].to_pylist())])
+
+    def read(name: str, kind: type | str) -> np.ndarray:
+        found = np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in table[name].to_pylist())])
+        if kind == "V6":
+            wide = np.zeros((len(found), 8), np.uint8)
+            wide[:, :6] = found.view(np.uint8).reshape(-1, 6)
+            found = wide.view("<u8").ravel()
+        return found
+
     counts = read("counts", np.int32)
     return [np.repeat(read("sids", np.int64), counts), np.repeat(read("sizes", np.int32), counts), *(read(f"c{i}", k) for i, k in enumerate(kinds))]
 
@@ -76,7 +89,7 @@ def _batch(rows: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(names)))], names)
 
 
-def live_sets(docs: DataFrame, total: int, n: int, num: int, den: int, text_col: str, bucket_entries: int = 2_000_000) -> DataFrame:
+def live_sets(docs: DataFrame, total: int, n: int, num: int, den: int, text_col: str, most_members: int, bucket_entries: int = 2_000_000) -> DataFrame:
     """Sets that may have a partner: sid, size, core (shared shingles in global order, packed), scan, subsets.
 
     scan and subsets are the estimated work of the set as a large or a small one.
@@ -95,12 +108,13 @@ def live_sets(docs: DataFrame, total: int, n: int, num: int, den: int, text_col:
                     continue
                 flat = np.concatenate(sets)
                 bucket = (flat >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(flat), np.uint16)
-                rows = list(_packed(bucket, buckets, np.repeat(np.arange(len(sets)), sizes), np.array([set_hash(s) for s in sets], np.int64), sizes, [flat]))
+                rows = list(_packed(bucket, buckets, np.repeat(np.arange(len(sets)), sizes), np.array([set_hash(s) for s in sets], np.int64), sizes, [_six_bytes(flat)]))
                 yield _batch(rows, [*heads, "c0"])
 
     def count(table: pa.Table) -> pa.Table:
-        sid, size, tok = _unpack(table, [np.uint64])
-        order = np.argsort(tok, kind="stable")
+        sid, size, tok = _unpack(table, ["V6"])
+        tok |= np.uint64(table["bucket"][0].as_py() if len(table) else 0) << np.uint64(48)
+        order = np.argsort(tok)
         sid, size, tok = sid[order], size[order], tok[order]
         twin = np.concatenate((tok[1:] == tok[:-1], [False])) if len(tok) else np.zeros(0, bool)
         twin[1:] |= twin[:-1].copy()
@@ -130,7 +144,8 @@ def live_sets(docs: DataFrame, total: int, n: int, num: int, den: int, text_col:
         sid, size = sid[first], size[first]
         reach = size - _least_shared(size, num, den) + 1 - (size - core)  # of the first shared shingles, those within the stretch
         live = (reach > 0) & (size > 1)
-        cost = np.concatenate(([0], np.cumsum(df)))
+        # a list is paired off up to most_members; a longer one goes through blocks, where an entry costs about a hundredth
+        cost = np.concatenate(([0], np.cumsum(np.minimum(df, most_members) + df // 100)))
         out = []
         for i in np.flatnonzero(live).tolist():
             a, r, c = int(first[i]), int(reach[i]), int(core[i])
@@ -240,7 +255,8 @@ def _cluster_edges(postings: DataFrame, tops: DataFrame, live: DataFrame, known:
     """Edges among sets that share a long list. ``known``: the edges found so far."""
     stars = postings.join(tops, F.col("key") == F.col("top_key")).select(F.col("sid").alias("a"), F.col("top_sid").alias("b"))
     clusters = materialize(connected_components(stars).withColumnRenamed("root", "cluster"))
-    lanes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("lanes")).withColumnRenamed("cluster", "cl")
+    # one row per cluster, written first: so the joins to it are plain ones whose large keys Spark can split
+    lanes = materialize(clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("lanes")).withColumnRenamed("cluster", "cl"))
     member = clusters.join(lanes, F.col("cluster") == F.col("cl")).join(live.select("sid", "size", "core"), F.col("id") == F.col("sid"))
     member = materialize(member.select("cluster", "lanes", "sid", "size", "core", F.pmod(F.xxhash64("sid"), F.col("lanes")).alias("lane")))
     # hubs: the sets with the fewest shingles of their own are nearest to what the group has in common
@@ -253,9 +269,9 @@ def _cluster_edges(postings: DataFrame, tops: DataFrame, live: DataFrame, known:
     roots = connected_components(known.unionByName(first)).select(F.col("id"), "root")
     placed = materialize(member.join(roots, F.col("sid") == F.col("id"), "left").select("cluster", "lanes", "sid", "size", "core", F.coalesce("root", "sid").alias("root")))
     sizes = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select(F.col("cluster").alias("cl"), F.col("m.root").alias("main"))
+    main = materialize(sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select(F.col("cluster").alias("cl"), F.col("m.root").alias("main")))
     rest = placed.join(main, F.col("cluster") == F.col("cl")).filter("root <> main").select("cluster", "lanes", "sid", "size", "core")
-    parts = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")).select(F.col("cluster").alias("cl"), "parts")
+    parts = materialize(rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")).select(F.col("cluster").alias("cl"), "parts"))
     rest = rest.join(parts, F.col("cluster") == F.col("cl")).select("cluster", "sid", "size", "core", F.pmod(F.xxhash64("sid", F.lit("part")), F.col("parts")).alias("part"), each_lane)
     again = member.join(parts, F.col("cluster") == F.col("cl")).select("cluster", "lane", "sid", "size", "core", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"))
     return first.unionByName(_meet(again, rest, num, den))
@@ -266,7 +282,7 @@ def components(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 1
     num, den = similarity
     sets = materialize(set_table(docs, n, id_col, text_col))
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    live = materialize(live_sets(docs, total, n, num, den, text_col))
+    live = materialize(live_sets(docs, total, n, num, den, text_col, most_members))
     bound = boundary(live)
     postings = materialize(_keys(live, bound, num, den))
     lists = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("sid").alias("top_sid")).filter("members > 1").withColumnRenamed("key", "top_key"))
