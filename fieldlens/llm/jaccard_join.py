@@ -144,13 +144,13 @@ def live_sets(docs: DataFrame, total: int, n: int, num: int, den: int, text_col:
         sid, size = sid[first], size[first]
         reach = size - _least_shared(size, num, den) + 1 - (size - core)  # of the first shared shingles, those within the stretch
         live = (reach > 0) & (size > 1)
-        # a list is paired off up to most_members; a longer one goes through blocks, where an entry costs about a hundredth
-        cost = np.concatenate(([0], np.cumsum(np.minimum(df, most_members) + df // 100)))
+        # in pairs made: a key costs about four; a list is paired off up to most_members, a longer one goes through blocks, where an entry costs about a hundredth
+        cost = np.concatenate(([0], np.cumsum(np.where(df <= most_members, df // 2, df // 100) + 4)))
         out = []
         for i in np.flatnonzero(live).tolist():
             a, r, c = int(first[i]), int(reach[i]), int(core[i])
             two = min(r + 1, c)
-            out.append((int(sid[i]), int(size[i]), tok[a : a + c].tobytes(), int(cost[a + r] - cost[a]), two * (two - 1) // 2))
+            out.append((int(sid[i]), int(size[i]), tok[a : a + c].tobytes(), int(cost[a + r] - cost[a]), 2 * two * (two - 1)))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
         return pa.table({name: pa.array([r[j] for r in out], kinds[j]) for j, name in enumerate(("sid", "size", "core", "scan", "subsets"))})
 
