@@ -1,3 +1,3 @@
 """All queries outside the corpus operators; importing this package registers them."""
 
-from fieldlens.queries import aggregates, joins, ordered, scalars  # noqa: F401
+from fieldlens.queries import aggregates, joins, learning, ordered, rasters, reconciles, scalars, streams  # noqa: F401
