@@ -69,10 +69,11 @@ def threshold_sweep(df: DataFrame, value: str, positive: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: area under the ROC curve by average ranks, with rows pre-aggregated per score."""
-    per = df.groupBy(score).agg(count_if(F.col(positive)).alias("p"), count_if(~F.col(positive)).alias("q"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2.0)
-    return per.select("p", "q", wins.alias("w")).agg(F.round(ratio(F.sum("w"), (F.sum("p") * F.sum("q")).cast("double")), 6).alias("auc"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    per = df.groupBy(F.col(score).alias("__s")).agg(count_if(F.col(positive)).alias("__p"), count_if(~F.col(positive)).alias("__q"))
+    below = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.col("__p") * (F.coalesce(F.sum("__q").over(below), F.lit(0)) + F.col("__q") / 2.0)
+    p, q = F.sum("__p"), F.sum("__q")
+    return per.select("__p", "__q", wins.alias("__w")).agg(F.round(ratio(F.sum("__w"), (p * q).cast("double")), 6).alias("auc"), p.alias("n_pos"), q.alias("n_neg"))
 
 
 def odds_table(df: DataFrame, a: Column, b: Column) -> DataFrame:
