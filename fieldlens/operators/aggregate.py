@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.plans.prefix import running_totals
+
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
     """a / b; ``empty`` (or null) where b is 0."""
@@ -60,9 +62,8 @@ def threshold_sweep(df: DataFrame, value: str, positive: str) -> DataFrame:
     Counts are pre-aggregated per value, then accumulated.
     """
     per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("threshold")).agg(count_if(F.col(positive)).alias("p"), count_if(~F.col(positive)).alias("q"))
-    upto = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = per.select("threshold", F.sum("p").over(upto).alias("tp"), F.sum("q").over(upto).alias("fp"), F.sum("p").over(everything).alias("all_p"))
+    out = running_totals(per, "threshold", {"tp": "p", "fp": "q"})
+    out = out.join(F.broadcast(out.agg(F.max("tp").alias("all_p"))))  # one row
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), ratio(F.col("tp").cast("double"), F.col("all_p"), 0.0)
     return out.select("threshold", "tp", "fp", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(ratio(2 * F.col("tp").cast("double"), F.col("tp") + F.col("fp") + F.col("all_p"), 0.0), 6).alias("f1"))
 
@@ -70,10 +71,9 @@ def threshold_sweep(df: DataFrame, value: str, positive: str) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: area under the ROC curve by average ranks, with rows pre-aggregated per score."""
     per = df.groupBy(F.col(score).alias("__s")).agg(count_if(F.col(positive)).alias("__p"), count_if(~F.col(positive)).alias("__q"))
-    below = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("__p") * (F.coalesce(F.sum("__q").over(below), F.lit(0)) + F.col("__q") / 2.0)
+    wins = F.col("__p") * (F.col("__upto") - F.col("__q") / 2.0)
     p, q = F.sum("__p"), F.sum("__q")
-    return per.select("__p", "__q", wins.alias("__w")).agg(F.round(ratio(F.sum("__w"), (p * q).cast("double")), 6).alias("auc"), p.alias("n_pos"), q.alias("n_neg"))
+    return running_totals(per.filter("__s is not null"), "__s", {"__upto": "__q"}).select("__p", "__q", wins.alias("__w")).agg(F.round(ratio(F.sum("__w"), (p * q).cast("double")), 6).alias("auc"), p.alias("n_pos"), q.alias("n_neg"))
 
 
 def odds_table(df: DataFrame, a: Column, b: Column) -> DataFrame:

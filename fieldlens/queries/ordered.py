@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldlens.functions import geo
 from fieldlens.operators import ordered as O
 from fieldlens.operators import select as S
+from fieldlens.plans.prefix import running_totals
 from fieldlens.plans.tables import table
 from fieldlens.registry import query
 from fieldlens.sources import standins as T
@@ -219,9 +220,8 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     e = T.events(spark, d).select("area_ha", "p_a")
 
     def ranks(c: str) -> DataFrame:
-        n = e.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(F.col(c).alias(f"k_{c}"), (before + (F.col("n") + 1) / 2.0).alias(f"r_{c}"))
+        n = running_totals(e.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, {"upto": "n"})
+        return n.select(F.col(c).alias(f"k_{c}"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r_{c}"))
 
     a, p = ranks("area_ha"), ranks("p_a")
     return e.join(a, F.col("area_ha") == F.col("k_area_ha")).join(p, F.col("p_a") == F.col("k_p_a")).agg(F.round(F.corr("r_area_ha", "r_p_a"), 6).alias("spearman"))
