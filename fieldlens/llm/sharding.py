@@ -1,15 +1,16 @@
 """Sharding by k-d tree partitioning, with DataFrame functions only.
 
-Every row is a point: its size, source, language and id, each scaled to a
-range of whole numbers. A node with more than the target bytes is split at the
+Every row is a point: its source, language and id, each scaled to a range of
+whole numbers; its size is its weight. A node with more than the target bytes is split at the
 weighted median of its widest dimension, level by level, until every leaf
 holds the target. Ties in a dimension are broken by a hash of the row, so a
-source or a size that holds most rows splits as evenly as any other.
+source or language that holds most rows splits as evenly as any other.
 
 A median is found by descent over digits of the split coordinate: each pass
 sums the bytes of at most ``nodes x 1024`` digit values, so that is all that
 the driver sees, however many rows there are. All nodes of a level descend
-together.
+together. A large row at a median leaves the halves uneven; one row of each
+node, the one whose size is nearest to the excess, then changes sides.
 
 Null text has size 1 and the checksum of no bytes; null source, language or
 id count as the smallest value. Repeated rows are separate points.
@@ -38,7 +39,6 @@ def _points(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         crc.cast("long").alias("text_crc32"),
-        F.log2(F.octet_length(text) + 1.0).alias("d_size"),
         F.pmod(F.xxhash64(F.col(source_col)), F.lit(1 << 16)).cast("double").alias("d_source"),
         F.pmod(F.xxhash64(F.col(lang_col)), F.lit(1 << 16)).cast("double").alias("d_lang"),
         F.coalesce(F.col(id_col).cast("double"), F.lit(0.0)).alias("d_id"),
@@ -46,7 +46,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
     )
 
 
-DIMENSIONS = ("d_size", "d_source", "d_lang", "d_id")
+DIMENSIONS = ("d_source", "d_lang", "d_id")
 
 
 def _per_node(values: list, default: float = 0) -> Column:
@@ -68,7 +68,7 @@ def _split_level(rows: DataFrame, nodes: int, spans: dict[str, tuple[float, floa
     scaled = F.least(F.floor((value - _per_node(low)) / _per_node(span) * ((1 << SCALE) - 1)), F.lit((1 << SCALE) - 1))
     rows = materialize(rows.withColumn("at", scaled * (1 << TIE) + F.col("tie")))
 
-    known, below, half = [0] * nodes, [0] * nodes, None
+    known, below, reached, half = [0] * nodes, [0] * nodes, [0] * nodes, None
     for shift in range(SCALE + TIE - DIGIT, -1, -DIGIT):
         near = F.shiftright("at", shift + DIGIT) == _per_node(known)
         digit = F.shiftright("at", shift).bitwiseAND((1 << DIGIT) - 1)
@@ -84,9 +84,20 @@ def _split_level(rows: DataFrame, nodes: int, spans: dict[str, tuple[float, floa
             at = max(at, 0)
             known[node] = (known[node] << DIGIT) + (digits[at][0] if digits else 0)
             below[node] = running[at] if digits else below[node]
-            if shift == 0 and digits and half[node] - running[at] < running[at + 1] - half[node]:
-                known[node] -= 1  # the rows at the median go where the halves differ least
-    return rows.withColumn("node", F.col("node") * 2 + (F.col("at") > _per_node(known)).cast("int")).drop("at")
+            if shift == 0 and digits:
+                reached[node] = running[at + 1]
+                if half[node] - running[at] < running[at + 1] - half[node]:
+                    known[node] -= 1  # the rows at the median go where the halves differ least
+                    reached[node] = running[at]
+    lower = F.col("at") <= _per_node(known)
+    # what the halves still differ by is evened out by the one row whose size is nearest to the excess
+    excess = [r - h for r, h in zip(reached, half or [0.0] * nodes, strict=True)]
+    heavy = rows.filter(lower == _per_node([e > 0 for e in excess], False))
+    gap = F.abs(F.col("size") - F.abs(_per_node([float(e) for e in excess], 0.0)))
+    best = heavy.groupBy("node").agg(F.min(F.struct(gap.alias("gap"), F.col("row"))).alias("b")).collect()
+    moved = [r["b"]["row"] for r in best if r["b"]["gap"] < abs(excess[r["node"]])]
+    upper = ~lower if not moved else lower == F.col("row").isin(moved)
+    return rows.withColumn("node", F.col("node") * 2 + upper.cast("int")).drop("at")
 
 
 def kd_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -95,7 +106,7 @@ def kd_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col
     The target of a leaf is the total over 2**levels. Each row gets its shard, a
     gapless slot in it, its size and the checksum of its text.
     """
-    rows = materialize(_points(docs, id_col, text_col, source_col, lang_col).withColumn("node", F.lit(0)))
+    rows = materialize(_points(docs, id_col, text_col, source_col, lang_col).withColumns({"node": F.lit(0), "row": F.monotonically_increasing_id()}))
     first = rows.agg(*(f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max)))).first()
     spans = {d: (first[f"lo_{d}"] or 0.0, first[f"hi_{d}"] or 0.0) for d in DIMENSIONS}
     for level in range(levels):
