@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm import jaccard_join, packing, quality_rules, suffix_dedup, toxicity
-from fieldlens.llm.queries import tokenizer_path
+from fieldlens.llm.queries import fold, tokenizer_path
 from fieldlens.plans.lineage import materialize
 from fieldlens.plans.tables import table
 
@@ -26,9 +26,9 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic. It learns from the labelled ones among them."""
+    """Documents that the classifier doesn't call toxic. It learns from the labelled ones among them, those of op7's held-out fold left out."""
     rows, names, id_col, text_col = _numbered(docs)
-    labels = table(spark, folder, "labels").withColumnRenamed("doc_id", id_col)
+    labels = table(spark, folder, "labels").filter(fold(5) != 0).withColumnRenamed("doc_id", id_col)
     model = toxicity.train(rows, labels, id_col, text_col)
     return toxicity.score(rows, model, names, text_col).filter("predicted = 0").select(*names).toDF(*docs.columns)
 
