@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.withColumn("__data", data).withColumn("__rid", F.xxhash64(F.col(id_col), F.col("__data")))
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20, most_contexts: int = 1000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20, most_contexts: int = 1000, batch_bytes: int = 4 << 20) -> DataFrame:
     """rid, spans: for each text with repeated strings, its covered byte ranges (low, high), unmerged."""
     half = (length - ANCHOR) // 2
 
@@ -170,8 +171,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c["meeting"] % n_shards, c["meeting"], c["crowded"], c["copies"], rid, c["low"], data[c["low"] : c["high"]]) for rid, data, cuts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for c in cuts]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(shape)], schema=shape)
+            rows: list[tuple] = []
+            held = 0
+            for i in range(len(batch)):
+                rid, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for c in batch.column(2)[i].as_py():
+                    rows.append((c["meeting"] % n_shards, c["meeting"], c["crowded"], c["copies"], rid, c["low"], data[c["low"] : c["high"]]))
+                    held += c["high"] - c["low"]
+                if held > batch_bytes or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(shape)], schema=shape)
+                    rows, held = [], 0
 
     shape = pa.schema([("shard", pa.int64()), ("meeting", pa.int64()), ("crowded", pa.bool_()), ("copies", pa.int64()), ("rid", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])
     one_of_each = texts.select("__rid", "__data").join(wanted, F.col("__rid") == F.col("rid")).select("rid", F.col("__data").alias("data"), "cuts")
@@ -209,11 +218,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return spans.groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
-def merged(spans: list[dict], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal covered runs."""
-    if not spans:
+def merged(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that the ranges cover."""
+    if not len(low):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low, high = (np.array([s[k] for s in spans], np.int64) for k in ("low", "high"))
     edge = np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1)
     inside = np.concatenate(([False], np.cumsum(edge)[:size] > 0, [False]))
     flips = np.flatnonzero(inside[1:] != inside[:-1])
@@ -232,8 +240,12 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "do
         for batch in batches:
             n = batch.num_columns - 2
             out: list[list] = [[], [], [], [], []]
-            for data, spans in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                low, high = merged(spans or [], len(data))
+            flat, spans_of = batch.column(n + 1).flatten(), batch.column(n + 1).value_lengths().fill_null(0).to_numpy()
+            lows, highs = (pc.struct_field(flat, k).to_numpy().astype(np.int64) for k in ("low", "high"))
+            at = np.concatenate(([0], np.cumsum(spans_of)))
+            for i in range(len(batch)):  # one text and its ranges at a time, however many a batch has
+                data = batch.column(n)[i].as_py()
+                low, high = merged(lows[at[i] : at[i + 1]], highs[at[i] : at[i + 1]], len(data))
                 rest = b"".join([data[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)], strict=True)])
                 for column, v in zip(out, (len(data), len(data) - len(rest), len(low), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else ""), strict=True):
                     column.append(v)
