@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.operators.aggregate import binary_metrics
+
 
 def draw(*parts: Column) -> Column:
     """A fixed pseudo-random whole number below 2**32 for the parts: the first 8 hex digits of an md5."""
@@ -141,3 +143,49 @@ def shares_within(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """Counts of label within cluster with their share."""
     n = df.groupBy(cluster, label).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(cluster)), 6))
+
+
+def seeds_that_fit(groups: DataFrame, group: str, stratum: str, cohort: str, folds: int, seeds: list[int]) -> DataFrame:
+    """seed, fits: whether every fold of a seed's split holds every stratum of every cohort. All seeds are tried in one job.
+
+    ``groups`` has one row a group. A group's fold is its draw modulo ``folds``,
+    so no stratum is brought together, however large it is.
+    """
+    tried = groups.select(group, stratum, cohort, F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))).alias("seed"))
+    dealt = tried.withColumn("fold", draw(F.col("seed"), F.col(group)) % folds)
+    cells = dealt.select("seed", "fold", stratum, cohort).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("filled"))
+    wanted = groups.select(stratum, cohort).distinct().agg((F.count(F.lit(1)) * folds).alias("wanted"))
+    return cells.join(F.broadcast(wanted)).select("seed", (F.col("filled") == F.col("wanted")).alias("fits"))  # one row is broadcast
+
+
+def feature_grid(df: DataFrame, splits: DataFrame, group: str, label: str, variants: dict[str, list[str]], folds: int) -> DataFrame:
+    """variant, n, accuracy, macro_f1: scores of the out-of-fold predictions of each set of features. One fit a variant and fold."""
+    from fieldlens.plans.lineage import materialize
+
+    df, splits, out = materialize(df), materialize(splits), None  # every fit reads them again
+    for name, features in variants.items():
+        scored = out_of_fold(df, splits, group, label, logistic(features, label), folds)
+        row = scored.agg(*_scores(label)).select(F.lit(name).alias("variant"), "n", "accuracy", "macro_f1")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _scores(label: str) -> list[Column]:
+    """Metrics of the predictions p >= 0.5."""
+    return binary_metrics(F.col(label) == 1, F.col("p") >= 0.5)
+
+
+def compare_training_sets(df: DataFrame, splits: DataFrame, group: str, label: str, features: list[str], training: dict[str, Column], folds: int) -> DataFrame:
+    """training, n, accuracy, macro_f1: models that learn from different parts of the rows, each scored on all rows of the fold left out."""
+    from fieldlens.plans.lineage import materialize
+
+    joined, out = materialize(df.join(splits.select(group, "fold"), group)), None  # every fit reads it again
+    for name, part in training.items():
+        scored = None
+        for k in range(folds):
+            model = logistic(features, label).fit(joined.filter((F.col("fold") != k) & part))
+            p = model.transform(joined.filter(F.col("fold") == k)).select(label, vector_to_array("probability")[1].alias("p"))
+            scored = p if scored is None else scored.unionByName(p)
+        row = scored.agg(*_scores(label)).select(F.lit(name).alias("training"), "n", "accuracy", "macro_f1")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -1,3 +1,3 @@
 """All queries outside the corpus operators; importing this package registers them."""
 
-from fieldlens.queries import aggregates, joins, learning, more, ordered, rasters, reconciles, scalars, streams, upkeep  # noqa: F401
+from fieldlens.queries import aggregates, designs, joins, learning, more, ordered, rasters, reconciles, scalars, streams, upkeep  # noqa: F401

@@ -14,7 +14,9 @@ from fieldlens.queries.learning import DRAW
 from fieldlens.registry import query
 from fieldlens.sources import standins as T
 
-N = F.count(F.lit(1)).alias("n")
+
+def counted() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("q_enriched_events", """
@@ -58,7 +60,7 @@ def mismatch_offsets(spark: SparkSession, d: str) -> DataFrame:
     m = e.filter("review_class = 'YEAR_MISMATCH'").select("sample_id", "event_year", F.when(k == 0, -1).when(k == 1, 1).when(k == 2, 0).alias("shift"))
     there = e.select(F.col("sample_id").alias("s"), F.col("event_year").alias("y"), "review_class")
     joined = m.join(there, (F.col("sample_id") == F.col("s")) & (F.col("event_year") + F.col("shift") == F.col("y")), "left")
-    return joined.groupBy(F.coalesce(F.col("shift").cast("string"), F.lit("unknown")).alias("shift"), F.coalesce("review_class", F.lit("ABSENT")).alias("found")).agg(N)
+    return joined.groupBy(F.coalesce(F.col("shift").cast("string"), F.lit("unknown")).alias("shift"), F.coalesce("review_class", F.lit("ABSENT")).alias("found")).agg(counted())
 
 
 def wildfire_probability(scores: Column, label: Column, confidence: Column) -> Column:
@@ -89,7 +91,7 @@ def matrix_report(spark: SparkSession, d: str) -> DataFrame:
     """Checks of a feature matrix before learning: sizes, zero rows and norms of each class."""
     z = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     v = table(spark, d, "embeddings").select("label", F.size("embedding").cast("long").alias("dim"), z.alias("z"))
-    return v.groupBy("label").agg(N, F.min("dim").alias("least_dim"), F.max("dim").alias("most_dim"), F.count_if(F.col("z") == 0).alias("zero_rows"), F.round(F.min(F.sqrt("z")), 4).alias("least_norm"), F.round(F.max(F.sqrt("z")), 4).alias("most_norm"))
+    return v.groupBy("label").agg(counted(), F.min("dim").alias("least_dim"), F.max("dim").alias("most_dim"), F.count_if(F.col("z") == 0).alias("zero_rows"), F.round(F.min(F.sqrt("z")), 4).alias("least_norm"), F.round(F.max(F.sqrt("z")), 4).alias("most_norm"))
 
 
 @query("q_event_spectra", f"""
@@ -127,8 +129,8 @@ def cohort_dynamics(spark: SparkSession, d: str) -> DataFrame:
     base = e.filter("event_year < 1996").select("event_id")
     now = e.filter("event_year >= 1994")
     parts = {"BASELINE": e.join(base, "event_id", "left_semi"), "CURRENT": now, "ADDED": now.join(base, "event_id", "left_anti"), "KEPT": now.join(base, "event_id", "left_semi")}
-    counted = [df.groupBy("review_class").agg(N).select(F.lit(name).alias("cohort"), "review_class", "n") for name, df in parts.items()]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+    tables = [df.groupBy("review_class").agg(counted()).select(F.lit(name).alias("cohort"), "review_class", "n") for name, df in parts.items()]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
 
 
 @query("q_sample_events", f"""
@@ -174,7 +176,7 @@ def masks_to_create(spark: SparkSession, d: str) -> DataFrame:
     s = T.samples(spark, d).select("sample_id")
     todo, done = s.join(ready, "sample_id", "left_anti"), s.join(ready, "sample_id", "left_semi")
     both = todo.withColumn("action", F.lit("create")).unionByName(done.withColumn("action", F.lit("ready")))
-    return both.groupBy("action").agg(N)
+    return both.groupBy("action").agg(counted())
 
 
 @query("q_auto_exclusions", """
@@ -185,7 +187,7 @@ def auto_exclusions(spark: SparkSession, d: str) -> DataFrame:
     s = T.scenes(spark, d)
     reviewed = s.filter("flag <> 'N'").select("scene_id", "flag")
     auto = s.filter("cloud > 0.08").select("scene_id", F.lit("A").alias("flag"))
-    return reviewed.unionByName(R.insert_missing(reviewed, auto, ["scene_id"])).groupBy("flag").agg(N)
+    return reviewed.unionByName(R.insert_missing(reviewed, auto, ["scene_id"])).groupBy("flag").agg(counted())
 
 
 PRIORITY = ("NODATA", "CLOUD", "SHADOW", "DARK")
@@ -199,7 +201,7 @@ def primary_reason(spark: SparkSession, d: str) -> DataFrame:
     found = S.reasons(DARK=F.col("brightness") < 5000, SHADOW=F.col("shadow") > 0.06, CLOUD=F.col("cloud") > 0.08, NODATA=F.col("quantity") < 3)
     ordered = F.array_intersect(F.array(*(F.lit(p) for p in PRIORITY)), found)
     rows = T.scenes(spark, d).select(ordered.alias("r"))
-    return rows.groupBy(F.coalesce(F.try_element_at("r", F.lit(1)), F.lit("NONE")).alias("primary_reason"), F.size("r").cast("long").alias("reasons")).agg(N)
+    return rows.groupBy(F.coalesce(F.try_element_at("r", F.lit(1)), F.lit("NONE")).alias("primary_reason"), F.size("r").cast("long").alias("reasons")).agg(counted())
 
 
 @query("q_review_input_check", """
@@ -211,7 +213,7 @@ def review_input_check(spark: SparkSession, d: str) -> DataFrame:
     codes = F.when(F.col("kind") == "error", F.when(F.col("value") >= 5, F.array(F.lit("CLOUD"))).otherwise(F.array().cast("array<string>"))).when(F.col("kind") == "view", F.array(F.lit("OTHER"))).otherwise(F.array(F.lit("DARK")))
     text = F.when(F.col("value") >= 20, "seen")
     verdict = F.when(~excluded, "CLEARED").when(F.size(codes) == 0, "CODES_REQUIRED").when(F.array_contains(codes, "OTHER") & text.isNull(), "TEXT_REQUIRED").otherwise("OK")
-    return log.groupBy(verdict.alias("verdict")).agg(N)
+    return log.groupBy(verdict.alias("verdict")).agg(counted())
 
 
 @query("q_flag_upsert", """
@@ -262,7 +264,7 @@ def path_status(spark: SparkSession, d: str) -> DataFrame:
     m = manifest(spark, d).withColumn("home", F.concat(F.lit("cache/"), F.substring_index("path", "/", -1)))
     found = m.join(disk.select(F.col("file").alias("f1")), F.col("path") == F.col("f1"), "left").join(disk.select(F.col("file").alias("f2")), F.col("home") == F.col("f2"), "left")
     status = F.when(F.col("path").isNull(), "missing_path").when(F.col("path").startswith("/"), "path_outside_cache").when(F.col("f1").isNotNull(), "ok").when(F.col("f2").isNotNull(), "stored_path_mismatch").otherwise("missing_file")
-    return found.groupBy(status.alias("status")).agg(N)
+    return found.groupBy(status.alias("status")).agg(counted())
 
 
 @query("q_bundle_check", f"""
@@ -272,7 +274,7 @@ def bundle_check(spark: SparkSession, d: str) -> DataFrame:
     """A bundle's manifest against the files that came with it."""
     joined = manifest(spark, d).filter("path is not null").join(listing(spark, d), F.col("path") == F.col("file"), "full_outer")
     verdict = F.when(F.col("path").isNull(), "EXTRA").when(F.col("file").isNull(), "MISSING").when(F.col("size") != F.col("bytes"), "SIZE_MISMATCH").otherwise("OK")
-    return joined.groupBy(verdict.alias("verdict")).agg(N)
+    return joined.groupBy(verdict.alias("verdict")).agg(counted())
 
 
 @query("q_prefetch_plan", """
@@ -281,7 +283,7 @@ def prefetch_plan(spark: SparkSession, d: str) -> DataFrame:
     """What a dry run would do with each scene: the first step of a ladder that applies."""
     here = F.col("status") == "F"
     ladder = F.when(F.col("excluded"), "skip_excluded").when(F.col("quantity") < 3, "skip_no_area").when(F.col("cloud") > 0.09, "skip_cloudy").when(here & (F.col("brightness") < 5000), "refresh_preview").when(here, "keep").when(F.col("shadow") > 0.07, "download_low_priority").otherwise("download")
-    return T.scenes(spark, d).groupBy(F.concat(F.lit("would_"), ladder).alias("action")).agg(N)
+    return T.scenes(spark, d).groupBy(F.concat(F.lit("would_"), ladder).alias("action")).agg(counted())
 
 
 @query("q_rebuild_reasons", """
@@ -310,7 +312,7 @@ def path_repairs(spark: SparkSession, d: str) -> DataFrame:
     j = manifest(spark, d).withColumn("name", F.substring_index("path", "/", -1)).join(disk, F.col("name") == F.col("found"), "left")
     has, there = F.col("path").isNotNull(), F.col("bytes").isNotNull()
     actions = S.reasons(repair_path=has & there & ~F.col("path").startswith("cache/"), repair_size=F.col("bytes") != F.col("size"), mark_missing=has & ~there, skip=~has)
-    return j.select(F.explode(actions).alias("action")).groupBy("action").agg(N)
+    return j.select(F.explode(actions).alias("action")).groupBy("action").agg(counted())
 
 
 def operation(entity: str, key: Column, action: Column | str, detail: Column) -> list[Column]:
@@ -406,7 +408,7 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     want = links(spark, d).select("scene_id", "cloud").distinct()
     cached = T.scenes(spark, d).filter("quantity > 20").select(F.col("scene_id").alias("c"))
     status = F.when(F.col("c").isNotNull(), "hit").when(F.col("cloud") > 0.09, "failed").otherwise("computed")
-    return want.join(cached, F.col("scene_id") == F.col("c"), "left").groupBy(status.alias("status")).agg(N)
+    return want.join(cached, F.col("scene_id") == F.col("c"), "left").groupBy(status.alias("status")).agg(counted())
 
 
 @query("q_table_fingerprint", f"SELECT count(*) AS n, CAST(sum({DRAW.format('sample_id || chr(124) || driver || chr(124) || country')}) AS BIGINT) AS fingerprint FROM samples")
@@ -414,7 +416,7 @@ def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint of a table's content, whatever its order: the sum of the rows' digests, so nothing is gathered."""
     row = F.concat_ws("|", F.col("sample_id").cast("string"), "driver", "country")
     digest = F.conv(F.substring(F.md5(row.cast("binary")), 1, 8), 16, 10).cast("long")
-    return T.samples(spark, d).agg(N, F.sum(digest).alias("fingerprint"))
+    return T.samples(spark, d).agg(counted(), F.sum(digest).alias("fingerprint"))
 
 
 @query("q_schema_backfill", """
@@ -434,7 +436,7 @@ def event_scoped_scenes(spark: SparkSession, d: str) -> DataFrame:
     linked = links(spark, d).groupBy(F.col("scene_id").alias("l")).agg(F.count_if(F.col("period") == "PRE").alias("pre"))
     s = T.scenes(spark, d).filter(F.contains("scene_id", F.lit("7"))).join(linked, F.col("scene_id") == F.col("l"), "left")
     scope = F.when(F.col("l").isNull(), "unlinked").when(F.col("pre") > 0, "pre").otherwise("other")
-    return s.groupBy(scope.alias("scope")).agg(N)
+    return s.groupBy(scope.alias("scope")).agg(counted())
 
 
 @query("q_spatial_pairs", """
@@ -447,7 +449,7 @@ def spatial_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = T.events(spark, d).select("review_class", "review_status", "event_year", after("event_year"), after("review_class"), after("review_status")).filter("next_event_year = event_year + 1")
     classes, states = F.array("review_class", "next_review_class"), F.array("review_status", "next_review_status")
     kind = F.when(~F.array_contains(states, "REJECTED"), "VALID_VALID").when(F.array_contains(classes, "YEAR_MISMATCH"), "WITH_MISMATCH").when(~F.array_contains(states, "VALID"), "REJECTED_REJECTED").otherwise("MIXED")
-    return e.groupBy(kind.alias("kind")).agg(N)
+    return e.groupBy(kind.alias("kind")).agg(counted())
 
 
 @query("q_change_features", f"""

@@ -54,3 +54,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_lists_need_no_session():
+    """Queries and SQL can be listed by a process that has started no Spark session."""
+    import pathlib
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parent.parent, check=True, timeout=120)
