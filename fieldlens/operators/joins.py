@@ -49,20 +49,31 @@ def nearest(points: DataFrame, lat: float, lon: float, n: int, exclude: int | No
 
 
 def within_distance(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
-    """Pairs (a_id, b_id, distance_m) of points (id, lat, lon) at most so far apart.
+    """Pairs (a_id, b_id, distance_m) of points (id, lat, lon) at most so far apart, over the date line and the poles too.
 
     Points meet in cells of a latitude-longitude grid; each point of b is put
     into its own cell and the neighbours it can reach, so the join is an equi-join on the cell.
-    Longitudes are not joined across the date line, nor at latitudes beyond 85 degrees.
+    Each row of cells goes round the sphere in a whole number of columns, numbered
+    modulo that number; rows from which a pole can be reached are one cell.
     """
     step = max(metres / 111_000.0 * 1.01, 0.05)
     row = lambda lat: F.floor(lat / step).cast("int")
-    # columns of a cell widen with latitude, the same for all points of a row of cells
-    width = lambda r: step / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(r * step), F.abs((r + 1) * step)), F.lit(85.0)))), F.lit(0.05))
-    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), row(F.col("lat")).alias("r")).withColumn("c", F.floor(F.col("a_lon") / width(F.col("r"))).cast("int"))
+
+    def columns(r: Column) -> Column:
+        """How many columns a row of cells has: as many as are no narrower than the longitudes within ``step`` degrees of its points."""
+        edge = F.greatest(F.abs(r * step), F.abs((r + 1) * step))
+        reach = F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(min(step, 90.0)))) / F.cos(F.radians(edge)), F.lit(1.0))))
+        return F.when(edge + step >= 90.0, 1).otherwise(F.greatest(F.floor(360.0 / reach).cast("int"), F.lit(1)))
+
+    def column(lon: Column, n: Column) -> Column:
+        return F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * n / 360.0).cast("int")
+
+    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), row(F.col("lat")).alias("r"))
+    left = left.withColumn("n", columns(F.col("r"))).withColumn("c", F.pmod(column(F.col("a_lon"), F.col("n")), F.col("n"))).drop("n")
     right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.explode(F.sequence(row(F.col("lat")) - 1, row(F.col("lat")) + 1)).alias("rr"))
-    at = F.floor(F.col("b_lon") / width(F.col("rr"))).cast("int")
-    right = right.select("b_id", "b_lat", "b_lon", "rr", F.explode(F.sequence(at - 1, at + 1)).alias("cc"))
+    right = right.withColumn("n", columns(F.col("rr"))).withColumn("at", column(F.col("b_lon"), F.col("n")))
+    # rows of fewer than three columns name a column twice: once is enough, so no pair is repeated
+    right = right.select("b_id", "b_lat", "b_lon", "rr", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("at") + k, F.col("n")) for k in (-1, 0, 1))))).alias("cc"))
     near = left.join(right, (F.col("r") == F.col("rr")) & (F.col("c") == F.col("cc")))
     return near.withColumn("distance_m", haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).filter(F.col("distance_m") <= metres).select("a_id", "b_id", "distance_m")
 

@@ -50,6 +50,25 @@ def test_points_within_a_distance(spark):
     assert {(r["a_id"], r["b_id"]) for r in got.collect()} == {(p[0], q[0]) for p in a for q in b if metres(p, q) <= 400_000}
 
 
+def test_near_join_over_the_date_line_and_the_poles(spark):
+    rng = random.Random(4)
+    spots = [(rng.uniform(-60, 60), rng.choice([-1, 1]) * rng.uniform(176, 180)) for _ in range(120)]
+    spots += [(rng.choice([-1, 1]) * rng.uniform(70, 90), rng.uniform(-180, 180)) for _ in range(180)]
+    spots += [(0.0, 180.0), (0.0, -180.0), (90.0, 10.0), (-90.0, 0.0), (89.9, -170.0)]
+    points = [(i, *p) for i, p in enumerate(spots)]
+
+    def metres(p, q):
+        x, y = map(math.radians, (p[1], q[1]))
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(min(h, 1.0)))
+
+    df = spark.createDataFrame(points, "id int, lat double, lon double")
+    for reach in (300_000, 600_000, 3_000_000, 12_000_000):
+        got = [(r["a_id"], r["b_id"]) for r in joins.within_distance(df, df, reach).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(p[0], q[0]) for p in points for q in points if metres(p, q) <= reach}
+
+
 def test_spaced_picks_and_next_fit_equal_loops(spark):
     rng = random.Random(2)
     rows = [(k, rng.randint(0, 5), i, dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 200)) if rng.random() > 0.1 else None, rng.randint(1, 40)) for k in range(5) for i in range(20)]
