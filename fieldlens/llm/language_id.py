@@ -11,6 +11,7 @@ empty results; with no labelled row at all, every text is ``und``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,7 +61,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     best, gap = None, -1
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], np.int8), (n, width))
-        far = (code[:, None, :] != code[None]).sum(2) + width * np.eye(n, dtype=int)
+        far = (width - code.astype(np.float32) @ code.T.astype(np.float32)) / 2 + width * np.eye(n)
         if far.min() > gap and (np.abs(code.sum(0)) < n).all():
             best, gap = code, far.min()
     return best
@@ -91,7 +92,7 @@ def fit(x: np.ndarray, labels: list[str], orders: tuple[int, ...], bits: int, st
     languages = sorted(set(labels))
     codes = codewords(len(languages))
     y = codes[np.searchsorted(languages, labels)].astype(np.float32) if labels else np.zeros((0, codes.shape[1]), np.float32)
-    share = {c: labels.count(c) for c in languages}
+    share = Counter(labels)
     row = np.array([1 / share[c] for c in labels], np.float32)
     row /= max(row.sum(), 1e-9)
     w, b = np.zeros((x.shape[1], codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
@@ -106,20 +107,27 @@ def fit(x: np.ndarray, labels: list[str], orders: tuple[int, ...], bits: int, st
     return CodeModel(languages, codes, w, b, strength / strength.mean(), orders, bits)
 
 
-def train(labelled: DataFrame, text_col: str, label_col: str, per_language: int = 800, orders: tuple[int, ...] = (1, 2, 3), bits: int = 12) -> CodeModel:
-    """Fits on a bounded sample: about ``per_language`` rows of each language (at most the 64 largest), picked by a hash.
+def train(labelled: DataFrame, text_col: str, label_col: str, per_language: int = 800, orders: tuple[int, ...] = (1, 2, 3), bits: int = 12, id_col: str | None = None) -> CodeModel:
+    """Fits on a bounded sample: about ``per_language`` rows of every language, picked by a hash of id and text.
 
+    Copies of a text have ids of their own and are picked one by one; rows that
+    are equal in both (or in the text alone, without ``id_col``) count once, in
+    the sample and in the number its share is reckoned from. Beyond 64 languages
+    the sample of each gets smaller, so that the whole stays within the driver's memory.
     The corpus is counted whole; only the features of the picked rows, a fixed
     number of bytes each, reach the driver.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(64).collect()}
+    key = F.xxhash64(text_col) if id_col is None else F.xxhash64(id_col, text_col)
+    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("__lang"), F.col(text_col).alias("__text"), key.alias("__key"))
+    counts = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.approx_count_distinct("__key", 0.02)).collect()}
     if not counts:
         return fit(np.zeros((0, 1 << bits), np.float32), [], orders, bits)
-    pick = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        bar = int(min(1.0, per_language / n) * 2**31)
-        pick = pick | ((F.col(label_col) == lang) & (F.pmod(F.xxhash64(text_col), F.lit(2**31)) < bar))
+    wanted = min(per_language, max(1, 64 * per_language // len(counts)))
+    # a language of few rows is taken whole, and one of many has 20 expected rows at least: none is missed
+    bars = [(lang, 2**31 if n <= max(wanted, 20) else int(max(wanted, 20) / n * 2**31)) for lang, n in sorted(counts.items())]
+    bars = labelled.sparkSession.createDataFrame(bars, "__name string, __bar long")
+    picked = rows.join(F.broadcast(bars), F.col("__lang") == F.col("__name")).filter(F.pmod("__key", F.lit(2**31)) < F.col("__bar"))
+    picked = picked.dropDuplicates(["__lang", "__key"]).select("__lang", "__text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +135,7 @@ def train(labelled: DataFrame, text_col: str, label_col: str, per_language: int
             out = [features(t.as_py().encode(), orders, bits).astype(np.float16).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["lang", "x"])
 
-    got = rows.filter(pick & F.col(text_col).isNotNull()).select(label_col, text_col).mapInArrow(sparse, "lang string, x binary").limit(2 * per_language * len(counts)).toArrow()
+    got = picked.mapInArrow(sparse, "lang string, x binary").toArrow()
     order = sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True))
     x = np.array([np.frombuffer(b, np.float16) for _, b in order], np.float32).reshape(len(order), 1 << bits)
     return fit(x, [lang for lang, _ in order], orders, bits)

@@ -29,7 +29,7 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", fold(4) == 2)
-    model = language_id.train(docs.filter(~F.col("held_out")), "text", "lang")
+    model = language_id.train(docs.filter(~F.col("held_out")), "text", "lang", id_col="doc_id")
     return language_id.predict(docs, model, ["doc_id", "held_out"])
 
 

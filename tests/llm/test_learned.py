@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from fieldlens.llm import language_id, quality_rules, toxicity
 from fieldlens.llm import textkit as tk
@@ -52,6 +53,30 @@ def test_undetermined_texts_and_no_labels(spark):
     assert language_id.predict(docs.filter("false"), model, ["doc_id"]).count() == 0
 
 
+def test_every_counted_language_is_learned(spark):
+    """More than 64 languages, the last of which has the fewest rows."""
+    names = [f"l{i:02}" for i in range(70)]
+    rows = [(i * 10 + j, " ".join([f"{chr(0x4E00 + 7 * i)}{chr(0x4E01 + 7 * i)}"] * (5 + j)), lang) for i, lang in enumerate(names) for j in range(3 if i < 69 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, "text", "lang", id_col="doc_id")
+    assert model.languages == names
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+
+
+def test_a_large_group_of_copies_hides_no_language(spark):
+    """The copied text is one that a hash of the text alone picks, and its rows come first."""
+    hot = spark.range(20000).selectExpr("concat('der die ', id) as t").orderBy(F.expr("pmod(xxhash64(t), 2147483648L)")).first()["t"]
+    rng = random.Random(9)
+    rows = [(i, hot, "bb") for i in range(3000)] + [(3000 + i, prose(rng, "bb", 20), "bb") for i in range(300)] + [(4000 + i, prose(rng, "cc", 20), "cc") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    for id_col in ("doc_id", None):
+        model = language_id.train(docs, "text", "lang", per_language=20, id_col=id_col)
+        assert model.languages == ["bb", "cc"]
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+        assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
