@@ -152,14 +152,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, class_weight: np.ndarray, pa
     return LinearModel(ids, w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, pair_chars: int = 4000) -> LinearModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> LinearModel:
     """Fits on a bounded sample: about ``per_class`` labels of each kind, picked by a hash; counts cover all labels.
 
     Only the picked labels, so bounded, are broadcast to find their texts; the
     texts' features are made where the texts lie. Labels that are null or have
-    no document are left out. A counterfactual pair is made from a stretch of
-    each picked text of up to ``pair_chars`` characters; the row's own features
-    come from the whole text.
+    no document are left out. A counterfactual pair is made from the whole of
+    each picked text; only the features that differ in it are kept.
     """
     marks = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y"))
     counts = {r[0]: r[1] for r in marks.groupBy("__y").count().collect()}
@@ -174,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             texts = tk.as_strings(batch.column(1)).to_pylist()
             for i in range(0, len(texts), 200):
                 part = texts[i : i + 200]
-                two = [swapped(t[:pair_chars], len(t)) for t in part]
+                two = [swapped(t, len(t)) for t in part]
                 out = [text_features(part), text_features([a for a, _ in two]), text_features([b for _, b in two])]
                 own = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(out[1], out[2], strict=True)]
                 cols = [out[0], [a for a, _ in own], [b for _, b in own]]

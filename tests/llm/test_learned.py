@@ -158,3 +158,15 @@ def test_scores_without_text_or_labels(spark):
     none = toxicity.train(docs, labels.filter("false"))
     assert {r["predicted"] for r in toxicity.score(odd, none, ["doc_id"]).collect()} == {0}
     assert toxicity.score(odd.filter("false"), model, ["doc_id"]).count() == 0
+
+
+def test_identity_terms_are_swapped_in_the_whole_text(spark, monkeypatch):
+    """The only term of a long text lies at its end."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels, weight, pairs: seen.extend(pairs))
+    docs = spark.createDataFrame([(1, "ation " * 1500 + "women")], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    ((without, put_in),) = seen
+    assert without.tolist() == toxicity.text_features(["women"])[0].tolist()
+    others = toxicity.text_features([t for t in toxicity.IDENTITY_TERMS[0] if t != "women"])
+    assert put_in.tolist() in [o.tolist() for o in others]
