@@ -19,6 +19,30 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def mark_lowest(rows: DataFrame, group: str, draw: str, tie: str, n: DataFrame) -> DataFrame:
+    """Adds ``taken``: whether a row is one of its group's n lowest by draw (from 0 to below 2**32), then by tie.
+
+    ``n`` is one row with the column n, at most the rows of a group. The n-th draw is found by
+    descent over counts of its digits, so a window holds at most 2048 counts of a group, or the rows that share one draw.
+    """
+    from fieldlens.plans.lineage import materialize
+
+    need, bars, left = n.select(F.col("n").alias("__need")), None, 32
+    for bits in (11, 11, 10):
+        if bars is None:
+            inside = rows.crossJoin(F.broadcast(need))
+        else:
+            inside = rows.join(F.broadcast(bars), group).filter(F.shiftright(draw, left) == F.col("__bar"))
+        left -= bits
+        counts = inside.groupBy(group, "__need", F.shiftright(draw, left).alias("__d")).agg(F.count(F.lit(1)).alias("__c"))
+        upto = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(group).orderBy("__d"))).filter("__upto >= __need")
+        bars = upto.groupBy(group).agg(F.min(F.struct("__d", (F.col("__need") - F.col("__upto") + F.col("__c")).alias("need"))).alias("__b"))
+        bars = bars.select(group, F.col("__b.__d").alias("__bar"), F.col("__b.need").alias("__need"))
+    joined = rows.join(F.broadcast(materialize(bars)), group)
+    even = joined.filter(F.col(draw) == F.col("__bar")).withColumn("taken", F.row_number().over(Window.partitionBy(group).orderBy(tie)) <= F.col("__need"))
+    return joined.filter(F.col(draw) != F.col("__bar")).withColumn("taken", F.col(draw) < F.col("__bar")).unionByName(even).drop("__bar", "__need")
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, hits: Column, runs: int) -> DataFrame:
     """One row: share of hits with its 2.5 and 97.5 % quantiles over resamplings of whole clusters.
 

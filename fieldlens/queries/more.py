@@ -169,12 +169,39 @@ def permutation_test(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("x"), (F.col("label") < 5).alias("y"))
     gap = lambda c: F.abs(F.avg(F.when(c, F.col("x"))) - F.avg(F.when(~c, F.col("x"))))
     o = v.agg(gap(F.col("y")).alias("obs"), A.count_if(F.col("y")).alias("n"))
-    each = v.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("run"))
-    nth = F.row_number().over(Window.partitionBy("run").orderBy(L.draw(F.col("run"), F.col("vec_id")), "vec_id"))
-    runs = each.withColumn("k", nth).join(F.broadcast(o)).groupBy("run", "obs").agg(gap(F.col("k") <= F.col("n")).alias("gap"))
+    each = v.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("run")).withColumn("u", L.draw(F.col("run"), F.col("vec_id")))
+    runs = L.mark_lowest(each, "run", "u", "vec_id", o).join(F.broadcast(o)).groupBy("run", "obs").agg(gap(F.col("taken")).alias("gap"))
     return runs.groupBy("obs").agg((A.count_if(F.col("gap") >= F.col("obs")) + 1).alias("a"), (F.count(F.lit(1)) + 1).alias("b")).select(F.round("obs", 6).alias("observed"), F.round(F.col("a") / F.col("b"), 6).alias("p_value"))
 
 
+@query("q_similarity_gap", f"""
+    WITH u AS (SELECT vec_id, label < 5 AS y, list_transform(embedding, lambda x: x / nullif(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 0)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), c AS (SELECT count(*) FILTER (y) AS n FROM u),
+    r AS (SELECT -1 AS run, v, y AS taken FROM u UNION ALL SELECT run, v, row_number() OVER (PARTITION BY run ORDER BY {DRAW.format("run || '-' || vec_id")}, vec_id) <= n FROM u, c, (SELECT unnest(range(100)) AS run)),
+    m AS (SELECT run, i, coalesce(sum(x) FILTER (taken), 0) AS a, coalesce(sum(x) FILTER (NOT taken), 0) AS b, sum(x * x) AS q FROM (SELECT run, taken, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM r) GROUP BY ALL),
+    k AS (SELECT run, CAST(count(*) FILTER (taken) AS DOUBLE) AS na, CAST(count(*) FILTER (NOT taken) AS DOUBLE) AS nb FROM r GROUP BY run),
+    g AS (SELECT run, (sum(a * a + b * b) - sum(q)) / any_value(na * (na - 1) + nb * (nb - 1)) - sum(a * b) / any_value(na * nb) AS gap FROM m JOIN k USING (run) GROUP BY run)
+    SELECT round(any_value(o.gap), 6) AS observed, round((count(*) FILTER (g.gap >= o.gap) + 1) / CAST(count(*) + 1 AS DOUBLE), 6) AS p_value FROM g, (SELECT gap FROM g WHERE run = -1) o WHERE run >= 0""")
+def similarity_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Mean cosine of pairs of one class less that of pairs of two, with a permutation p-value, over all components.
+
+    Sums of pairs come from the sums of a class: the square of its sum less its vectors' own terms.
+    """
+    v = table(spark, d, "embeddings").filter("label is not null and embedding is not null").select("vec_id", (F.col("label") < 5).alias("taken"), geo.unit(F.col("embedding")).alias("v"))
+    dim = v.agg(F.max(F.size("v"))).first()[0] or 1
+    each = v.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("run")).withColumn("u", L.draw(F.col("run"), F.col("vec_id")))
+    runs = L.mark_lowest(each, "run", "u", "vec_id", v.agg(A.count_if(F.col("taken")).alias("n"))).select("run", "v", "taken")
+    runs = runs.unionByName(v.select(F.lit(-1).alias("run"), "v", "taken"))
+    part = lambda c, i: F.coalesce(F.sum(F.when(c, F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)))), F.lit(0.0))
+    a, b = (F.array(*(part(c, i) for i in range(dim))) for c in (F.col("taken"), ~F.col("taken")))
+    own = F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    sums = runs.groupBy("run").agg(a.alias("a"), b.alias("b"), own.alias("q"), A.count_if(F.col("taken")).cast("double").alias("na"), A.count_if(~F.col("taken")).cast("double").alias("nb"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    same = F.try_divide(dot("a", "a") + dot("b", "b") - F.col("q"), F.col("na") * (F.col("na") - 1) + F.col("nb") * (F.col("nb") - 1))
+    gaps = sums.select("run", (same - F.try_divide(dot("a", "b"), F.col("na") * F.col("nb"))).alias("gap"))
+    both = gaps.agg(F.max(F.when(F.col("run") < 0, F.col("gap"))).alias("obs"), F.collect_list(F.when(F.col("run") >= 0, F.col("gap"))).alias("g"))
+    return both.select(F.round("obs", 6).alias("observed"), F.round((F.size(F.filter("g", lambda x: x >= F.col("obs"))) + 1) / (F.size("g") + 1), 6).alias("p_value"))
+
+
 @query("q_paired_bootstrap")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Difference of two models' accuracy with its interval over resampled points: the same draws for both. Held against numpy in tests by way of the single form."""

@@ -69,6 +69,29 @@ def test_near_join_over_the_date_line_and_the_poles(spark):
         assert set(got) == {(p[0], q[0]) for p in points for q in points if metres(p, q) <= reach}
 
 
+def test_lowest_draws_equal_sorting(spark):
+    """Ties, draws that differ in the last digits only, and all or none of the rows."""
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice([rng.randrange(2**32), 7, 2**32 - 1, 5 * 2**20 + rng.randrange(4)])) for g in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, id int, u long")
+    for n in (0, 1, 29, 60):
+        got = [(r["g"], r["id"]) for r in learn.mark_lowest(df, "g", "u", "id", spark.createDataFrame([(n,)], "n long")).filter("taken").collect()]
+        assert sorted(got) == sorted((g, i) for k in range(4) for g, i, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))[:n])
+
+
+def test_similarity_gap_equals_the_mean_over_pairs(spark, tmp_path):
+    import fieldlens.queries  # noqa: F401  registers
+    from fieldlens.registry import QUERIES
+
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(i % 10 < 5 and j == 2, 1) for j in range(4)], i % 10) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+    pairs = [((a[2] < 5) == (b[2] < 5), cos(a[1], b[1])) for i, a in enumerate(rows) for b in rows[:i]]
+    mean = lambda same: sum(c for s, c in pairs if s == same) / sum(s == same for s, _ in pairs)
+    assert abs(QUERIES["q_similarity_gap"](spark, str(tmp_path)).first()["observed"] - (mean(True) - mean(False))) < 2e-6
+
+
 def test_spaced_picks_and_next_fit_equal_loops(spark):
     rng = random.Random(2)
     rows = [(k, rng.randint(0, 5), i, dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 200)) if rng.random() > 0.1 else None, rng.randint(1, 40)) for k in range(5) for i in range(20)]
