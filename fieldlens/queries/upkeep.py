@@ -326,9 +326,24 @@ def operation(entity: str, key: Column, action: Column | str, detail: Column) ->
         SELECT 'scene' AS entity, o_orderkey::VARCHAR AS key, CASE WHEN c_custkey IS NULL THEN 'SKIP_NO_SAMPLE' ELSE 'INSERT' END AS action, o_custkey::VARCHAR AS detail FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey WHERE o_orderkey % 8 = 1
         UNION ALL SELECT 'preview', o_orderkey || '-' || v, 'INSERT', v FROM orders JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey, (SELECT unnest(['rgb', 'nbr']) AS v) WHERE o_orderkey % 8 = 1)""")
 def import_operations(spark: SparkSession, d: str) -> DataFrame:
+    """The operations of one delivery, an eighth of the orders."""
+    return imported(spark, d, table(spark, d, "orders").filter("o_orderkey % 8 = 1"))
+
+
+@query("q_import_all_operations", """
+    WITH j AS (SELECT o_orderkey, o_custkey, c_custkey FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey)
+    SELECT entity || ':' || key || ':' || action AS op_id, entity, key, action, detail FROM (
+        SELECT 'scene' AS entity, o_orderkey::VARCHAR AS key, CASE WHEN c_custkey IS NULL THEN 'SKIP_NO_SAMPLE' ELSE 'INSERT' END AS action, o_custkey::VARCHAR AS detail FROM j
+        UNION ALL SELECT 'preview', o_orderkey || '-' || v, 'INSERT', v FROM j, (SELECT unnest(['rgb', 'nbr']) AS v) WHERE c_custkey IS NOT NULL)""")
+def import_all_operations(spark: SparkSession, d: str) -> DataFrame:
+    """The operations of all orders."""
+    return imported(spark, d, table(spark, d, "orders"))
+
+
+def imported(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     """Scenes to import, each only if its sample is there, with their nested previews as operations of their own."""
     known = table(spark, d, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("c"))
-    incoming = table(spark, d, "orders").filter("o_orderkey % 8 = 1").join(known, F.col("o_custkey") == F.col("c"), "left")
+    incoming = orders.join(known, F.col("o_custkey") == F.col("c"), "left")
     scene = incoming.select(*operation("scene", F.col("o_orderkey"), F.when(F.col("c").isNull(), "SKIP_NO_SAMPLE").otherwise("INSERT"), F.col("o_custkey")))
     previews = incoming.filter("c is not null").select("o_orderkey", F.explode(F.array(F.lit("rgb"), F.lit("nbr"))).alias("v"))
     return scene.unionByName(previews.select(*operation("preview", F.concat_ws("-", F.col("o_orderkey").cast("string"), "v"), "INSERT", F.col("v"))))

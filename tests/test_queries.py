@@ -49,6 +49,11 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_every_order_gets_an_import_operation(spark, duck):
+    got = QUERIES["q_import_all_operations"](spark, FOLDER).filter("entity = 'scene'").count()
+    assert got == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0]
+
+
 def test_entry(spark):
     import __spark_entry__
 
