@@ -49,7 +49,7 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
