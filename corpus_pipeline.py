@@ -63,7 +63,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"), 1024)
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), 1024)
 
 
 STAGES = [
