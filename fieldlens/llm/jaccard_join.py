@@ -10,6 +10,9 @@ list entries, is least over the whole corpus.
 
 1. Equal sets are one set. Shingles are counted in hash buckets that travel as
    packed arrays; one that occurs in a single set can't be shared and stays home.
+   A set with very many copies is sent by one of them. A shingle of very many
+   sets, found in a sample of sets, needs no exact count: its place in the global
+   order comes from the sample, and its entries go straight to their sets.
 2. Each set learns which of its shingles are shared. A set with too few of them
    can have no partner and goes.
 3. Keys meet. A list of up to ``most_members`` sets gives pairs, thinned by size
@@ -21,7 +24,10 @@ list entries, is least over the whole corpus.
    no link between components is lost.
 
 Texts without words have empty sets and link with nothing; texts with fewer
-than n words are one shingle. Null text counts as empty. Equal rows share a set.
+than n words are one shingle. Null text counts as empty. Equal rows, and texts
+with equal sets, share a set and so a component; of equal ids the component is
+the same. Very long texts are hashed in stretches. An empty table gives an
+empty result. Columns besides id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,15 +50,44 @@ def _least_shared(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and the set's hash of every row."""
+    """doc_id, n_shingles, hash of the set and hash of the row for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.raw(batch.column(1))
-            sets = [s for _, _, d, o in tk.chunks(data, offsets) for s in shingle_sets(d, o, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "sid"])
+            sizes, hashes = [], []
+            for _, _, d, o in tk.chunks(data, offsets):
+                for s in shingle_sets(d, o, n):
+                    sizes.append(len(s))
+                    hashes.append(set_hash(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()), batch.column(2)], ["doc_id", "n_shingles", "sid", "rid"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, sid long")
+    rows = docs.select(id_col, text_col, F.xxhash64(id_col, text_col))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, sid long, rid long")
+
+
+def frequent_shingles(docs: DataFrame, sets: DataFrame, total: int, n: int, id_col: str, text_col: str, sampled: int = 1_000_000, least: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of very many sets, ascending, with an estimate of their number.
+
+    Sets are picked by their hash so that about ``sampled`` shingles are looked
+    at; those of at least ``least`` picked sets are frequent, so at most
+    ``sampled / least`` of them come back, whatever the corpus.
+    """
+    step = max(1, total // sampled)
+    one = sets.filter((F.pmod("sid", F.lit(step)) == 0) & (F.col("n_shingles") > 0)).groupBy("sid").agg(F.min("rid").alias("rid"))
+    rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("of"))
+    rows = rows.join(F.broadcast(one.select("rid")), F.col("of") == F.col("rid"), "left_semi").dropDuplicates(["of"]).select("text")  # about ``sampled`` numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tk.raw(batch.column(0))
+            for _, _, d, o in tk.chunks(data, offsets):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(d, o, n)]).view(np.int64))], ["token"])
+
+    got = rows.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= least).toArrow()
+    token, count = got["token"].to_numpy().view(np.uint64), got["count"].to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order] * step
 
 
 def _packed(group: np.ndarray, n_groups: int, owner: np.ndarray, sids: np.ndarray, sizes: np.ndarray, columns: list[np.ndarray]) -> Iterator[list]:
@@ -65,9 +100,9 @@ def _packed(group: np.ndarray, n_groups: int, owner: np.ndarray, sids: np.ndarra
         yield [g, sids[who].tobytes(), sizes[who].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), *(c[at].tobytes() for c in columns)]
 
 
-def _six_bytes(tokens: np.ndarray) -> np.ndarray:
-    """The low 48 bits: with the bucket's number, enough to tell the shingles of a bucket apart."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+def _seven_bytes(tokens: np.ndarray) -> np.ndarray:
+    """The low 56 bits; the bucket's number, of 8 bits or more, tells the rest."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).view("V7").ravel()
 
 
 def _unpack(table: pa.Table, kinds: list[type]) -> list[np.ndarray]:
@@ -75,9 +110,9 @@ def _unpack(table: pa.Table, kinds: list[type]) -> list[np.ndarray]:
 
     def read(name: str, kind: type | str) -> np.ndarray:
         found = np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in table[name].to_pylist())])
-        if kind == "V6":
+        if kind == "V7":
             wide = np.zeros((len(found), 8), np.uint8)
-            wide[:, :6] = found.view(np.uint8).reshape(-1, 6)
+            wide[:, :7] = found.view(np.uint8).reshape(-1, 7)
             found = wide.view("<u8").ravel()
         return found
 
@@ -89,50 +124,67 @@ def _batch(rows: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(names)))], names)
 
 
-def live_sets(docs: DataFrame, total: int, n: int, num: int, den: int, text_col: str, most_members: int, bucket_entries: int = 2_000_000) -> DataFrame:
+def live_sets(docs: DataFrame, sets: DataFrame, total: int, n: int, num: int, den: int, id_col: str, text_col: str, most_members: int, bucket_entries: int = 500_000, most_copies: int = 1000) -> DataFrame:
     """Sets that may have a partner: sid, size, core (shared shingles in global order, packed), scan, subsets.
 
     scan and subsets are the estimated work of the set as a large or a small one.
     """
-    bits = max(0, int(np.ceil(np.log2(max(total / bucket_entries, 1)))))
+    bits = max(8, int(np.ceil(np.log2(max(total / bucket_entries, 1)))))
     buckets = 1 << bits
     heads = ["bucket", "sids", "sizes", "counts"]
+    frequent, frequency = frequent_shingles(docs, sets, total, n, id_col, text_col)
+    # sets with so many copies that there can't be many of them: one copy speaks for all
+    copied = sets.filter("n_shingles > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"))
+    speaker = {r["sid"]: r["rid"] for r in copied.filter(F.col("n") > max(most_copies, sets.count() // 10_000)).collect()}
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.raw(batch.column(0))
-            for _, _, d, o in tk.chunks(data, offsets, 4 << 20):
-                sets = [s for _, _, x, y in tk.chunks(d, o) for s in shingle_sets(x, y, n)]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                if not sizes.sum():
+            rid = batch.column(1).to_numpy()
+            for a, _, d, o in tk.chunks(data, offsets, 4 << 20):
+                found: dict[int, np.ndarray] = {}
+                for low, high, x, y in tk.chunks(d, o):
+                    for r, s in zip(rid[a + low : a + high].tolist(), shingle_sets(x, y, n), strict=True):
+                        sid = set_hash(s)
+                        if len(s) and sid not in found and speaker.get(sid, r) == r:
+                            found[sid] = s
+                if not found:
                     continue
-                flat = np.concatenate(sets)
-                bucket = (flat >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(flat), np.uint16)
-                rows = list(_packed(bucket, buckets, np.repeat(np.arange(len(sets)), sizes), np.array([set_hash(s) for s in sets], np.int64), sizes, [_six_bytes(flat)]))
+                sids, sizes = np.array(list(found), np.int64), np.array([len(s) for s in found.values()], np.int64)
+                flat, owner = np.concatenate(list(found.values())), np.repeat(np.arange(len(sids)), sizes)
+                at = np.minimum(np.searchsorted(frequent, flat), max(len(frequent) - 1, 0))
+                known = frequent[at] == flat if len(frequent) else np.zeros(len(flat), bool)
+                rows = list(_packed((flat[~known] >> np.uint64(64 - bits)).astype(np.int64), buckets, owner[~known], sids, sizes, [_seven_bytes(flat[~known])]))
+                # frequent shingles: to a bucket of their set, with a negative number
+                rows += [[-1 - r[0], *r[1:]] for r in _packed(sids[owner[known]] % buckets, buckets, owner[known], sids, sizes, [flat[known]])]
                 yield _batch(rows, [*heads, "c0"])
 
     def count(table: pa.Table) -> pa.Table:
-        sid, size, tok = _unpack(table, ["V6"])
-        tok |= np.uint64(table["bucket"][0].as_py() if len(table) else 0) << np.uint64(48)
-        order = np.argsort(tok)
-        sid, size, tok = sid[order], size[order], tok[order]
-        twin = np.concatenate((tok[1:] == tok[:-1], [False])) if len(tok) else np.zeros(0, bool)
-        twin[1:] |= twin[:-1].copy()
-        sid, size, tok = sid[twin], size[twin], tok[twin]
+        bucket = table["bucket"][0].as_py() if len(table) else 0
+        if bucket < 0:  # nothing to count
+            sid, size, tok = _unpack(table, [np.uint64])
+            df = frequency[np.searchsorted(frequent, tok)]
+        else:
+            sid, size, tok = _unpack(table, ["V7"])
+            tok |= np.uint64(bucket >> (bits - 8)) << np.uint64(56)
         order = np.lexsort((sid, tok))
         sid, size, tok = sid[order], size[order], tok[order]
         fresh = np.ones(len(tok), bool)
         fresh[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])  # copies of a set count once
-        sid, size, tok = sid[fresh], size[fresh], tok[fresh]
-        first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.concatenate((first, [len(tok)]))), np.diff(np.concatenate((first, [len(tok)]))))
-        many = df > 1
-        sid, size, tok, df = sid[many], size[many], tok[many], df[many]
+        if bucket < 0:
+            sid, size, tok, df = sid[fresh], size[fresh], tok[fresh], df[order][fresh]
+        else:
+            sid, size, tok = sid[fresh], size[fresh], tok[fresh]
+            first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, np.int64)
+            runs = np.diff(np.concatenate((first, [len(tok)])))
+            df = np.repeat(runs, runs)
+            many = df > 1
+            sid, size, tok, df = sid[many], size[many], tok[many], df[many]
         order = np.argsort(sid, kind="stable")
         sid, size, tok, df = sid[order], size[order], tok[order], df[order]
         owner = np.cumsum(np.concatenate(([0], sid[1:] != sid[:-1]))) if len(sid) else np.zeros(0, np.int64)
         at = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1]))) if len(sid) else np.zeros(0, np.int64)
-        rows = list(_packed((sid % buckets).astype(np.uint16), buckets, owner, sid[at], size[at], [tok, df.astype(np.int32)]))
+        rows = list(_packed(sid % buckets, buckets, owner, sid[at], size[at], [tok, np.minimum(df, 2**31 - 1).astype(np.int32)]))
         return pa.Table.from_batches([_batch(rows, [*heads, "c0", "c1"])])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -155,7 +207,7 @@ def live_sets(docs: DataFrame, total: int, n: int, num: int, den: int, text_col:
         return pa.table({name: pa.array([r[j] for r in out], kinds[j]) for j, name in enumerate(("sid", "size", "core", "scan", "subsets"))})
 
     shape = "bucket int, sids binary, sizes binary, counts binary, c0 binary"
-    counted = docs.select(text_col).mapInArrow(tokens, shape).groupBy("bucket").applyInArrow(count, f"{shape}, c1 binary")
+    counted = docs.select(text_col, F.xxhash64(id_col, text_col)).mapInArrow(tokens, shape).groupBy("bucket").applyInArrow(count, f"{shape}, c1 binary")
     return counted.groupBy("bucket").applyInArrow(gather, "sid long, size long, core binary, scan long, subsets long")
 
 
@@ -277,17 +329,21 @@ def _cluster_edges(postings: DataFrame, tops: DataFrame, live: DataFrame, known:
     return first.unionByName(_meet(again, rest, num, den))
 
 
-def components(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", most_members: int = 64) -> DataFrame:
+def components(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", most_members: int = 64, most_broadcast: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest id reachable over links of at least the similarity."""
     num, den = similarity
     sets = materialize(set_table(docs, n, id_col, text_col))
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    live = materialize(live_sets(docs, total, n, num, den, text_col, most_members))
+    live = materialize(live_sets(docs, sets, total, n, num, den, id_col, text_col, most_members))
     bound = boundary(live)
     postings = materialize(_keys(live, bound, num, den))
     lists = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("sid").alias("top_sid")).filter("members > 1").withColumnRenamed("key", "top_key"))
 
-    short = postings.join(lists.filter(F.col("members") <= most_members).select("top_key"), F.col("key") == F.col("top_key")).drop("top_key")
+    long = materialize(lists.filter(F.col("members") > most_members).select("top_key", "top_sid"))
+    # the keys of long lists leave before the others meet: by their own broadcast while they are few, else by a join that may be split
+    few = long.count() <= most_broadcast
+    away = F.broadcast(long) if few else long
+    short = postings.join(away, F.col("key") == F.col("top_key"), "left_anti").join(lists.select("top_key"), F.col("key") == F.col("top_key")).drop("top_key")
     x = short.select("key", F.col("sid").alias("a"), F.col("size").alias("sa"), F.col("rest").alias("ra"), "single")
     y = short.select(F.col("key").alias("k"), F.col("sid").alias("b"), F.col("size").alias("sb"), F.col("rest").alias("rb"))
     # sets of too different sizes, and pairs whose first common key leaves too few shingles behind it, can't link
@@ -295,9 +351,8 @@ def components(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 1
     fit = (F.col("a") < F.col("b")) & (~F.col("single") | (F.greatest("sa", "sb") > bound)) & (F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num) & (most * den >= (F.col("sa") + F.col("sb") - most) * num)
     pairs = x.join(y, (F.col("key") == F.col("k")) & fit).select("a", "b").distinct()
     edges = materialize(_verify(pairs, live, num, den))
-    long = lists.filter(F.col("members") > most_members).select("top_key", "top_sid")
     if not long.isEmpty():
-        edges = materialize(edges.unionByName(_cluster_edges(postings, long, live, edges, num, den)))
+        edges = materialize(edges.unionByName(_cluster_edges(postings, away, live, edges, num, den)))
 
     roots = connected_components(edges)
     own = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))

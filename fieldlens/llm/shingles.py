@@ -13,10 +13,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     A-Z count as a-z. A text with fewer than n words has its whole sequence as
     its one shingle; a text without words has none.
     """
-    data = tk.lower(data)
-    begin, end, doc = tk.words(data, offsets)
     count = len(offsets) - 1
-    hashes = tk.Rolling(data).of(begin, end)
+    hashes, doc = tk.word_hashes(tk.lower(data), offsets)
     runs = tk.combine(hashes, n)
     first = np.searchsorted(doc, np.arange(count + 1))
     out = []

@@ -7,6 +7,7 @@ work on that buffer: no Python object is made for a character or a word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,51 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, end, np.searchsorted(offsets, begin, "right") - 1
 
 
+#: A longer word is hashed as a whole by another function, so that no buffer must hold it with its running sums.
+LONG_WORD = 1 << 20
+
+
+def parts(data: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of one text of about ``most`` bytes each that end where a word ends; a longer word makes a longer range."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + most, n)
+        while end < n and not SPACE[data[end]]:  # look on, a stretch at a time
+            stretch = SPACE[data[end : end + 4096]]
+            end += int(stretch.argmax()) if stretch.any() else len(stretch)
+        yield at, end
+        at = end
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word; memory beyond these grows with ``most``, not with the texts."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a, b, d, o in chunks(data, offsets, most):
+        for low, high in parts(d, most) if b == a + 1 else [(0, len(d))]:
+            if high - low > 2 * most:  # ends with a very long word
+                inside = np.flatnonzero(SPACE[d[low:high]])
+                begin = low + int(inside[-1]) + 1 if len(inside) else low
+                found.append((_hashes(d[low:begin], np.array([0, begin - low]))[0], np.zeros(0, np.int64)))
+                found[-1] = (found[-1][0], np.full(len(found[-1][0]), a))
+                found.append((np.array([_long_hash(d[begin:high])], np.uint64), np.array([a])))
+                continue
+            h, doc = _hashes(d[low:high], o if b > a + 1 else np.array([0, high - low]))
+            found.append((h, doc + a))
+    return np.concatenate([h for h, _ in found]), np.concatenate([doc for _, doc in found])
+
+
+def _long_hash(word: np.ndarray) -> int:
+    return int.from_bytes(blake2b(word.tobytes(), digest_size=8).digest(), "little")
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin, end, doc = words(data, offsets)
+    out = Rolling(data).of(begin, end)
+    for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        out[i] = _long_hash(data[begin[i] : end[i]])
+    return out, doc
+
+
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every n neighbours."""
     m = len(hashes) - n + 1

@@ -71,6 +71,34 @@ def test_a_large_group_of_near_copies(spark):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute(rows)
 
 
+def test_shingles_of_every_document_and_many_copies(spark):
+    rng = random.Random(12)
+    line = "this line stands in every single document of the whole collection"
+    own = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    rows = [(i, f"{line} {own(20)}") for i in range(60)]
+    base = f"{line} {own(60)}"
+    rows += [(100 + i, base) for i in range(40)] + [(200 + i, f"{base} {own(rng.randint(1, 3))}") for i in range(40)] + [(300 + i, line) for i in range(5)]
+    docs = spark.createDataFrame(rows, ROWS)
+    got = jaccard_join.components(docs)
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute(rows)
+    sets = jaccard_join.set_table(docs, 5, "doc_id", "text")
+    total = sum(r["n_shingles"] for r in sets.collect())
+    tokens, _ = jaccard_join.frequent_shingles(docs, sets, total, 5, "doc_id", "text")
+    assert len(tokens) >= 7  # those of the line
+    live = {r["sid"]: len(r["core"]) // 8 for r in jaccard_join.live_sets(docs, sets, total, 5, 80, 100, "doc_id", "text", 64, most_copies=3).collect()}
+    assert live == {r["sid"]: len(r["core"]) // 8 for r in jaccard_join.live_sets(docs, sets, total, 5, 80, 100, "doc_id", "text", 64).collect()}
+
+
+def test_a_very_long_text_and_a_very_long_word(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 10**7)}" for _ in range(400_000)]
+    long = " ".join(words)
+    rows = [(1, long), (2, long.replace(" ", "  ").upper() + "\n"), (3, " ".join(words[:360_000])), (4, " ".join(words[:300_000])), (5, "x" * 3_000_000 + " a b c d"), (6, "x" * 3_000_000 + " a b\tc d")]
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.components(spark.createDataFrame(rows, ROWS)).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5} and got[1] == got[2]
+    assert got[1][0] == len(set(zip(*(words[k:] for k in range(5)), strict=False))) and got[5][0] == 1
+
+
 def test_equal_rows_null_ids_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "a b c d e f", 9), (1, "a b c d e f", 9), (None, "a b c d e f", 9), (None, None, 9)], "doc_id long, text string, sid long")
     got = sorted(jaccard_join.components(rows).collect(), key=str)
