@@ -22,7 +22,10 @@ Consecutive windows with one anchor form a context, the unit of work.
 
 A text is identified by a 64-bit hash of id and bytes; equal rows count as two
 texts, so each repeats the other. Null text counts as empty. Texts shorter than
-``length`` lose nothing. Bytes 0xFF, which UTF-8 never has, separate contexts.
+``length`` lose nothing. Very long texts are read in overlapping stretches.
+Anchors of equal hash within a window are a tie that the first wins. An empty
+table gives an empty result. Columns besides id and text keep their names and
+values, whatever these are. Bytes 0xFF, which UTF-8 never has, separate contexts.
 """
 
 from __future__ import annotations
@@ -54,8 +57,20 @@ def _slide(x: np.ndarray, w: int, op: np.ufunc, empty: int) -> np.ndarray:
     return op(down[:n], up[w - 1 : w - 1 + n])
 
 
-#: Low bits of a window key hold a position in the buffer.
-_PLACE = np.uint64((1 << 28) - 1)
+#: Low bits of a window key hold a position in the buffer, which has 16 MB at most.
+_PLACE = np.uint64((1 << 24) - 1)
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, most: int = 1 << 20) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """First text and contexts of each stretch of about ``most`` bytes. A longer text is taken in stretches that share ``length`` - 1 bytes, so each of its windows lies in one of them; a context that a stretch cuts in two is two contexts."""
+    for a, b, d, o in tk.chunks(data, offsets, most):
+        if b > a + 1 or len(d) <= 2 * most:
+            yield a, anchors(d, o, length)
+            continue
+        for at in range(0, len(d) - length + 1, most):
+            part = d[at : at + most + length - 1]
+            found = anchors(part, np.array([0, len(part)]), length)
+            yield a, found | {k: found[k] + at for k in ("low", "high", "at")}
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -63,8 +78,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     names = ("doc", "low", "high", "at", "anchor", "context", "left", "right")
     if len(data) < length or not (np.diff(offsets) >= length).any():
         return {k: np.zeros(0, np.int64) for k in names}
-    if len(data) > int(_PLACE):
-        raise ValueError("texts of 256 MB and more are not supported")
     roll = tk.Rolling(data)
     h = roll.windows(ANCHOR)
     least = _slide((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - ANCHOR + 1, np.minimum, 2**64 - 1)
@@ -134,8 +147,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         for batch in batches:
             data, offsets = tk.raw(batch.column(1).cast(pa.binary()).view(pa.string()))
             rid = batch.column(0).to_numpy()
-            for a, _, d, o in tk.chunks(data, offsets):
-                x = anchors(d, o, length)
+            for a, x in anchors_of(data, offsets, length):
                 # first window, anchor's distance from it and number of further windows in one number; so are the two sides
                 place = (x["low"] << 20) | ((x["at"] - x["low"]) << 10) | (x["high"] - x["low"])
                 sides = (x["left"].astype(np.uint64) >> np.uint64(32) << np.uint64(32)) | (x["right"].astype(np.uint64) >> np.uint64(32))
@@ -171,16 +183,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for i in range(len(batch)):
-                rid, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for c in batch.column(2)[i].as_py():
-                    rows.append((c["meeting"] % n_shards, c["meeting"], c["crowded"], c["copies"], rid, c["low"], data[c["low"] : c["high"]]))
-                    held += c["high"] - c["low"]
-                if held > batch_bytes or i == len(batch) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(shape)], schema=shape)
-                    rows, held = [], 0
+            data, offsets = tk.raw(batch.column(1).view(pa.string()))
+            cuts = batch.column(2)
+            flat, n = cuts.flatten(), cuts.value_lengths().fill_null(0).to_numpy()
+            row = np.repeat(np.arange(len(batch)), n)
+            meeting, copies, low, high = (pc.struct_field(flat, k).to_numpy() for k in ("meeting", "copies", "low", "high"))
+            crowded, rid = pc.struct_field(flat, "crowded"), batch.column(0).to_numpy()[row]
+            begin, size = offsets[row] + low, (high - low).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            a = 0
+            while a < len(size):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + batch_bytes, "right")) - 1)
+                taken = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends[a : b + 1] - ends[a]).astype(np.int32).tobytes()), pa.py_buffer(data[tk.ragged(begin[a:b], size[a:b])].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(meeting[a:b] % n_shards), pa.array(meeting[a:b]), crowded.slice(a, b - a), pa.array(copies[a:b]), pa.array(rid[a:b]), pa.array(low[a:b]), taken], schema=shape)
+                a = b
 
     shape = pa.schema([("shard", pa.int64()), ("meeting", pa.int64()), ("crowded", pa.bool_()), ("copies", pa.int64()), ("rid", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])
     one_of_each = texts.select("__rid", "__data").join(wanted, F.col("__rid") == F.col("rid")).select("rid", F.col("__data").alias("data"), "cuts")
@@ -218,14 +234,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return spans.groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
-def merged(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs that the ranges cover."""
-    if not len(low):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1)
-    inside = np.concatenate(([False], np.cumsum(edge)[:size] > 0, [False]))
-    flips = np.flatnonzero(inside[1:] != inside[:-1])
-    return flips[::2], flips[1::2]
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    fresh = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1]))) if len(low) else np.zeros(0, np.int64)
+    return low[fresh], high[np.concatenate((fresh[1:], [len(low)]))[: len(fresh)] - 1]
 
 
 def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -245,7 +259,7 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "do
             at = np.concatenate(([0], np.cumsum(spans_of)))
             for i in range(len(batch)):  # one text and its ranges at a time, however many a batch has
                 data = batch.column(n)[i].as_py()
-                low, high = merged(lows[at[i] : at[i + 1]], highs[at[i] : at[i + 1]], len(data))
+                low, high = merged(lows[at[i] : at[i + 1]], highs[at[i] : at[i + 1]])
                 rest = b"".join([data[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(data)], strict=True)])
                 for column, v in zip(out, (len(data), len(data) - len(rest), len(low), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else ""), strict=True):
                     column.append(v)

@@ -74,3 +74,14 @@ def test_equal_rows_repeat_each_other_and_empty_tables(spark):
     got = suffix_dedup.dedup(spark.createDataFrame([(7, text, "x"), (7, text, "x"), (None, "short", "x")], "doc_id long, text string, rid string"), ["doc_id", "rid"], with_text=True).collect()
     assert sorted((r["n_removed"], r["kept_text"], r["rid"]) for r in got) == [(0, "short", "x"), (len(text), "", "x"), (len(text), "", "x")]
     assert suffix_dedup.dedup(spark.createDataFrame([], ROWS), ["doc_id"]).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of many stretches; what they share begins and ends inside stretches."""
+    rng = np.random.default_rng(4)
+    long = "".join(map(chr, rng.integers(97, 123, 7_000_000)))
+    rows = [(1, long), (2, "<" + long[300_000:5_500_000] + ">"), (3, long[-250:] + "!" + "z" * 100)]
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, ROWS), ["doc_id"], with_text=True).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"], got[1]["kept_text"]) == (5_200_250, 2, long[:300_000] + long[5_500_000:-250])
+    assert (got[2]["n_removed"], got[2]["kept_text"]) == (5_200_000, "<>")
+    assert (got[3]["n_removed"], got[3]["kept_text"]) == (250, "!" + "z" * 100)
