@@ -2,13 +2,17 @@
 
 A page becomes a flat list of text blocks in page order. A block is described
 by its word count and link density, those of the blocks before and after it,
-and by where it lies (inside an article, or inside a region that its tag, role
-or class names mark as page furniture). A decision tree, grown from the small
-labelled table below, says which blocks are article text.
-
-Null html is an empty page; a page without article text gives "". Broken
-markup is read as browsers read it: unclosed elements stay open, a tag cut off
-by the end of the page is dropped.
+its length against the page's longest block, and by where it lies (inside an
+article, in a paragraph or heading, or inside a region that its tag, role or
+class names mark as page furniture). A decision tree, grown from the blocks of
+the labelled pages below, says which blocks are article text.
+
+Null and empty html is an empty page; a page without article text gives "".
+Broken markup is read as browsers read it: unclosed elements stay open, a tag
+cut off by the end of the page is dropped. Very long pages are read whole, in
+one pass. Repeated rows and equal pages give equal results, each its own row; an
+empty table gives an empty result. The kept columns may have any names; of
+columns called text or n_chars among them, the result has both.
 """
 
 from __future__ import annotations
@@ -33,11 +37,20 @@ SKIPPED = frozenset("script style title noscript template textarea select iframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Class and id words of page furniture.
-WORDS = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|rail|comments?|commentlist|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|trending|breadcrumbs?|menu|nav|navbar|navigation|topbar|toolbar|footer|foot|masthead|widget|pagination|pager|copyright|disclaimer|search|skip|toc)(?:$|[-_])"
+#: Words that name page furniture in classes and ids, and words that may stand beside them without changing that.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored sponsorship promo promos promoted promotion promotions banner banners "
+    "sidebar sidebars aside side rail comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups "
+    "modal overlay dialog newsletter newsletters subscribe subscription signup login share sharing social related recommend recommended recommendations trending breadcrumb breadcrumbs menu menus "
+    "nav navbar navigation topbar toolbar footer footers foot masthead widget widgets pagination pager copyright disclaimer search skip toc".split()
+)
+BESIDE = frozenset(
+    "site page main top bottom left right upper lower list lists item items box block blocks wrapper wrap container inner outer area section bar button buttons link links group panel row post posts "
+    "article articles entry blog story stories primary secondary global header headline body text form field js module mod unit slot zone label title heading thread count author meta date avatar "
+    "message sticky fixed mini small large desktop mobile reader readers user users visitor visitors icon icons tag tags by the for more".split()
 )
-_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+HEADERS = frozenset("header site page global top main wrapper container inner bar".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+(?:x\d+)?")
 
 
 @dataclass
@@ -49,7 +62,15 @@ class Block:
     linked: int
     furniture: bool
     article: bool
-    heading: bool
+    paragraph: bool
+
+
+def names_furniture(name: str, in_article: bool) -> bool:
+    """Whether a class or id as a whole names page furniture: "related-posts" does, "related-work" doesn't."""
+    parts = {p.lower() for p in _PART.findall(name) if not p[0].isdigit()}
+    if not in_article and "header" in parts and parts <= HEADERS:
+        return True
+    return bool(parts & NAMES) and parts <= NAMES | BESIDE
 
 
 def _region(tag: str, attributes: str, in_article: bool) -> str:
@@ -61,23 +82,19 @@ def _region(tag: str, attributes: str, in_article: bool) -> str:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
     if role in ROLES or hidden:
         return "furniture"
-    if tag not in ("html", "body", "main"):
-        names = f"{found.get('class', '')} {found.get('id', '')}".split()
-        for name in names:
-            name = _CAMEL.sub("-", name).lower()
-            if not name.startswith(("has-", "with-", "no-")) and WORDS.search(name):
-                return "furniture"
+    if tag not in ("html", "body", "main") and any(names_furniture(name, in_article) for name in f"{found.get('class', '')} {found.get('id', '')}".split()):
+        return "furniture"
     if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
         return "article"
     return ""
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order."""
+    """The page's text blocks in order. Text of inline furniture (a share link in a sentence) belongs to none."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
-    furniture = article = links = 0
-    heading = False
+    furniture = article = links = inline = 0
+    paragraph, in_p = False, ""
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -86,14 +103,14 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join([p for p, _ in parts]).split())
             if text:
                 linked = sum(len(p.split()) for p, inside in parts if inside)
-                out.append(Block(text, text.count(" ") + 1, linked, furniture > 0, article > 0, heading))
+                out.append(Block(text, text.count(" ") + 1, linked, furniture > 0 or in_p == "furniture", article > 0, paragraph))
             parts = []
 
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else end]
-        if text:
+        if text and not inline:
             parts.append((html.unescape(text), links > 0))
         if not m:
             break
@@ -116,8 +133,10 @@ def blocks(page: str) -> list[Block]:
             links = 0 if closing else 1
         if tag in BLOCK:
             flush()
-            heading = not closing and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if tag in VOID or tag in ("p", "a"):
+            in_p = _region(tag, attributes, article > 0) if tag == "p" and not closing else ""
+            paragraph = not closing and tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption")
+            inline = 0
+        if tag in VOID or tag == "p":
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -125,12 +144,15 @@ def blocks(page: str) -> list[Block]:
                     for _, kind in stack[i:]:
                         furniture -= kind == "furniture"
                         article -= kind == "article"
+                        inline -= kind == "inline"
+                    inline = max(inline, 0)
                     del stack[i:]
                     break
-        elif tag in BLOCK or tag in ("span", "ins"):
+        elif tag in BLOCK or tag in ("a", "span", "ins", "small", "strong", "em", "b", "i", "label"):
             kind = _region(tag, attributes, article > 0)
-            if tag not in BLOCK and kind == "furniture":
-                flush()
+            if tag not in BLOCK:
+                kind = "inline" if kind == "furniture" else ""
+                inline += kind == "inline"
             furniture += kind == "furniture"
             article += kind == "article"
             stack.append((tag, kind))
@@ -140,33 +162,68 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "article", "page_has_article")
-
-#: The labelled table, made by hand: words and link density of a block, of the one before and of the one after; then whether
-#: it is article text where it lies in an article, and whether it is on a page that marks no article.
-LABELLED = (
-    (45, 0, 8, 0, 60, 0, 1, 1), (60, 0, 45, 0, 52, 0, 1, 1), (70, 0.1, 48, 0, 66, 0, 1, 1), (25, 0, 60, 0, 31, 0, 1, 1), (90, 0.05, 12, 0, 5, 1, 1, 1), (30, 0, 0, 0, 0, 0, 1, 1),
-    (12, 0, 33, 0, 40, 0, 1, 1), (20, 0.25, 26, 0, 5, 0, 1, 1), (15, 0, 41, 0, 3, 1, 1, 1), (16, 0, 18, 0, 14, 0, 1, 1), (18, 0, 2, 1, 40, 0, 1, 1), (30, 0, 2, 1, 2, 1, 1, 1),
-    (22, 0, 7, 0, 22, 0, 1, 1), (24, 0, 22, 0, 3, 0, 1, 1), (13, 0.1, 3, 0, 2, 0, 1, 1), (40, 0.3, 5, 0, 8, 0, 1, 1), (11, 0, 1, 0, 1, 0, 1, 1), (28, 0, 4, 0.5, 2, 0, 1, 1),
-    (3, 0, 60, 0, 48, 0, 1, 1), (4, 0, 50, 0, 45, 0, 1, 1), (3, 0, 28, 0, 36, 0, 1, 1), (9, 0, 3, 1, 52, 0, 1, 1), (6, 0, 2, 1, 38, 0, 1, 1), (7, 0, 0, 0, 22, 0, 1, 1),
-    (3, 0, 22, 0, 0, 0, 1, 1), (2, 0, 35, 0, 2, 1, 1, 1), (8, 0.1, 26, 0, 30, 0, 1, 1), (5, 0, 24, 0, 4, 0, 1, 1), (1, 0, 30, 0, 1, 0, 1, 1), (6, 0, 19, 0, 18, 0, 1, 1),
-    (2, 0, 1, 0, 0, 0, 1, 0), (1, 0, 0, 0, 0, 0, 1, 0), (5, 0, 4, 0, 9, 0.3, 1, 0), (2, 0, 3, 0, 4, 1, 1, 0), (6, 0, 5, 1, 2, 0, 1, 0), (4, 0, 2, 1, 3, 1, 1, 0),
-    (3, 0, 2, 0, 2, 0, 1, 0), (5, 0, 4, 1, 0, 0, 1, 0), (8, 0, 6, 0, 7, 0, 1, 0), (1, 0, 8, 0, 3, 0, 1, 0), (7, 0.2, 3, 0.5, 6, 0, 1, 0), (9, 0, 9, 0, 9, 0, 1, 0),
-    (14, 0.7, 40, 0, 30, 0, 1, 0), (7, 1, 44, 0, 52, 0, 1, 0), (12, 0.9, 35, 0, 25, 0, 1, 0), (14, 0.5, 40, 0, 33, 0, 1, 0), (8, 0.9, 50, 0, 3, 1, 1, 0), (3, 1, 9, 0, 11, 0, 1, 0),
-    (2, 1, 1, 0, 40, 0, 1, 0), (4, 1, 20, 0, 1, 0, 1, 0), (25, 0.6, 3, 0, 20, 0.2, 1, 0), (5, 0.8, 3, 0, 4, 0, 1, 0), (30, 0.8, 12, 0.2, 20, 0.4, 1, 0), (9, 0.6, 2, 0.4, 2, 0.4, 1, 0),
-    (3, 1, 4, 1, 5, 1, 0, 0), (4, 1, 2, 1, 3, 1, 0, 0), (6, 1, 5, 1, 4, 1, 0, 0), (2, 1, 3, 1, 2, 1, 0, 0), (1, 1, 1, 1, 1, 1, 0, 0), (9, 1, 8, 1, 7, 1, 0, 0),
-)
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "share_of_longest", "paragraph", "furniture", "article", "page_has_article")
+
+#: The labelled table, made by hand: pages as lists of their blocks. A block is where it lies (A, B: in an article, in or
+#: outside a paragraph or heading; P, O: outside both article and furniture, likewise; G, F: in furniture, likewise; Y, X: in
+#: furniture that is in an article, likewise), its words, after a colon its words inside links, and + for article text or -.
+LABELLED = """
+    F1:1- F1:1- F2:2- F1:1- F8- A9+ A45+ A60+ A3+ A52+ A70:7+ A31+ F8:1-
+    F2:2- F1:1- G12- A7+ A12+ A33:2+ A25+ A90:5+ X3:3- X4:4- G10-
+    F6:6- A5+ A22+ A14+ A2+ A38+ B8+ B11+ B6+ A27+ B3:3- B4:4- B5:5- G9:3-
+    F3:3- O14- A8+ A26+ B1+ B2+ B7:1+ A41+ P16- O4- F5:2-
+    F1:1- F1:1- A4+ A3+ A6+ G2- F7:7-
+    A11+ A9+
+    F9- A10+ A18+ Y18- A40:12+ A24+ G6- G15- G22- F3:1-
+    A6+ A55+ A7:7+ A48+ B12:11- B9:9- B10:10- A30+ F5:5-
+    F4:4- A3+ A80+ Y35- A1+ A75+ B35+ B28+ O30- P45- P22- G12-
+    F2:2- A12+ B40+ B62:4+ B9+ X30- B33+ G20- F11-
+    O2:2- O1:1- O3:3- O5- P8+ P42+ P55+ P3+ P61:4+ P18+ O4:4- O6:6- O5-
+    O1:1- O1:1- O1:1- P7+ P28+ P35+ P12+ O3- O2:2-
+    P6+ P7+
+    P5+ P9+ P6+
+    G2- F3:3- P4+ P5+ P8+ G6-
+    F1:1- P7+ P30+ G21- P44+ O9+ O14+ P25+ G4-
+    O8:8- O45+ O60+ O52:3+ O7- O3:3- O4-
+    O4:4- O6- O33+ O41+ O12+ O2- O3:2-
+    O30+ O25+
+    O1-
+    O2-
+    O1- F4:4-
+    F5:5- O20+ F3-
+    O1:1- O2:2- O25:20- O30:26- O28:25- O2:1- O4-
+    F3:3- P10+ P50+ P14:14- P48+ O12:12- O13:13- O11:11- G8-
+    O3:3- P90+ P85+ O2- O1- O2- P70+ O5:5-
+    G7- G9- G16- F2:2- G30- G45- A20+ Y25- Y33:2- X12-
+    F1:1- A8+ B2+ B3+ B1+ B2+ A21+ A16+ Y3- Y40- Y52- G10-
+    O2- O1- O2:2- P6+ P38+ P29+ O2- O1- O3:3- O2-
+    G40- A12+ A9+ A66+ Y60- A4+ Y9- Y44- X2- Y38-
+"""
 
 
 def labelled_rows() -> list[tuple]:
-    """FEATURES and label of every row of the table in each place it may lie: in an article, outside it, on a page without one, in furniture."""
+    """FEATURES and label of every block of the labelled pages."""
     rows = []
-    for *numbers, in_article, unmarked in LABELLED:
-        rows += [(*numbers, 0, 1, 1, in_article), (*numbers, 0, 0, 1, 0), (*numbers, 0, 0, 0, unmarked)]
-        rows += [(*numbers, 1, 0, 1, 0), (*numbers, 1, 1, 1, 0), (*numbers, 1, 0, 0, 0)]
+    for line in LABELLED.split("\n"):
+        page = [re.fullmatch(r"([ABFGOPXY])(\d+)(?::(\d+))?([+-])", block) for block in line.split()]
+        made = [Block("", int(m[2]), int(m[3] or 0), m[1] in "FGXY", m[1] in "ABXY", m[1] in "APGY") for m in page]
+        rows += [(*row, int(m[4] == "+")) for row, m in zip(page_features(made), page, strict=True)]
     return rows
 
 
+def page_features(page: list[Block]) -> list[tuple]:
+    """FEATURES of each block of a page."""
+    words = [b.words for b in page]
+    density = [min(b.linked / b.words, 1.0) for b in page]
+    longest = max((b.words for b in page if not b.furniture), default=1)
+    has_article = any(b.article and not b.furniture for b in page)
+    around = lambda x, i: x[i] if 0 <= i < len(x) else 0
+    return [
+        (b.words, density[i], around(words, i - 1), around(density, i - 1), around(words, i + 1), around(density, i + 1), min(b.words / longest, 1.0), b.paragraph, b.furniture, b.article, has_article)
+        for i, b in enumerate(page)
+    ]
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
     """A binary tree by Gini impurity: (feature, threshold, below, from) or (label,)."""
     if depth == 0 or len(set(y.tolist())) < 2:
@@ -202,27 +259,24 @@ def decide(tree: tuple, row: tuple) -> int:
 def main_text(page: str, tree: tuple) -> str:
     """The page's article: its blocks, two line breaks apart."""
     found = blocks(page)
-    density = [b.linked / b.words for b in found]
-    has_article = any(b.article and not b.furniture for b in found)
-    kept = []
-    for i, b in enumerate(found):
-        before, after = i - 1 if i else None, i + 1 if i + 1 < len(found) else None
-        row = (b.words, min(density[i], 1.0), found[before].words if before is not None else 0, density[before] if before is not None else 0, found[after].words if after is not None else 0, density[after] if after is not None else 0, b.furniture, b.article, has_article)
-        if decide(tree, row):
-            kept.append(b.text)
-    return "\n\n".join(kept)
-
-
-def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
+    return "\n\n".join([b.text for b, row in zip(found, page_features(found), strict=True) if decide(tree, row)])
+
+
+def extract(pages: DataFrame, keep: list[str], html_col: str = "html", batch_bytes: int = 4 << 20) -> DataFrame:
     """Adds text and n_chars (code points) to the ``keep`` columns."""
     tree = train()
+    names, kinds = tk.kept(pages, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.as_strings(batch.column(batch.num_columns - 1))
-            for i in range(0, len(texts), 500):
-                out = [main_text(p.as_py(), tree) for p in texts.slice(i, 500)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 500) for j in range(batch.num_columns - 1)), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [*keep, "text", "n_chars"])
-
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, f"{kinds}, text string, n_chars long")
+            out: list[str] = []
+            held = done = 0
+            for i in range(len(texts)):
+                out.append(main_text(texts[i].as_py(), tree))
+                held += len(out[-1])
+                if held > batch_bytes or i == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(done, len(out)) for j in range(batch.num_columns - 1)), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [*names, "text", "n_chars"])
+                    out, held, done = [], 0, i + 1
+
+    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(tk.tidy(run), f"{kinds}, text string, n_chars long").toDF(*keep, "text", "n_chars")
