@@ -55,13 +55,18 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(table.filter("false"), F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_bounds_save_work_on_clustered_vectors():
+def clustered(n):
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 300, (8, 16))
-    x = np.floor(centres[rng.integers(0, 8, 4000)] + rng.normal(0, 5, (4000, 16)))
+    return np.floor(centres[rng.integers(0, 8, n)] + rng.normal(0, 5, (n, 16)))
+
+
+def test_bounds_save_work_on_clustered_vectors():
+    x = clustered(4000)
     pivots = topk.choose_pivots(x[:500], 32)
     q, ids = x[:20], np.arange(len(x))
-    got = topk.block_top(ids[:20], q, ids, x, pivots, 10)
+    table, norm = topk.distances(x, pivots), np.sqrt((x**2).sum(1))
+    got = topk.block_top((ids[:20], q, table[:20], norm[:20], np.full(20, -np.inf)), (ids, x, table, norm), 10, float(np.sqrt((pivots**2).sum(1)).max()))
     for a in range(20):
         s = (x @ q[a]).astype(np.int64)
         best = [i for i in np.lexsort((ids, -s)) if i != a][:10]
@@ -69,6 +74,47 @@ def test_bounds_save_work_on_clustered_vectors():
     assert got[3] < 0.6 * 20 * len(x)
 
 
+def test_queries_visit_few_cells_of_clustered_vectors(spark):
+    x = clustered(3000)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 100 == 0) for i, v in enumerate(x)], "id long, v array<double>, asks boolean")
+    placed, cells, _, _ = topk.place(rows, 1.0, 32, 24, 1024, 64, cell_rows=100)
+    assert len(cells.cell) == 24 and cells.lanes.sum() > 40
+    visited = 0
+    for r in placed.filter("asks").collect():
+        bar = np.sort(x @ x[r["id"]])[-11]
+        most = cells.bounds(np.array(r["d"], np.float64), r["norm"])
+        scores = x @ x[r["id"]]
+        assert all(most[list(cells.cell).index(c["cell"])] >= scores[c["id"]] for c in placed.select("id", "cell").collect())
+        visited += (most >= bar).sum()
+    assert visited < 0.5 * 30 * 24
+
+
+def test_top_k_in_many_cells_lanes_and_query_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) + 4 * (i % 3) for _ in range(5)]) for i in range(400)]
+    rows += [(i, [1.5, 2.0, 0.0, 0.0, 1.0]) for i in range(400, 600)]  # a third of all are equal
+    rows += [(i, [10.0**250, -(10.0**14), 1e7, 0.0, 0.5]) for i in range(600, 606)] + [(i, [3e5, -3e5, 3e6, 2e9, -1.0]) for i in range(606, 616)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = {(a, b, c, max(-(2**63), min(2**63 - 1, d))) for a, b, c, d in brute_top(rows, 4) if a < 600}
+    got = topk.top_k(table, F.col("vec_id") % 10 == 0, k=4, n_pivots=6, most_cells=12, queries_per_block=5, block_rows=32)
+    assert {tuple(r) for r in got.collect() if r[0] < 600} == expected
+    repeated = topk.top_k(spark.createDataFrame([(0, [1.0]), (0, [3.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3)
+    assert [tuple(r) for r in repeated.orderBy("rank").collect()] == [(0, 1, 1, 2097152), (0, 2, 1, 2097152)]
+
+
+def test_top_k_of_long_vectors_that_point_apart(spark):
+    """Scores below zero, where bounds are tightest."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, [(-1) ** i * 100 * (1 + rng.random() / 50), rng.random()]) for i in range(60)]
+    rows = [(i, v) for i, v in rows if i % 2 or i == 0 or i > 56]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=5, n_pivots=8)
+    assert {tuple(r) for r in got.collect()} == brute_top(rows, 5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class=top><h1>Site</h1></header>
 <div id="cookie-notice">We use cookies.</div><nav><ul><li><a href="/x">Home</a></li></ul></nav><!-- <p>no</p> -->
 <main><article class="post has-comments"><header><h1>Title &amp; more</h1></header><p>Hello <b>wor</b>ld &lt;x&gt;\n a < b<br>c<p>Short.
@@ -98,3 +144,55 @@ def test_broken_markup_and_long_pages():
     text = html_text.main_text("<article>" + "".join(f"<p>{i}</p>" for i in range(20000)), tree)
     assert text.split("\n\n") == [str(i) for i in range(20000)]
     html_text.main_text("<article>" + '<a "' * 50000, tree)
+
+
+def test_names_are_matched_as_a_whole():
+    furniture = ["ad", "ads", "ad-slot", "adBanner", "sidebar", "right-sidebar", "comments", "comment-list", "site-footer", "cookie-notice", "related-posts", "shareButtons", "newsletter-signup", "ad-300x250", "nav_menu", "site-header"]
+    text = ["related-work", "search-methods", "side-effects-study", "no-js", "has-sidebar", "shadow", "header-less", "commentary", "content", "adventure", "notice-of-the-hearing", "post", "entry-content", "download"]
+    assert [n for n in furniture if not html_text.names_furniture(n, False)] == []
+    assert [n for n in text if html_text.names_furniture(n, False)] == []
+    assert not html_text.names_furniture("site-header", True) and not html_text.names_furniture("entry-header", False)
+
+
+def test_furniture_on_paragraphs_links_and_spans():
+    tree = html_text.train()
+    text = html_text.main_text('<article class="related-work"><h2>Related work</h2><p>We read <span class="ad">now cheaper</span>it all <a class="share-button" href="/s">Share</a>twice.</p><p class="ad">Buy this</p><section id="search-methods"><p>We searched.</p></section><div class="no-js side-effects-study"><p>Nobody fell ill.</p></div></article>', tree)
+    assert text == "Related work\n\nWe read it all twice.\n\nWe searched.\n\nNobody fell ill."
+    assert html_text.main_text("<body><p>Two short paragraphs here.</p><p>This is the second of them.</p></body>", tree) == "Two short paragraphs here.\n\nThis is the second of them."
+    assert html_text.main_text("<article><p>one &amp;amp; two\u00a0three&nbsp;four &#233; &unknown; &lt;b&gt;</p></article>", tree) == "one &amp; two three four é &unknown; <b>"
+
+
+def made_page(rng):
+    """A page and the blocks of its article."""
+    say = lambda a, b: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    article = [say(3, 10)] + [say(*rng.choice([(2, 6), (8, 20), (25, 80)])) for _ in range(rng.randint(2, 9))]
+    ad = lambda: rng.choice([f"<div class='ad-slot'>{say(3, 15)}</div>", f"<p class=promo>{say(5, 30)}</p>", f"<aside>{say(10, 30)}</aside>", f"<!-- {say(3, 9)} -->", f"<script>var x='<p>{say(3, 5)}</p>'</script>", f"<figure hidden>{say(4, 9)}</figure>"])
+    links = "".join(f"<li><a href='/{i}'>{say(1, 4)}</a></li>" for i in range(rng.randint(3, 9)))
+    body = f"<h1>{article[0]}</h1>" + "".join((ad() if rng.random() < 0.2 else "") + f"<p>{x}</p>" for x in article[1:])
+    top = rng.choice([f"<header><h2>{say(1, 4)}</h2><nav><ul>{links}</ul></nav></header>", f"<div id='top-nav'><ul>{links}</ul></div>", f"<nav>{links}</nav><div class='cookie-notice'><p>{say(10, 40)}</p></div>"])
+    after = rng.choice([f"<section id='comments'><h3>{say(1, 3)}</h3><p>{say(10, 60)}</p></section>", f"<div class='related-posts'><ul>{links}</ul></div>", f"<form><label>{say(2, 5)}</label><button>{say(1, 2)}</button></form>", ""])
+    marked = rng.random() < 0.7
+    body = f"<article>{body}{after}</article>" if marked else f"<div class='{rng.choice(['content', 'entry', 'main-text'])}'>{body}</div>{after}"
+    return f"<html><head><title>{say(3, 6)}</title><style>p{{}}</style></head><body>{top}{body}<footer><p>{say(5, 20)}</p></footer></body></html>", article
+
+
+def test_precision_and_recall_on_labelled_pages():
+    rng, tree = random.Random(21), html_text.train()
+    right = kept = wanted = 0
+    for _ in range(400):
+        page, article = made_page(rng)
+        got = html_text.main_text(page, tree).split("\n\n")
+        right += len(set(got) & set(article))
+        kept += len(set(got))
+        wanted += len(set(article))
+    assert right / kept >= 0.95 and right / wanted >= 0.95
+
+
+def test_repeated_clashing_and_very_long_pages(spark):
+    long = "<article><p>" + "word " * 10_000_000 + "</p></article>"
+    rows = [(1, "a", PAGE), (1, "a", PAGE), (2, "b", long)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, n_chars string, html string").withColumnRenamed("n_chars", "html2"), ["page_id", "html2"]).collect()
+    assert [r["n_chars"] for r in got if r["page_id"] == 2] == [49_999_999]
+    assert len({(r["page_id"], r["text"]) for r in got}) == 2 and len(got) == 3
+    clash = html_text.extract(spark.createDataFrame([("t", PAGE)], "text string, html string"), ["text"])
+    assert clash.columns == ["text", "text", "n_chars"] and clash.toDF("a", "b", "c").first()["a"] == "t"
