@@ -63,7 +63,7 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()), batch.column(2)], ["doc_id", "n_shingles", "sid", "rid"])
 
     rows = docs.select(id_col, text_col, F.xxhash64(id_col, text_col))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, sid long, rid long")
+    return rows.mapInArrow(tk.tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, sid long, rid long")
 
 
 def frequent_shingles(docs: DataFrame, sets: DataFrame, total: int, n: int, id_col: str, text_col: str, sampled: int = 1_000_000, least: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def frequent_shingles(docs: DataFrame, sets: DataFrame, total: int, n: int, id_c
             for _, _, d, o in tk.chunks(data, offsets):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(d, o, n)]).view(np.int64))], ["token"])
 
-    got = rows.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= least).toArrow()
+    got = rows.mapInArrow(tk.tidy(run), "token long").groupBy("token").count().filter(F.col("count") >= least).toArrow()
     token, count = got["token"].to_numpy().view(np.uint64), got["count"].to_numpy()
     order = np.argsort(token)
     return token[order], count[order] * step
@@ -207,8 +207,8 @@ def live_sets(docs: DataFrame, sets: DataFrame, total: int, n: int, num: int, de
         return pa.table({name: pa.array([r[j] for r in out], kinds[j]) for j, name in enumerate(("sid", "size", "core", "scan", "subsets"))})
 
     shape = "bucket int, sids binary, sizes binary, counts binary, c0 binary"
-    counted = docs.select(text_col, F.xxhash64(id_col, text_col)).mapInArrow(tokens, shape).groupBy("bucket").applyInArrow(count, f"{shape}, c1 binary")
-    return counted.groupBy("bucket").applyInArrow(gather, "sid long, size long, core binary, scan long, subsets long")
+    counted = docs.select(text_col, F.xxhash64(id_col, text_col)).mapInArrow(tk.tidy(tokens), shape).groupBy("bucket").applyInArrow(tk.tidy(count), f"{shape}, c1 binary")
+    return counted.groupBy("bucket").applyInArrow(tk.tidy(gather), "sid long, size long, core binary, scan long, subsets long")
 
 
 def boundary(live: DataFrame) -> int:
@@ -243,7 +243,7 @@ def _keys(live: DataFrame, bound: int, num: int, den: int) -> DataFrame:
                 cols = [np.concatenate([o[0] for o in out]).view(np.int64), flat(1, np.int64), flat(2, np.int64), np.concatenate([o[3] for o in out]).astype(np.int64), flat(4, bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "size", "rest", "single"])
 
-    return live.select("sid", "size", "core").mapInArrow(run, "key long, sid long, size long, rest long, single boolean")
+    return live.select("sid", "size", "core").mapInArrow(tk.tidy(run), "key long, sid long, size long, rest long, single boolean")
 
 
 def _linked(num: int, den: int, size_a: np.ndarray, size_b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def _verify(pairs: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
     left = live.select(F.col("sid").alias("x"), F.col("size").alias("size_a"), F.col("core").alias("core_a"))
     right = live.select(F.col("sid").alias("y"), F.col("size").alias("size_b"), F.col("core").alias("core_b"))
     full = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y"))
-    return full.select("a", "b", "size_a", "size_b", "core_a", "core_b").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "size_a", "size_b", "core_a", "core_b").mapInArrow(tk.tidy(run), "a long, b long")
 
 
 def block_edges(left: tuple[np.ndarray, np.ndarray, list[np.ndarray]], right: tuple[np.ndarray, np.ndarray, list[np.ndarray]], num: int, den: int) -> list[tuple[int, int]]:
@@ -300,7 +300,7 @@ def _meet(cluster_sets: DataFrame, others: DataFrame, num: int, den: int) -> Dat
 
     keys = ["cluster", "lane", "part"]
     others = others.select(*(F.col(c).alias(c) for c in others.columns))  # both sides may come from one table
-    return cluster_sets.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(run, "a long, b long")
+    return cluster_sets.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(tk.tidy(run), "a long, b long")
 
 
 def _cluster_edges(postings: DataFrame, tops: DataFrame, live: DataFrame, known: DataFrame, num: int, den: int, hubs: int = 256, block: int = 512) -> DataFrame:

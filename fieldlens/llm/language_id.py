@@ -5,8 +5,11 @@ n-grams of the text. A prediction takes the language whose codeword has the
 smallest loss over all bits, where a bit weighs more the better its classifier
 was on the training rows. The gap to the second language flags ambiguity.
 
-Nulls and texts without a letter are ``und`` with score 0. Empty tables give
-empty results; with no labelled row at all, every text is ``und``.
+Nulls and texts without a letter are ``und`` with score 0. Equal texts get equal
+predictions, each row its own; of languages with equal losses the first by name
+wins. Very long texts are counted in stretches. Empty tables give empty results;
+with no labelled row at all, every text is ``und``. Kept columns may have any
+names; if one has that of a result column, the result has both.
 """
 
 from __future__ import annotations
@@ -39,17 +42,29 @@ def _buckets(data: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (h >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def features(text: bytes, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Square roots of the shares of each order's n-grams: a unit vector for each order."""
-    data = np.frombuffer(text, np.uint8)
+def features(data: np.ndarray, orders: tuple[int, ...], bits: int, stretch: int = 1 << 20) -> np.ndarray:
+    """Square roots of the shares of each order's n-grams: a unit vector for each order. N-grams are counted a stretch of the text at a time."""
     out = np.zeros(1 << bits, np.float32)
     for order in orders:
-        at = _buckets(data, order, bits)
-        if len(at):
-            out += np.sqrt(np.bincount(at, minlength=1 << bits) / len(at)).astype(np.float32)
+        count = np.zeros(1 << bits, np.int64)
+        for at in range(0, len(data) - order + 1, stretch):
+            count += np.bincount(_buckets(data[at : at + stretch + order - 1], order, bits), minlength=1 << bits)
+        if count.any():
+            out += np.sqrt(count / count.sum()).astype(np.float32)
     return out
 
 
+def has_letter(data: np.ndarray, stretch: int = 1 << 16) -> bool:
+    """Whether UTF-8 text holds a letter; it is read only as far as the first one."""
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+    for at in range(0, len(data), stretch):
+        if letter.search(data[max(0, at - 3) : at + stretch].tobytes().decode("utf-8", "ignore")):
+            return True
+    return False
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1 and -1: all splits for up to 6 languages, else random codes with widely separated rows."""
     if n <= 1:
@@ -131,11 +146,11 @@ def train(labelled: DataFrame, text_col: str, label_col: str, per_language: int
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.utf8_lower(tk.as_strings(batch.column(1)))
-            out = [features(t.as_py().encode(), orders, bits).astype(np.float16).tobytes() for t in texts]
+            data, offsets = tk.raw(pc.utf8_lower(tk.as_strings(batch.column(1))))
+            out = [features(data[a:b], orders, bits).astype(np.float16).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["lang", "x"])
 
-    got = picked.mapInArrow(sparse, "lang string, x binary").toArrow()
+    got = picked.mapInArrow(tk.tidy(sparse), "lang string, x binary").toArrow()
     order = sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True))
     x = np.array([np.frombuffer(b, np.float16) for _, b in order], np.float32).reshape(len(order), 1 << bits)
     return fit(x, [lang for lang, _ in order], orders, bits)
@@ -144,22 +159,20 @@ def train(labelled: DataFrame, text_col: str, label_col: str, per_language: int
 def predict(docs: DataFrame, model: CodeModel, keep: list[str], text_col: str = "text", ambiguous_below: float = 0.6) -> DataFrame:
     """Adds lang_pred, score (0 to 1), runner_up and ambiguous to the ``keep`` columns."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+    names, kinds = tk.kept(docs, keep)
 
-        letter = regex.compile(r"\p{L}")
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = tk.as_strings(batch.column(batch.num_columns - 1))
-            low = pc.utf8_lower(texts)
+            data, offsets = tk.raw(pc.utf8_lower(tk.as_strings(batch.column(batch.num_columns - 1))))
             pred, score, second = [], [], []
-            for text in low:
-                text = text.as_py()
-                if not model.languages or not letter.search(text):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                text = data[a:b]
+                if not model.languages or not has_letter(text):
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     second.append(None)
                     continue
-                loss = model.losses(model.margins(features(text.encode(), model.orders, model.bits)[None]))[0]
+                loss = model.losses(model.margins(features(text, model.orders, model.bits)[None]))[0]
                 share = np.exp(loss.min() - loss)
                 share /= share.sum()
                 order = np.lexsort((np.arange(len(loss)), loss))
@@ -168,7 +181,6 @@ def predict(docs: DataFrame, model: CodeModel, keep: list[str], text_col: str =
                 second.append(model.languages[order[1]] if len(order) > 1 else None)
             got = np.array(score)
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(got), pa.array(second, pa.string()), pa.array(got < ambiguous_below)], [*keep, "lang_pred", "score", "runner_up", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(got), pa.array(second, pa.string()), pa.array(got < ambiguous_below)], [*names, "lang_pred", "score", "runner_up", "ambiguous"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(scored, f"{kinds}, lang_pred string, score double, runner_up string, ambiguous boolean")
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tk.tidy(scored), f"{kinds}, lang_pred string, score double, runner_up string, ambiguous boolean").toDF(*keep, "lang_pred", "score", "runner_up", "ambiguous")

@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
             yield made(batch.column(0), source, rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(tk.tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Pattern(NamedTuple):

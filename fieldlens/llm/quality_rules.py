@@ -6,14 +6,20 @@ threshold condition at a time on two thirds of the rows, is pruned on the
 rest, and is kept while it stays precise; covered rows go, and the next rule
 starts. The list becomes one ordered Spark ``CASE WHEN``.
 
-Null text has no words, so it fails the base rule (fewer than 20 words). With
-no labelled row the list is empty and only the base rule decides.
+Null and empty texts have no words, so they fail the base rule (fewer than 20
+words). Equal texts get equal verdicts, each row its own; of conditions that gain
+alike the first in order is taken. Very long texts are counted in stretches.
+With no labelled row the list is empty and only the base rule decides; an empty
+table gives an empty result. Kept columns may have any names but those of the
+statistics, which would be taken for them: rename such columns first, as the
+pipeline does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,59 +38,114 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _EXTRA = ["n_digits", "n_upper", "n_marks", "n_stops", "n_lines", "n_distinct_words", "longest_word"]
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row per text: the columns of _COUNTS, then those of _EXTRA."""
+class Counted(NamedTuple):
+    """What is known of a stretch of texts: sums and longest word of each text, hashes of words and of lines that hold a word, with their text numbers."""
+
+    sums: np.ndarray
+    longest: np.ndarray
+    words: np.ndarray
+    word_doc: np.ndarray
+    lines: np.ndarray
+    line_doc: np.ndarray
+
+
+def _counted(data: np.ndarray, offsets: np.ndarray, with_lines: bool = True) -> Counted:
     n = len(offsets) - 1
     begin, end, doc = tk.words(data, offsets)
-    n_words = np.bincount(doc, minlength=n)
     sums = np.zeros((6, len(data) + 1), np.int64)
     for i in range(6):
         np.cumsum(_CHAR[i][data], out=sums[i, 1:])
-    per = [s[offsets[1:]] - s[offsets[:-1]] for s in sums]
-    chars = np.bincount(doc, sums[0][end] - sums[0][begin], n).astype(np.int64)
+    per = [s[offsets[1:]] - s[offsets[:-1]] for s in sums[1:]]
+    size = sums[0][end] - sums[0][begin]
     longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, doc, sums[0][end] - sums[0][begin])
+    np.maximum.at(longest, doc, size)
     roll = tk.Rolling(data)
-    hashes = roll.of(begin, end)
-    pair = np.unique(tk.mix(hashes + tk.mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-    distinct = np.bincount(doc[pair], minlength=n)
+    totals = np.stack([np.bincount(doc, size, n).astype(np.int64), *per], 1)
+    if not with_lines:
+        return Counted(totals, longest, tk.range_hashes(data, roll, begin, end), doc, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    # lines: from a text's start or after \n to the next \n or the text's end
+    breaks = np.flatnonzero(data == 10)
+    owner = np.searchsorted(offsets, breaks, "right") - 1
+    first, line_doc = np.concatenate((offsets[:-1], breaks + 1)), np.concatenate((np.arange(n), owner))
+    order = np.lexsort((first, line_doc))
+    first, line_doc = first[order], line_doc[order]
+    last = np.sort(np.concatenate((breaks, offsets[1:])))
+    has_word = np.searchsorted(begin, last) > np.searchsorted(begin, first)
+    first, last, line_doc = first[has_word], last[has_word], line_doc[has_word]
+    return Counted(totals, longest, tk.range_hashes(data, roll, begin, end), doc, tk.range_hashes(data, roll, first, last), line_doc)
 
-    windows = tk.combine(hashes, WINDOW)
+
+def _stretches(data: np.ndarray, most: int) -> Iterator[tuple[int, int, bool]]:
+    """Ranges of one long text of about ``most`` bytes: of whole lines, or (False) of whole words of a line that is longer."""
+    breaks = np.flatnonzero(data == 10)
+    at = 0
+    while at < len(data):
+        k = int(np.searchsorted(breaks, at + most))
+        end = int(breaks[k]) + 1 if k < len(breaks) else len(data)
+        if end - at > 2 * most:  # a very long line ends here; lines before it come first
+            line = int(breaks[k - 1]) + 1 if k and breaks[k - 1] >= at else at
+            if line > at:
+                yield at, line, True
+            for low, high in tk.parts(data[line:end], most):
+                yield line + low, line + high, False
+        else:
+            yield at, end, True
+        at = end
+
+
+def _long(data: np.ndarray, most: int) -> Counted:
+    """_counted of one long text, put together from its stretches."""
+    found, whole = [], 0
+    for low, high, lines in _stretches(data, most):
+        part = data[low:high]
+        c = _counted(part, np.array([0, len(part) - (lines and part[-1] == 10)]), lines)
+        if not lines:  # the line is hashed as one
+            ends = high == len(data) or data[high - 1] == 10
+            line = data[whole : high - (data[high - 1] == 10)] if ends else data[:0]
+            if ends and not tk.SPACE[line].all():
+                c = c._replace(lines=np.array([tk.long_hash(line)], np.uint64), line_doc=np.zeros(1, np.int64))
+        if lines or ends:
+            whole = high
+        found.append(c)
+    return Counted(sum(c.sums for c in found), np.maximum.reduce([c.longest for c in found]), *(np.concatenate(x) for x in list(zip(*found, strict=True))[2:]))
+
+
+def _finished(c: Counted) -> np.ndarray:
+    n = len(c.longest)
+    own = lambda doc: tk.mix(doc.astype(np.uint64) + np.uint64(1))
+    distinct = lambda hashes, doc: np.bincount(doc[np.unique(tk.mix(hashes + own(doc)), return_index=True)[1]], minlength=n)
+    doc = c.word_doc
+    windows = tk.combine(c.words, WINDOW)
     inside = np.flatnonzero(doc[: len(windows)] == doc[WINDOW - 1 :]) if len(windows) else np.zeros(0, np.int64)
-    _, which, count = np.unique(tk.mix(windows[inside] + tk.mix(doc[inside].astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+    _, which, count = np.unique(tk.mix(windows[inside] + own(doc[inside])), return_inverse=True, return_counts=True)
     twice = inside[count[which] > 1]
     edge = np.bincount(twice, minlength=len(doc) + 1)[: len(doc) + 1] - np.bincount(twice + WINDOW, minlength=len(doc) + 1)[: len(doc) + 1]
     repeated = np.bincount(doc, np.cumsum(edge)[:-1] > 0, n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
+    lines = np.bincount(c.line_doc, minlength=n)
+    chars, symbols, digits, upper, marks, stops = c.sums.T
+    return np.stack([np.bincount(doc, minlength=n), chars, symbols, lines - distinct(c.lines, c.line_doc), repeated, digits, upper, marks, stops, lines, distinct(c.words, doc), c.longest], 1).astype(np.int64)
 
-    # lines: from a text's start or after \n to the next \n or the text's end
-    breaks = np.flatnonzero(data == 10)
-    owner = np.searchsorted(offsets, breaks, "right") - 1
-    first = np.concatenate((offsets[:-1], breaks + 1))
-    last = np.concatenate((breaks, offsets[1:]))
-    order = np.lexsort((first, np.concatenate((np.arange(n), owner))))
-    line_doc = np.concatenate((np.arange(n), owner))[order]
-    first = first[order]
-    last = np.sort(last)
-    has_word = np.searchsorted(begin, last) > np.searchsorted(begin, first)
-    first, last, line_doc = first[has_word], last[has_word], line_doc[has_word]
-    lines = np.bincount(line_doc, minlength=n)
-    seen = np.unique(tk.mix(roll.of(first, last) + tk.mix(line_doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-    dup = lines - np.bincount(line_doc[seen], minlength=n)
-    return np.stack([n_words, chars, per[1], dup, repeated, per[2], per[3], per[4], per[5], lines, distinct, longest], 1).astype(np.int64)
+
+def statistics(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """One row per text: the columns of _COUNTS, then those of _EXTRA. Of a text longer than ``most`` bytes only hashes of its words and lines are held at once."""
+    rows = [np.zeros((0, 12), np.int64)]
+    for a, b, d, o in tk.chunks(data, offsets, most):
+        rows.append(_finished(_long(d, most) if b == a + 1 and len(d) > most else _counted(d, o)))
+    return np.concatenate(rows)
 
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns and the statistics of the whole text, as longs. ``keep`` must not have their names."""
+    """The ``keep`` columns and the statistics of the whole text, as longs."""
     columns = keep if text_col in keep else [*keep, text_col]
+    names, kinds = tk.kept(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.raw(batch.column(columns.index(text_col)))
-            rows = np.concatenate([np.zeros((0, 12), np.int64), *(statistics(d, o) for _, _, d, o in tk.chunks(data, offsets))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*keep, *_COUNTS, *_EXTRA])
+            rows = statistics(data, offsets)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*names, *_COUNTS, *_EXTRA])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns).mapInArrow(run, ", ".join([kinds, *(f"{c} long" for c in _COUNTS + _EXTRA)]))
+    return docs.select(*columns).mapInArrow(tk.tidy(run), ", ".join([kinds, *(f"{c} long" for c in _COUNTS + _EXTRA)])).toDF(*keep, *_COUNTS, *_EXTRA)
 
 
 def base_failed() -> Column:

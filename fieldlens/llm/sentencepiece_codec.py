@@ -227,4 +227,4 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(total), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tk.tidy(digests), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -155,7 +155,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "rid", "place", "sides"])
 
     texts = _keyed(docs, text_col, id_col)
-    found = texts.filter(F.octet_length("__data") >= length).select("__rid", "__data").mapInArrow(find, "anchor long, context long, rid long, place long, sides long")
+    found = texts.filter(F.octet_length("__data") >= length).select("__rid", "__data").mapInArrow(tk.tidy(find), "anchor long, context long, rid long, place long, sides long")
     # anchors seen once can't be part of a repetition
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("n > 1")
     again = materialize(again.select(F.col("anchor").alias("a"), (F.col("c0") == F.col("c1")).alias("alike")))
@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     shape = pa.schema([("shard", pa.int64()), ("meeting", pa.int64()), ("crowded", pa.bool_()), ("copies", pa.int64()), ("rid", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])
     one_of_each = texts.select("__rid", "__data").join(wanted, F.col("__rid") == F.col("rid")).select("rid", F.col("__data").alias("data"), "cuts")
-    contexts = materialize(one_of_each.mapInArrow(cut, "shard long, meeting long, crowded boolean, copies long, rid long, low int, bytes binary"))
+    contexts = materialize(one_of_each.mapInArrow(tk.tidy(cut), "shard long, meeting long, crowded boolean, copies long, rid long, low int, bytes binary"))
 
     def sort_shard(table: pa.Table) -> pa.Table:
         rid, low, copies = (table.column(c).to_numpy() for c in ("rid", "low", "copies"))
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         key, start, end = _spans(rid[which], low[which] + inside, length)
         return pa.table({"rid": pa.array(key, pa.int64()), "low": pa.array(start.astype(np.int32)), "high": pa.array(end.astype(np.int32))})
 
-    sorted_out = contexts.filter("not crowded").groupBy("shard").applyInArrow(sort_shard, "rid long, low int, high int")
+    sorted_out = contexts.filter("not crowded").groupBy("shard").applyInArrow(tk.tidy(sort_shard), "rid long, low int, high int")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     spans = whole.unionByName(sorted_out)
     if not crowd.filter("crowded").isEmpty():
-        crowded = materialize(contexts.filter("crowded").select("meeting", "copies", "rid", "low", "bytes").mapInArrow(windows, "h long, place long, copies long, rid long, low int"))
+        crowded = materialize(contexts.filter("crowded").select("meeting", "copies", "rid", "low", "bytes").mapInArrow(tk.tidy(windows), "h long, place long, copies long, rid long, low int"))
         twice = crowded.groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.max("copies").alias("c")).filter("p0 <> p1 or c > 1").select(F.col("h").alias("k"))
         counted = crowded.filter("copies = 1").join(materialize(twice), F.col("h") == F.col("k"))
         spans = spans.unionByName(counted.select("rid", "low", (F.col("low") + length).alias("high")))
@@ -250,6 +250,8 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "do
     spans = repeated_spans(docs, length, id_col, text_col)
     texts = _keyed(docs, text_col, id_col)
 
+    names, kinds = tk.kept(docs, keep)
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns - 2
@@ -264,9 +266,9 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "do
                 for column, v in zip(out, (len(data), len(data) - len(rest), len(low), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else ""), strict=True):
                     column.append(v)
             cols = [*(batch.column(i) for i in range(n)), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.string())] * with_text, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.string())] * with_text, [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     spans = spans.select(F.col("rid").alias("__of"), F.col("spans").alias("__spans"))
     joined = texts.select(*keep, "__rid", "__data").join(spans, F.col("__rid") == F.col("__of"), "left").select(*keep, "__data", "__spans")
-    return joined.mapInArrow(finish, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
+    return joined.mapInArrow(tk.tidy(finish), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text).toDF(*keep, *added)

@@ -6,11 +6,15 @@ work on that buffer: no Python object is made for a character or a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from ctypes import CDLL
 from hashlib import blake2b
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _SEED = np.random.default_rng(20240501)
 _BYTE = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,6 +38,38 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep after use to the system: a worker lives on, through stages of other operators."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """The function for batches or for a group, leaving its worker no memory in use at the end of a task or a group."""
+    if isgeneratorfunction(run):
+
+        def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(batches)
+            give_back()
+
+        return batchwise
+
+    def groupwise(*tables):
+        out = run(*tables)
+        give_back()
+        return out
+
+    # Spark tells the forms of a group function apart by the number of its parameters
+    return (lambda left, right: groupwise(left, right)) if len(signature(run).parameters) == 2 else (lambda table: groupwise(table))
+
+
+def kept(df: DataFrame, keep: list[str]) -> tuple[list[str], str]:
+    """Names free of clashes, and their types as a schema, for columns that a batch function hands through."""
+    names = [f"__kept{i}" for i in range(len(keep))]
+    return names, ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(30))
@@ -118,13 +154,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 LONG_WORD = 1 << 20
 
 
-def parts(data: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of one text of about ``most`` bytes each that end where a word ends; a longer word makes a longer range."""
+def parts(data: np.ndarray, most: int = 1 << 20, ends: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
+    """Ranges of one text of about ``most`` bytes each that end before one of the bytes in ``ends``, so where a word ends; a longer word makes a longer range."""
     at, n = 0, len(data)
     while at < n:
         end = min(at + most, n)
-        while end < n and not SPACE[data[end]]:  # look on, a stretch at a time
-            stretch = SPACE[data[end : end + 4096]]
+        while end < n and not ends[data[end]]:  # look on, a stretch at a time
+            stretch = ends[data[end : end + 4096]]
             end += int(stretch.argmax()) if stretch.any() else len(stretch)
         yield at, end
         at = end
@@ -140,23 +176,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> t
                 begin = low + int(inside[-1]) + 1 if len(inside) else low
                 found.append((_hashes(d[low:begin], np.array([0, begin - low]))[0], np.zeros(0, np.int64)))
                 found[-1] = (found[-1][0], np.full(len(found[-1][0]), a))
-                found.append((np.array([_long_hash(d[begin:high])], np.uint64), np.array([a])))
+                found.append((np.array([long_hash(d[begin:high])], np.uint64), np.array([a])))
                 continue
             h, doc = _hashes(d[low:high], o if b > a + 1 else np.array([0, high - low]))
             found.append((h, doc + a))
     return np.concatenate([h for h, _ in found]), np.concatenate([doc for _, doc in found])
 
 
-def _long_hash(word: np.ndarray) -> int:
+def long_hash(word: np.ndarray) -> int:
     return int.from_bytes(blake2b(word.tobytes(), digest_size=8).digest(), "little")
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin, end, doc = words(data, offsets)
-    out = Rolling(data).of(begin, end)
+    return range_hashes(data, Rolling(data), begin, end), doc
+
+
+def range_hashes(data: np.ndarray, roll: Rolling, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges; those longer than LONG_WORD by the other function."""
+    out = roll.of(begin, end)
     for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
-        out[i] = _long_hash(data[begin[i] : end[i]])
-    return out, doc
+        out[i] = long_hash(data[begin[i] : end[i]])
+    return out
 
 
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:

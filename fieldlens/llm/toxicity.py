@@ -6,14 +6,20 @@ and for a neutral word; sentences without one get terms set in for a word. The
 training loss adds the squared score change between the two versions, so that
 neutral mentions of a group don't move a score.
 
-Null and empty texts score by the intercept alone. With no labelled row the
-score is 0 everywhere; with labels of one kind only, it is that label's rate.
+Null and empty texts score by the intercept alone. Equal texts get equal scores,
+each row its own; a score of exactly 0.5 is predicted 1. Very long texts are
+read in stretches. With no labelled row the score is 0 everywhere; with labels
+of one kind only, it is that label's rate. Of several labels of one id each
+counts. An empty table gives an empty result. Kept columns may have any names;
+if one has that of a result column, the result has both.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +46,11 @@ _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters, digits and bytes of longer characters, never across texts."""
-    return tk.words(np.where(_LETTERS[data], data, np.uint8(32)), offsets)
+_GAPS = ~_LETTERS
 
 
-def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature number (32 bits) and text number of every word and word beginning of lower-cased texts."""
-    begin, end, doc = _words(data, offsets)
+def _short(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin, end, doc = tk.words(np.where(_LETTERS[data], data, np.uint8(32)), offsets)
     roll = tk.Rolling(data)
     ids, docs = [(roll.of(begin, end) ^ np.uint64(1)) >> np.uint64(32)], [doc]
     for k in PREFIXES:
@@ -57,32 +60,54 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(ids), np.concatenate(docs)
 
 
+def hashed(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature number (32 bits) and text number of every word and word beginning of lower-cased texts, a stretch of them at a time.
+
+    Words are runs of letters, digits and bytes of longer characters, never
+    across texts; a word beyond ``most`` bytes counts by its beginnings only.
+    """
+    for a, b, d, o in tk.chunks(data, offsets, most):
+        for low, high in tk.parts(d, most, _GAPS) if b == a + 1 else [(0, len(d))]:
+            part = d[low:high]
+            if len(part) > 2 * most:
+                gaps = np.flatnonzero(_GAPS[part])
+                begin = int(gaps[-1]) + 1 if len(gaps) else 0
+                part = part[: begin + 2 * max(PREFIXES)]
+            ids, doc = _short(part, o if b > a + 1 else np.array([0, len(part)]))
+            yield ids, doc + a
+
+
 def text_features(texts: list[str]) -> list[np.ndarray]:
     """The distinct feature numbers of each text, ascending."""
     data, offsets = tk.raw(pc.utf8_lower(pa.array(texts, pa.string())))
-    ids, doc = hashed(data, offsets)
-    key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | ids)
+    key = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique((doc.astype(np.uint64) << np.uint64(32)) | ids) for ids, doc in hashed(data, offsets))]))
     at = np.searchsorted(key, np.arange(len(texts) + 1).astype(np.uint64) << np.uint64(32))
     low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return [low[at[i] : at[i + 1]] for i in range(len(texts))]
 
 
+_ENDS = ".,;:!?\"'()"
+_TERM = re.compile(rf"(?<![^ ])[{re.escape(_ENDS)}]*({'|'.join(sorted({t for g in IDENTITY_TERMS for t in g}, key=len, reverse=True))})[{re.escape(_ENDS)}]*(?![^ ])")
+
+
 def swapped(text: str, seed: int) -> tuple[str, str]:
     """The text and its counterfactual: identity terms are exchanged, or one is set in for a word against the neutral word."""
     rng = np.random.default_rng(seed)
     where = {t: group for group in IDENTITY_TERMS for t in group}
-    words = text.lower().split(" ")
-    hits = [i for i, w in enumerate(words) if w.strip(".,;:!?\"'()") in where]
-    if hits:
-        other = list(words)
-        for i in hits:
-            bare = words[i].strip(".,;:!?\"'()")
-            group = [t for t in where[bare] if t != bare]
-            other[i] = words[i].replace(bare, group[int(rng.integers(len(group)))])
-        return " ".join(words), " ".join(other)
+    low = text.lower()
+    if _TERM.search(low):
+
+        def other(m: re.Match) -> str:
+            group = [t for t in where[m[1]] if t != m[1]]
+            return m[0].replace(m[1], group[int(rng.integers(len(group)))])
+
+        return low, _TERM.sub(other, low)
     group = IDENTITY_TERMS[int(rng.integers(len(IDENTITY_TERMS)))]
-    i, term = int(rng.integers(len(words))), group[1 + int(rng.integers(len(group) - 1))]
-    return " ".join([*words[:i], group[0], *words[i + 1 :]]), " ".join([*words[:i], term, *words[i + 1 :]])
+    nth, term = int(rng.integers(low.count(" ") + 1)), group[1 + int(rng.integers(len(group) - 1))]
+    begin = next(islice((m.end() for m in re.finditer(" ", low)), nth - 1, None)) if nth else 0
+    end = low.find(" ", begin)
+    end = len(low) if end < 0 else end
+    return low[:begin] + group[0] + low[end:], low[:begin] + term + low[end:]
 
 
 @dataclass
@@ -94,15 +119,16 @@ class LinearModel:
     bias: float
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = len(offsets) - 1
-        ids, doc = hashed(data, offsets)
-        ids = ids.astype(np.uint32)
-        total = np.full(n, self.bias)
-        if len(self.ids) and len(ids):
-            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        n, most = len(offsets) - 1, len(self.ids)
+        total, pairs = np.full(n, self.bias), [np.zeros(0, np.int64)]
+        for ids, doc in hashed(data, offsets) if most else ():
+            ids = ids.astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.ids, ids), most - 1)
             hit = self.ids[at] == ids
-            pairs = np.unique(doc[hit].astype(np.int64) * len(self.ids) + at[hit])
-            total += np.bincount(pairs // len(self.ids), self.weights[pairs % len(self.ids)], n)
+            pairs.append(np.unique(doc[hit].astype(np.int64) * most + at[hit]))
+        if most:
+            seen = np.unique(np.concatenate(pairs))
+            total += np.bincount(seen // most, self.weights[seen % most], n)
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
@@ -170,32 +196,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = tk.as_strings(batch.column(1)).to_pylist()
-            for i in range(0, len(texts), 200):
-                part = texts[i : i + 200]
+            texts = tk.as_strings(batch.column(1))
+            bytes_upto = np.cumsum(np.diff(tk.raw(texts)[1]))
+            i = 0
+            while i < len(texts):  # some texts at a time, a very long one alone
+                end = min(i + 200, max(i + 1, int(np.searchsorted(bytes_upto, (bytes_upto[i - 1] if i else 0) + (4 << 20)))))
+                part = texts.slice(i, end - i).to_pylist()
                 two = [swapped(t, len(t)) for t in part]
                 out = [text_features(part), text_features([a for a, _ in two]), text_features([b for _, b in two])]
                 own = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(out[1], out[2], strict=True)]
                 cols = [out[0], [a for a, _ in own], [b for _, b in own]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in cols)], ["y", "x", "a", "b"])
+                i = end
 
-    got = rows.mapInArrow(sparse, "y int, x binary, a binary, b binary").limit(4 * per_class).toArrow().to_pylist() if counts else []
+    got = rows.mapInArrow(tk.tidy(sparse), "y int, x binary, a binary, b binary").limit(4 * per_class).toArrow().to_pylist() if counts else []
     got.sort(key=lambda r: (r["x"], r["y"]))
     labels = np.array([r["y"] for r in got], np.int64)
-    share = {y: counts[y] / max(1, int((labels == y).sum())) for y in counts}
+    # a row stands for its share of all labels, less what would drown the rarer kind: kinds weigh as the roots of their numbers
+    share = {y: counts[y] ** 0.5 / max(1, int((labels == y).sum())) for y in counts}
     unpack = lambda b: np.frombuffer(b, np.uint32)
     return fit([unpack(r["x"]) for r in got], labels, np.array([share[y] for y in labels.tolist()]), [(unpack(r["a"]), unpack(r["b"])) for r in got])
 
 
 def score(docs: DataFrame, model: LinearModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from a score of 0.5) to the ``keep`` columns, which must not have these names."""
+    """Adds score (0 to 1) and predicted (1 from a score of 0.5) to the ``keep`` columns."""
     columns = keep if text_col in keep else [*keep, text_col]
 
+    names, kinds = tk.kept(docs, keep)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.raw(pc.utf8_lower(tk.as_strings(batch.column(columns.index(text_col)))))
             out = np.concatenate([np.zeros(0), *(model.scores(d, o) for _, _, d, o in tk.chunks(data, offsets))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns).mapInArrow(scored, f"{kinds}, score double, predicted int")
+    return docs.select(*columns).mapInArrow(tk.tidy(scored), f"{kinds}, score double, predicted int").toDF(*keep, "score", "predicted")
