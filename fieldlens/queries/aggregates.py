@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators import aggregate as A
+from fieldlens.operators import evaluation as E
 from fieldlens.operators import select as S
 from fieldlens.plans.tables import table
 from fieldlens.registry import query
@@ -26,32 +27,30 @@ def metrics_sql(source: str, keys: str = "") -> str:
     return f"SELECT {pre}{METRICS_SQL.replace('count(*) AS n', 'CAST(any_value(n) AS BIGINT) AS n')} FROM (SELECT {pre}count(*) AS n, {CELLS_SQL} FROM ({source}) {by}) {'GROUP BY ALL' if False else ''}".replace("CAST(any_value(n) AS BIGINT) AS n", "n")
 
 
-def taxonomy(e: DataFrame) -> DataFrame:
-    """Each point's kind by what its events were reviewed as."""
-    has = lambda c: A.count_if(F.col("review_class") == c) > 0
-    per = e.groupBy("sample_id").agg(has("VALID_LOGGING").alias("logging"), has("VALID_WILDFIRE").alias("wildfire"), has("YEAR_MISMATCH").alias("mismatch"), (F.count(F.lit(1)) > A.count_if(F.col("review_status") == "VALID")).alias("rejected"), (A.count_if(F.col("review_status") == "VALID") > 1).alias("repeat"))
-    kind = (
-        F.when(F.col("logging") & F.col("wildfire"), "CLASS_CHANGE")
-        .when((F.col("logging") | F.col("wildfire")) & F.col("repeat"), "REPEATED_CLASS")
-        .when((F.col("logging") | F.col("wildfire")) & F.col("rejected"), "VALID_WITH_REJECTED")
-        .when(F.col("logging") | F.col("wildfire"), "SINGLE_VALID")
-        .when(F.col("mismatch"), "MISMATCH_ONLY")
-        .otherwise("REJECTED_ONLY")
-    )
-    return per.withColumn("kind", kind)
-
-
 @query("q_point_taxonomy", """
-    SELECT kind, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM (
-        SELECT sample_id, CASE
-            WHEN bool_or(review_class = 'VALID_LOGGING') AND bool_or(review_class = 'VALID_WILDFIRE') THEN 'CLASS_CHANGE'
-            WHEN count(*) FILTER (review_status = 'VALID') > 1 THEN 'REPEATED_CLASS'
-            WHEN count(*) FILTER (review_status = 'VALID') = 1 AND count(*) > 1 THEN 'VALID_WITH_REJECTED'
-            WHEN count(*) FILTER (review_status = 'VALID') = 1 THEN 'SINGLE_VALID'
-            WHEN bool_or(review_class = 'YEAR_MISMATCH') THEN 'MISMATCH_ONLY' ELSE 'REJECTED_ONLY' END AS kind
-        FROM obs GROUP BY sample_id) GROUP BY kind""")
+    SELECT point_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM (
+        SELECT CASE
+            WHEN count(*) = 1 THEN 'SINGLE_HANSEN_EVENT'
+            WHEN bool_or(review_class = 'VALID_LOGGING') AND bool_or(review_class = 'VALID_WILDFIRE') THEN 'TRUE_CLASS_CHANGE'
+            WHEN count(*) FILTER (review_class = 'VALID_LOGGING') >= 2 OR count(*) FILTER (review_class = 'VALID_WILDFIRE') >= 2 THEN 'REPEATED_SAME_CLASS'
+            WHEN bool_or(review_status = 'VALID') AND bool_or(review_class = 'YEAR_MISMATCH') THEN 'SINGLE_PHYSICAL_EVENT_WITH_TEMPORAL_TAILS'
+            WHEN bool_or(review_status = 'VALID') AND bool_or(review_class = 'EVENT_TOO_SMALL') THEN 'DOMINANT_EVENT_WITH_SMALL_COMPONENTS' ELSE 'UNRESOLVED' END AS point_type
+        FROM obs GROUP BY sample_id) GROUP BY point_type""")
 def point_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    return A.counts(taxonomy(T.events(spark, d)), ["kind"])
+    return A.counts(E.point_taxonomy(T.events(spark, d)), ["point_type"])
+
+
+@query("q_small_event_rules", """
+    WITH c AS (SELECT review_class = 'EVENT_TOO_SMALL' AS small, unnest([{'feature': 'area_ha', 'value': area_ha}, {'feature': 'pixels', 'value': CAST(pixels AS DOUBLE)}, {'feature': 'share', 'value': share}], recursive := true) FROM obs WHERE review_status = 'VALID' OR review_class = 'EVENT_TOO_SMALL'),
+    n AS (SELECT feature, value, count(*) FILTER (small) AS p, count(*) FILTER (NOT small) AS q FROM c GROUP BY ALL),
+    t AS (SELECT feature, value, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(q) OVER w AS BIGINT) AS fp, CAST(sum(p) OVER (PARTITION BY feature) AS BIGINT) AS all_p, CAST(sum(q) OVER (PARTITION BY feature) AS BIGINT) AS all_q FROM n WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS prec, tp / CAST(all_p AS DOUBLE) AS rec, 2 * tp / CAST(tp + fp + all_p AS DOUBLE) AS f1, tp + fp >= 5 AND tp / CAST(tp + fp AS DOUBLE) >= 0.7 AS fine FROM t)
+    SELECT feature, CASE WHEN fine THEN 'candidate_rule_at_least_70_percent_precision' ELSE 'best_exploratory_f1_below_70_percent_precision' END AS recommendation_status, value AS threshold,
+           round(prec, 6) AS precision, round(rec, 6) AS recall, tp + fp AS events_below, fp AS valid_events_below, all_p AS too_small_events, all_q AS valid_events
+    FROM m QUALIFY row_number() OVER (PARTITION BY feature ORDER BY fine DESC, CASE WHEN fine THEN rec ELSE f1 END DESC, prec DESC, CASE WHEN fine THEN value ELSE -value END DESC) = 1""")
+def small_event_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The recommended threshold below which an event is too small, for three measures of size."""
+    return E.small_event_rules(T.events(spark, d), ["area_ha", "pixels", "share"])
 
 
 @query("q_event_histogram", "SELECT sample_id, event_year, area_ha, pixels, round(share, 6) AS share, dominant FROM obs")

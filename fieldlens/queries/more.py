@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import geo
 from fieldlens.operators import aggregate as A
+from fieldlens.operators import evaluation as E
 from fieldlens.operators import joins as J
 from fieldlens.operators import learn as L
 from fieldlens.operators import select as S
@@ -202,15 +203,21 @@ def similarity_gap(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.round("obs", 6).alias("observed"), F.round((F.size(F.filter("g", lambda x: x >= F.col("obs"))) + 1) / (F.size("g") + 1), 6).alias("p_value"))
 
 
-@query("q_paired_bootstrap")
+@query("q_paired_bootstrap", f"""
+    WITH c AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i, count(*) FILTER (t AND a) AS a_tp, count(*) FILTER (NOT t AND NOT a) AS a_tn, count(*) FILTER (NOT t AND a) AS a_fp, count(*) FILTER (t AND NOT a) AS a_fn,
+                      count(*) FILTER (t AND b) AS b_tp, count(*) FILTER (NOT t AND NOT b) AS b_tn, count(*) FILTER (NOT t AND b) AS b_fp, count(*) FILTER (t AND NOT b) AS b_fn
+               FROM (SELECT sample_id, human_label = 'Wildfire' AS t, label_a = 'Wildfire' AS a, label_b = 'Wildfire' AS b FROM obs WHERE human_label IS NOT NULL) GROUP BY sample_id),
+    k AS (SELECT count(*) AS k FROM c), draws AS (SELECT run, {DRAW.format("run || '-' || t")} % k AS i FROM k, (SELECT unnest(range(100)) AS run), (SELECT unnest(range((SELECT k FROM k))) AS t)),
+    cells AS (SELECT run, {", ".join(f"CAST(sum({m}_{x}) AS DOUBLE) AS {m}_{x}" for m in "ab" for x in ("tp", "tn", "fp", "fn"))} FROM (SELECT run, c.* FROM draws JOIN c USING (i) UNION ALL SELECT -1, c.* FROM c) GROUP BY run),
+    v AS (SELECT run, {", ".join(f"coalesce(({m}_tp + {m}_tn) / nullif({m}_tp + {m}_tn + {m}_fp + {m}_fn, 0), 0) AS {m}_accuracy, (coalesce({m}_tp / nullif({m}_tp + {m}_fn, 0), 0) + coalesce({m}_tn / nullif({m}_tn + {m}_fp, 0), 0)) / 2 AS {m}_balanced_accuracy, (coalesce(2 * {m}_tp / nullif(2 * {m}_tp + {m}_fp + {m}_fn, 0), 0) + coalesce(2 * {m}_tn / nullif(2 * {m}_tn + {m}_fp + {m}_fn, 0), 0)) / 2 AS {m}_macro_f1" for m in "ab")} FROM cells),
+    u AS ({" UNION ALL ".join(f"SELECT run, '{x}' AS metric, a_{x} AS x, b_{x} AS y FROM v" for x in ("accuracy", "balanced_accuracy", "macro_f1"))})
+    SELECT metric, round(max(x) FILTER (run < 0), 6) AS first, round(max(y) FILTER (run < 0), 6) AS second, round(max(x - y) FILTER (run < 0), 6) AS point_delta, count(*) FILTER (run >= 0) AS bootstrap_runs, round(avg(x - y) FILTER (run >= 0), 6) AS mean_delta,
+           round(quantile_cont(x - y, 0.5) FILTER (run >= 0), 6) AS median_delta, round(quantile_cont(x - y, 0.025) FILTER (run >= 0), 6) AS ci_low, round(quantile_cont(x - y, 0.975) FILTER (run >= 0), 6) AS ci_high, round(avg(CAST(x > y AS INTEGER)) FILTER (run >= 0), 6) AS probability_delta_gt_zero FROM u GROUP BY metric""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Difference of two models' accuracy with its interval over resampled points: the same draws for both. Held against numpy in tests by way of the single form."""
+    """Two models against the reviewers: each measure's difference with its interval over resampled points, the same draws for both."""
     e = T.events(spark, d).filter("human_label is not null")
-    sides = []
-    for m in ("a", "b"):
-        one = L.cluster_bootstrap(e, "sample_id", F.col("human_label") == F.col(f"label_{m}"), 100)
-        sides.append(one.select(F.lit(m).alias("model"), "share", "low", "high"))
-    return sides[0].unionByName(sides[1])
+    is_fire = lambda c: F.col(c) == "Wildfire"
+    return E.paired_bootstrap(e, "sample_id", is_fire("human_label"), is_fire("label_a"), is_fire("label_b"), 100)
 
 
 @query("q_mining_funnel", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlens.operators import evaluation as E
 from fieldlens.operators import reconcile as R
 from fieldlens.operators import select as S
 from fieldlens.plans.tables import table
@@ -169,3 +170,17 @@ def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     joined = (F.col("event_year") - F.lag("event_year").over(w) == 1) & (F.abs(F.col("area_ha") - F.lag("area_ha").over(w)) <= 0.5 * F.greatest(F.col("area_ha"), F.lag("area_ha").over(w)))
     runs = e.withColumn("break", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("break").over(w))
     return runs.groupBy("sample_id", "run").agg(F.min("event_year").alias("root"), F.count(F.lit(1)).alias("events")).drop("run")
+
+
+@query("q_merge_simulation", """
+    WITH p AS (SELECT a.review_status = 'VALID' AS va, b.review_status = 'VALID' AS vb, least(a.area_ha, b.area_ha) / greatest(a.area_ha, b.area_ha) <= 0.5 AS proposed,
+                      (a.review_status = 'VALID') <> (b.review_status = 'VALID') AND (a.review_class IN ('YEAR_MISMATCH', 'EVENT_TOO_SMALL') OR b.review_class IN ('YEAR_MISMATCH', 'EVENT_TOO_SMALL')) AS tail
+               FROM obs a JOIN obs b ON a.sample_id = b.sample_id AND b.event_year = a.event_year + 1 WHERE greatest(a.area_ha, b.area_ha) > 0),
+    s AS (SELECT count(*) AS pairs, count(*) FILTER (proposed) AS proposed, count(*) FILTER (proposed AND tail) AS good, count(*) FILTER (proposed AND va AND vb) AS bad, count(*) FILTER (tail) AS tails FROM p),
+    m AS (SELECT count(*) AS points, CAST(sum(n) AS BIGINT) AS events FROM (SELECT count(*) AS n FROM obs GROUP BY sample_id) WHERE n > 1)
+    SELECT points AS multi_event_points, pairs AS adjacent_pairs, proposed AS proposed_merges, good AS good_merges, bad AS bad_merges, proposed - good - bad AS unresolved_merges,
+           round(good / CAST(nullif(good + bad, 0) AS DOUBLE), 6) AS merge_precision_resolved, round(good / CAST(nullif(tails, 0) AS DOUBLE), 6) AS merge_recall_identifiable_tails,
+           events AS physical_events_before, events - proposed AS event_groups_after_all_proposals, events - good AS event_groups_after_good_only FROM s, m""")
+def merge_simulation(spark: SparkSession, d: str) -> DataFrame:
+    """What merging events of neighbouring years by relative area would do. A point has one event a year here, so its pairs form paths, and the SQL needs no components."""
+    return E.merge_simulation(T.events(spark, d), threshold=0.5)
