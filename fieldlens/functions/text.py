@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,20 +12,33 @@ from pyspark.sql import functions as F
 NULL_WORDS = ("", "nan", "none", "null")
 
 #: Reason codes in display order.
-REASON_CODES = ("NO_PRE", "NO_POST", "QC_FAILED", "EVENT_TOO_SMALL", "YEAR_MISMATCH", "WRONG_CLASS", "OTHER")
-
-#: Ordered rules of the single-label classifier; the first group with a matching part wins.
-REASON_RULES = (
-    ("NO_PRE", ("no valid pre", "no pre", "нет pre", "нет снимков до")),
-    ("NO_POST", ("no valid post", "no post", "нет post", "нет снимков после")),
-    ("QC_FAILED", ("cloud", "quality", "snow", "shadow", "облач", "снег", "качеств")),
-    ("EVENT_TOO_SMALL", ("too small", "small area", "мал", "небольш")),
-    ("YEAR_MISMATCH", ("wrong year", "year mismatch", "другой год", "раньше", "позже", "year before", "year after")),
-    ("WRONG_CLASS", ("not logging", "not wildfire", "wrong class", "не рубка", "не пожар")),
+REASON_CODES = ("EVENT_TOO_SMALL", "YEAR_MISMATCH", "NO_PRE", "NO_POST", "QC_FAILED", "NO_VISIBLE_CHANGE", "OTHER_INVALID")
+
+#: Words of the single-label classifier; the first group with a word in the text wins.
+GROUP_WORDS = (
+    ("YEAR_MISMATCH", ("прошлого года", "другого года", "следующего года", "год события", "для следующего года", "year mismatch", "wrong year", "last year", "previous year", "next year", "next yea", "another year", "other year", "different year")),
+    ("NO_VISIBLE_CHANGE", ("изменений не видно", "не видно разницы", "не видно рвзницы", "no visible change", "no change")),
+    ("EVENT_TOO_SMALL", ("маленьк", "небольш", "слишком мал", "small event", "too small")),
+    ("TYPE_UNCLEAR", ("невозможно определить", "невозможно понять", "сложно определить", "сложно понять", "не понятно", "непонятно", "type unclear", "unclear")),
+    ("QC_FAILED", ("нет валидных изображений", "нет ни одного валидного снимка", "no valid", "qc", "cloud", "облак", "no data")),
 )
+#: Words for missing images, in the single-label classifier and in the mapping of older texts.
+GROUP_MISSING, CODE_MISSING = ("нет", "no ", "missing", "отсутств"), ("no ", "нет ", "отсутств")
+#: Words of the mapping of older texts to codes.
+CODE_VALID = ("valid", "валидн")
+CODE_SMALL = ("small event", "small change", "small damage", "маленьк", "небольш", "слишком мал")
+CODE_YEAR = ("next yea", "last year", "other year", "different year", "year's", "другого года", "прошлого года", "прошлогоо года", "следующего года", "неправильно определен год", "не правильно определен год")
+CODE_AFTER = ("post", "consequence", "последств")
+CODE_BLIND = ("разниц", "рвзниц")
+CODE_OTHER = ("both models made a mistake", "явно не пожар, но может и не вырубка - слишком маленькое событие")
+#: Words that say which other year is meant.
+EARLIER, LATER, ANOTHER = ("прошл", "previous", "prior year"), ("следующ", "next year"), ("другого года", "wrong year", "year mismatch")
+
 
-#: Words that shift an event's year.
-EARLIER, LATER = ("раньше", "year before", "previous year", "earlier"), ("позже", "year after", "next year", "later")
+def _compatible() -> tuple[str, str]:
+    """Characters whose compatibility form (NFKC) is one other character of ASCII or Cyrillic, and these forms."""
+    pairs = [(c, k) for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x20000))) if len(k := unicodedata.normalize("NFKC", c)) == 1 and k != c and (k < "\x7f" or "\u0400" <= k <= "\u04ff")]
+    return "".join(c for c, _ in pairs), "".join(k for _, k in pairs)
 
 
 def clean_text(c: Column) -> Column:
@@ -59,35 +75,52 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"), r"\s+", " "))
 
 
+def has_any(t: Column, words: Iterable[str]) -> Column:
+    """Whether the text holds one of the words, anywhere."""
+    out = F.lit(False)
+    for w in words:
+        out = out | t.contains(w)
+    return out
+
+
 def reason_group(c: Column) -> Column:
-    """One group for a free-text reason: explicit other year first, then the first matching rule, else OTHER; blank is null."""
+    """One group for a free-text reason: missing images before the event, then the first group with a word in it (a year of four digits counts as one of YEAR_MISMATCH), else OTHER_INVALID; so is blank."""
     t = fold(c)
-    out = F.when(t == "", None).when(t.rlike(r"\b20\d{2}\b"), "YEAR_MISMATCH")
-    for group, parts in REASON_RULES:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | t.contains(p)
-        out = out.when(hit, group)
-    return out.otherwise("OTHER")
+    out = F.when(t == "", "OTHER_INVALID").when(t.contains("pre") & has_any(t, GROUP_MISSING), "NO_PRE")
+    for group, words in GROUP_WORDS:
+        hit = has_any(t, words)
+        out = out.when(hit | t.rlike(r"(?U)\b(?:19|20)\d{2}\b") if group == "YEAR_MISMATCH" else hit, group)
+    return out.otherwise("OTHER_INVALID")
+
+
+def compatible_fold(c: Column) -> Column:
+    """Fold over compatibility forms: full-width and other variants of a character count as the character."""
+    return F.replace(fold(F.translate(c, *_compatible())), F.lit("’"), F.lit("'"))
 
 
 def reason_codes(c: Column) -> Column:
-    """All codes whose rules match, in display order; [OTHER] if none does; blank is an empty array."""
-    t = fold(c)
-    found = []
-    for group, parts in REASON_RULES:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | t.contains(p)
-        found.append(F.when(hit, group))
-    codes = F.array_compact(F.array(*found))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.size(codes) == 0, F.array(F.lit("OTHER"))).otherwise(codes)
+    """All codes that an older free text stands for, in display order; none is an empty array.
+
+    Images said to be missing are NO_PRE or NO_POST; said to be there but not valid, QC_FAILED.
+    """
+    t = compatible_fold(c)
+    pre, post = t.rlike(r"(?U)\bpre\b"), t.rlike(r"(?U)\bpost\b")
+    missing, valid, unseen = has_any(t, CODE_MISSING), has_any(t, CODE_VALID), t.contains("не видно")
+    hits = {
+        "EVENT_TOO_SMALL": has_any(t, CODE_SMALL),
+        "YEAR_MISMATCH": has_any(t, CODE_YEAR) | (t.rlike(r"(?U)\b20\d{2}\b") & has_any(t, CODE_AFTER)),
+        "NO_PRE": pre & missing & ~valid,
+        "NO_POST": post & missing & ~valid,
+        "QC_FAILED": ((pre | post) & missing & valid) | t.contains("low vegetation") | (valid & ~pre & ~post & t.contains("сним")),
+        "NO_VISIBLE_CHANGE": (t.contains("изменен") & unseen) | (unseen & has_any(t, CODE_BLIND)) | t.contains("no visible change"),
+        "OTHER_INVALID": t.isin(*CODE_OTHER),
+    }
+    return F.array_compact(F.array(*(F.when(hits[code], code) for code in REASON_CODES)))
 
 
 def mapping_status(codes: Column) -> Column:
     """UNMAPPED, MAPPED or MAPPED_MULTI for an array of codes."""
-    known = F.size(F.array_remove(codes, "OTHER"))
-    return F.when(known == 0, "UNMAPPED").when(known == 1, "MAPPED").otherwise("MAPPED_MULTI")
+    return F.when(F.size(codes) == 0, "UNMAPPED").when(F.size(codes) == 1, "MAPPED").otherwise("MAPPED_MULTI")
 
 
 def normalize_codes(codes: Column, canonical: tuple[str, ...] = REASON_CODES) -> Column:
@@ -96,15 +129,20 @@ def normalize_codes(codes: Column, canonical: tuple[str, ...] = REASON_CODES) ->
 
 
 def inferred_year(reason: Column, year: Column) -> Column:
-    """struct(year, offset, source): an explicit 20xx year, else one before or after, else unknown."""
-    t = fold(reason)
-    stated = F.regexp_extract(t, r"(20\d{2})", 1).try_cast("int")
-    has = lambda words: F.greatest(*(t.contains(w).cast("int") for w in words)) == 1
+    """struct(year, offset, source): the first 20xx year stated, else the year before or after, else unknown, with or without the word that it is another one."""
+    t = F.lower(F.coalesce(reason, F.lit("")))
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    stated = F.regexp_extract(t, r"(?U)\b(20\d{2})\b", 1).try_cast("int")
+
+    def found(y: Column, offset: Column, source: str) -> Column:
+        return F.struct(y.cast("int").alias("year"), offset.cast("int").alias("offset"), F.lit(source).alias("source"))
+
     return (
-        F.when(stated.isNotNull(), F.struct(stated.alias("year"), (stated - year).cast("int").alias("offset"), F.lit("explicit").alias("source")))
-        .when(has(EARLIER), F.struct((year - 1).cast("int").alias("year"), F.lit(-1).alias("offset"), F.lit("relative").alias("source")))
-        .when(has(LATER), F.struct((year + 1).cast("int").alias("year"), F.lit(1).alias("offset"), F.lit("relative").alias("source")))
-        .otherwise(F.struct(F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("offset"), F.lit("unknown").alias("source")))
+        F.when(stated.isNotNull(), found(stated, stated - year, "explicit_year_in_free_text"))
+        .when(has_any(t, EARLIER), found(year - 1, F.lit(-1), "relative_year_in_free_text"))
+        .when(has_any(t, LATER), found(year + 1, F.lit(1), "relative_year_in_free_text"))
+        .when(has_any(t, ANOTHER), found(F.lit(None), F.lit(None), "different_year_without_direction"))
+        .otherwise(found(F.lit(None), F.lit(None), "expert_year_not_structured"))
     )
 
 
@@ -173,3 +211,18 @@ def path_action(c: Column) -> Column:
         .when(rel == c, s("skip", "already_relative"))
         .otherwise(s("would_update", "made_relative"))
     )
+
+
+def quality_flags(value: Column) -> Column:
+    """The set of flags in a JSON value, sorted: items of a list; keys of an object whose value is true, not empty and not 0, or the items of a list below a key; a scalar itself. Blank, null and broken values are empty.
+
+    Texts "true" and "false" below a key count as the truth values.
+    """
+    t = F.trim(value)
+    items = lambda c: F.filter(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    pairs = F.map_entries(F.from_json(t, "map<string,string>"))
+    empty = F.array().cast("array<string>")
+    of_key = lambda e: F.when(e["value"].startswith("["), items(e["value"])).when(e["value"].isNull() | e["value"].isin("", "false", "null") | F.coalesce(e["value"].try_cast("double") == 0, F.lit(False)), empty).otherwise(F.array(e["key"]))
+    scalar = F.get_json_object(F.concat(F.lit('{"v":'), t, F.lit("}")), "$.v")
+    found = F.when(t.startswith("["), items(t)).when(t.startswith("{"), F.flatten(F.transform(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>")), of_key))).when(F.trim(scalar) != "", F.array(scalar))
+    return F.array_sort(F.array_distinct(F.coalesce(found, empty)))

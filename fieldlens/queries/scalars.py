@@ -63,23 +63,37 @@ def quality_action(spark: SparkSession, d: str) -> DataFrame:
     return T.scenes(spark, d).select("scene_id", action.alias("action"))
 
 
-#: Free-text reasons by the number of a document.
-REASONS = ("Too small event", "Wrong year: 2019", "clouds, bad quality", "no valid PRE-images", "событие раньше", "  ", "other thing", "not wildfire, small area", "Снег и облака")
-
-
-def reason_of(key: str) -> F.Column:
-    return F.element_at(F.array(*(F.lit(r) for r in REASONS)), (F.col(key) % len(REASONS) + 1).cast("int"))
-
-
-REASON_TABLE = "(VALUES (0, 'EVENT_TOO_SMALL', 'EVENT_TOO_SMALL', 'unknown'), (1, 'YEAR_MISMATCH', 'YEAR_MISMATCH', 'explicit'), (2, 'QC_FAILED', 'QC_FAILED', 'unknown'), (3, 'NO_PRE', 'NO_PRE', 'unknown'), (4, 'YEAR_MISMATCH', 'YEAR_MISMATCH', 'relative'), (5, NULL, '', 'unknown'), (6, 'OTHER', 'OTHER', 'unknown'), (7, 'EVENT_TOO_SMALL', 'EVENT_TOO_SMALL,WRONG_CLASS', 'unknown'), (8, 'QC_FAILED', 'QC_FAILED', 'unknown')) AS r(k, grp, codes, reading)"
-
-
-@query("q_reason_groups", f"SELECT grp AS reason_group, codes, reading AS source, count(*) AS n FROM documents JOIN {REASON_TABLE} ON doc_id % 9 = k GROUP BY ALL")
+#: Free-text reasons with what they mean: one group, all codes, and how another year is stated.
+REASONS = (
+    ("No PRE-images", "NO_PRE", "NO_PRE", "expert_year_not_structured"),
+    ("No valid PRE-images", "NO_PRE", "QC_FAILED", "expert_year_not_structured"),
+    ("Последствия пожара прошлого года", "YEAR_MISMATCH", "YEAR_MISMATCH", "relative_year_in_free_text"),
+    ("Пожар другого года", "YEAR_MISMATCH", "YEAR_MISMATCH", "different_year_without_direction"),
+    ("The consequences of the fire next year.", "YEAR_MISMATCH", "YEAR_MISMATCH", "relative_year_in_free_text"),
+    ("Post image of 2019, wrong year", "YEAR_MISMATCH", "YEAR_MISMATCH", "explicit_year_in_free_text"),
+    ("fire of 1998", "YEAR_MISMATCH", "", "expert_year_not_structured"),
+    ("order 120190", "OTHER_INVALID", "", "expert_year_not_structured"),
+    ("Маленькое событие по маске", "EVENT_TOO_SMALL", "EVENT_TOO_SMALL", "expert_year_not_structured"),
+    ("A small event for recognizing the type.", "EVENT_TOO_SMALL", "EVENT_TOO_SMALL", "expert_year_not_structured"),
+    ("Изменений не видно", "NO_VISIBLE_CHANGE", "NO_VISIBLE_CHANGE", "expert_year_not_structured"),
+    ("Между изоюражениями не видно рвзницы", "NO_VISIBLE_CHANGE", "NO_VISIBLE_CHANGE", "expert_year_not_structured"),
+    ("Невозможно определить тип", "TYPE_UNCLEAR", "", "expert_year_not_structured"),
+    ("Явно не пожар, но может и не вырубка - слишком маленькое событие", "EVENT_TOO_SMALL", "EVENT_TOO_SMALL,OTHER_INVALID", "expert_year_not_structured"),
+    ("Нет  POST и облака", "QC_FAILED", "NO_POST", "expert_year_not_structured"),
+    ("ｎｏ ｐｏｓｔ image", "OTHER_INVALID", "NO_POST", "expert_year_not_structured"),
+    ("  ", "OTHER_INVALID", "", "expert_year_not_structured"),
+    ("unknown custom text", "OTHER_INVALID", "", "expert_year_not_structured"),
+)
+REASON_TABLE = "(VALUES " + ", ".join(f"({i}, '{group}', '{codes}', '{source}')" for i, (_, group, codes, source) in enumerate(REASONS)) + ") AS r(k, grp, codes, reading)"
+
+
+@query("q_reason_groups", f"SELECT grp AS reason_group, codes, reading AS source, CASE WHEN codes = '' THEN 'UNMAPPED' WHEN contains(codes, ',') THEN 'MAPPED_MULTI' ELSE 'MAPPED' END AS status, count(*) AS n FROM documents JOIN {REASON_TABLE} ON doc_id % {len(REASONS)} = k GROUP BY ALL")
 def reason_groups(spark: SparkSession, d: str) -> DataFrame:
     """Single-label, multi-label and year readings of free-text reasons, against a table of what each text means."""
-    r = reason_of("doc_id")
-    rows = table(spark, d, "documents").select(text.reason_group(r).alias("reason_group"), F.concat_ws(",", text.reason_codes(r)).alias("codes"), text.inferred_year(r, F.lit(2018))["source"].alias("source"))
-    return rows.groupBy("reason_group", "codes", "source").agg(F.count(F.lit(1)).alias("n"))
+    r = F.element_at(F.array(*(F.lit(x[0]) for x in REASONS)), (F.col("doc_id") % len(REASONS) + 1).cast("int"))
+    codes = text.reason_codes(r)
+    rows = table(spark, d, "documents").select(text.reason_group(r).alias("reason_group"), F.concat_ws(",", codes).alias("codes"), text.inferred_year(r, F.lit(2018))["source"].alias("source"), text.mapping_status(codes).alias("status"))
+    return rows.groupBy("reason_group", "codes", "source", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_parse_numbers", """

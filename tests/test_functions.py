@@ -12,14 +12,15 @@ def column(spark, values, kind, f):
 
 
 def test_reasons(spark):
-    texts = ["Too small event", "Wrong year: 2019", "no valid PRE-images", "событие раньше", " ", None, "clouds and small area", "Снег", "hm"]
-    assert column(spark, texts, "string", text.reason_group) == ["EVENT_TOO_SMALL", "YEAR_MISMATCH", "NO_PRE", "YEAR_MISMATCH", None, None, "QC_FAILED", "QC_FAILED", "OTHER"]
+    texts = ["No PRE-images", "Последствия пожара прошлого года", "Маленькое событие по маске", "Изменений не видно", "Невозможно определить тип", "fire of 1998", "order 120190", " ", None, "Нет валидных изображений", "Ёлки: нет снимков"]
+    assert column(spark, texts, "string", text.reason_group) == ["NO_PRE", "YEAR_MISMATCH", "EVENT_TOO_SMALL", "NO_VISIBLE_CHANGE", "TYPE_UNCLEAR", "YEAR_MISMATCH", "OTHER_INVALID", "OTHER_INVALID", "OTHER_INVALID", "QC_FAILED", "OTHER_INVALID"]
+    texts = ["A small event for recognizing the type.", "No valid PRE-images", "The consequences of the fire next year.", "Между изоюражениями не видно рвзницы", "Явно не пожар, но может и не вырубка - слишком маленькое событие", "unknown custom text", "no pre, no post", "no preview", "the year’s fire", "ｎｏ　ｐｒｅ", "low vegetation", "невалидный снимок", None]
     codes = column(spark, texts, "string", text.reason_codes)
-    assert codes[6] == ["QC_FAILED", "EVENT_TOO_SMALL"] and codes[4] == codes[5] == [] and codes[8] == ["OTHER"]
-    assert column(spark, texts, "string", lambda c: text.mapping_status(text.reason_codes(c))) == ["MAPPED", "MAPPED", "MAPPED", "MAPPED", "UNMAPPED", "UNMAPPED", "MAPPED_MULTI", "MAPPED", "UNMAPPED"]
-    years = column(spark, texts, "string", lambda c: text.inferred_year(c, F.lit(2018)))
-    assert tuple(years[1]) == (2019, 1, "explicit") and tuple(years[3]) == (2017, -1, "relative") and tuple(years[0]) == (None, None, "unknown")
-    assert column(spark, [["other", " qc_failed ", "X", "NO_PRE", "no_pre"]], "array<string>", text.normalize_codes) == [["NO_PRE", "QC_FAILED", "OTHER"]]
+    assert codes == [["EVENT_TOO_SMALL"], ["QC_FAILED"], ["YEAR_MISMATCH"], ["NO_VISIBLE_CHANGE"], ["EVENT_TOO_SMALL", "OTHER_INVALID"], [], ["NO_PRE", "NO_POST"], [], ["YEAR_MISMATCH"], ["NO_PRE"], ["QC_FAILED"], ["QC_FAILED"], []]
+    assert column(spark, codes, "array<string>", text.mapping_status) == [("UNMAPPED", "MAPPED", "MAPPED_MULTI")[len(c)] for c in codes]
+    years = column(spark, ["Последствия пожара прошлого года", "Пожар другого года", "in 2019 or 2020", "x12019", "next year", None], "string", lambda c: text.inferred_year(c, F.lit(2022)))
+    assert [tuple(y) for y in years] == [(2021, -1, "relative_year_in_free_text"), (None, None, "different_year_without_direction"), (2019, -3, "explicit_year_in_free_text"), (None, None, "expert_year_not_structured"), (2023, 1, "relative_year_in_free_text"), (None, None, "expert_year_not_structured")]
+    assert column(spark, [["other_invalid", " qc_failed ", "X", "NO_PRE", "no_pre"]], "array<string>", text.normalize_codes) == [["NO_PRE", "QC_FAILED", "OTHER_INVALID"]]
 
 
 def test_tolerant_numbers(spark):
