@@ -80,3 +80,19 @@ def unit(v: Column) -> Column:
     """The vector over its length; a zero vector is null."""
     n = F.sqrt(dot(v, v))
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+
+
+def stretch(value: Column, low: Column, high: Column) -> Column:
+    """A band's value on the scale 0 to 255 between two of its percentiles, as a whole number."""
+    return F.floor(F.least(F.greatest((value - low) / F.greatest(high - low, F.lit(1.0)) * 255.0, F.lit(0.0)), F.lit(255.0))).cast("int")
+
+
+def palette_color(value: Column, stops: list[tuple[float, tuple[int, int, int]]]) -> Column:
+    """array(red, green, blue) of a value between colour stops, whole numbers; values beyond the stops have the last colour, the upper of two stretches wins on a stop."""
+    v = F.least(F.greatest(value.cast("double"), F.lit(stops[0][0])), F.lit(stops[-1][0]))
+    out = None
+    for (a, left), (b, right) in reversed(list(zip(stops, stops[1:], strict=False))):
+        t = (v - a) / max(b - a, 1e-6)
+        color = F.array(*(F.floor(F.lit(float(x)) + (y - x) * t).cast("int") for x, y in zip(left, right, strict=True)))
+        out = F.when((v >= a) & (v <= b), color) if out is None else out.when((v >= a) & (v <= b), color)
+    return out

@@ -87,10 +87,17 @@ def by_offset(left: DataFrame, right: DataFrame, key: str, left_year: str, right
 
 
 def nearest_in_window(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, first_days: int, last_days: int, k: int, left_key: str, right_key: str) -> DataFrame:
-    """For each left row the k right rows of its key nearest in time within [first_days, last_days] of it."""
-    r = right.withColumnRenamed(key, "__key")
-    gap = F.datediff(F.col(right_day), F.col(left_day))
-    near = left.join(r, F.col(key) == F.col("__key")).withColumn("gap_days", gap).filter(F.col("gap_days").between(first_days, last_days))
+    """For each left row the k right rows of its key nearest in time within [first_days, last_days] of it.
+
+    Days meet in stretches as long as the window: a left row looks into the two
+    or three stretches its window touches, so a key with very many days is many join keys.
+    """
+    width = max(1, last_days - first_days + 1)
+    stretch = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / width)
+    r = right.withColumnRenamed(key, "__key").withColumn("__rs", stretch(F.col(right_day)))
+    looks = F.sequence(stretch(F.date_add(left_day, first_days)), stretch(F.date_add(left_day, last_days)))
+    near = left.withColumn("__ls", F.explode(looks)).join(r, (F.col(key) == F.col("__key")) & (F.col("__ls") == F.col("__rs")))
+    near = near.withColumn("gap_days", F.datediff(F.col(right_day), F.col(left_day))).filter(F.col("gap_days").between(first_days, last_days)).drop("__ls", "__rs")
     w = Window.partitionBy(left_key).orderBy(F.abs("gap_days"), right_key)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("__key")
 
@@ -103,23 +110,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, into
     return a.unionByName(b, allowMissingColumns=True).withColumn(into, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").drop("__side", "__v")
 
 
-def mutual_pairs(pairs: DataFrame, a: str, b: str, cost: str, most_rounds: int = 50) -> DataFrame:
+def mutual_pairs(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
     """Greedy one-to-one matching by ascending cost (ties by both ids), in rounds.
 
     A pair that is the cheapest of both its ends would be taken by the greedy
     order before any other pair of theirs, so all such pairs are taken at once
-    and the ends' other pairs go; rounds follow until no pair is left. Expected rounds grow slowly.
+    and the ends' other pairs go; rounds follow until no pair is left. Each takes
+    the cheapest pair left at least, so they end; costs in no special order need few.
     """
     from fieldlens.plans.lineage import materialize
 
     left, taken = materialize(pairs.select(a, b, cost)), None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
-        rank = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(cost, a, b))
-        best = materialize(left.withColumn("__x", rank(a)).withColumn("__y", rank(b)).filter("__x = 1 and __y = 1").select(a, b, cost))
-        taken = best if taken is None else taken.unionByName(best)
+    while not left.isEmpty():
+        first = lambda k: left.groupBy(F.col(k).alias("__k")).agg(F.min(F.struct(cost, a, b)).alias("__m")).select("__m")
+        best = materialize(first(a).intersect(first(b)).select(F.col(f"__m.{a}").alias(a), F.col(f"__m.{b}").alias(b), F.col(f"__m.{cost}").alias(cost)))
+        taken = best if taken is None else materialize(taken.unionByName(best))
         left = materialize(left.join(best.select(a), a, "left_anti").join(best.select(b), b, "left_anti"))
-    else:
-        raise RuntimeError("matching did not end")
     return taken if taken is not None else pairs.select(a, b, cost).limit(0)

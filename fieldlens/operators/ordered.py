@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def rank_fraction(value: str, keys: list[str]) -> Column:
-    """(dense rank - 1) / (distinct values - 1) within the group; 1 where there is one value, 0 for null."""
+    """(dense rank - 1) / (distinct values - 1) within the group; 1 where there is one value, 0 for null. Values are counted by their ranks from the other end, without a set of them."""
     w = Window.partitionBy(*keys)
-    ordered = F.dense_rank().over(w.orderBy(F.col(value).asc_nulls_last()))
-    distinct = F.size(F.collect_set(value).over(w))
+    ordered, reverse = F.dense_rank().over(w.orderBy(F.col(value).asc_nulls_last())), F.dense_rank().over(w.orderBy(F.col(value).desc_nulls_last()))
+    distinct = ordered + reverse - 1 - F.when(F.count_if(F.col(value).isNull()).over(w) > 0, 1).otherwise(0)
     return F.when(F.col(value).isNull(), 0.0).when(distinct <= 1, 1.0).otherwise((ordered - 1) / (distinct - 1))
 
 
@@ -46,43 +46,6 @@ def apportion(df: DataFrame, keys: list[str], total: str, weight: str, order: st
     return df.withColumn(into, (F.col("__whole") + (nth <= F.col("__rest")).cast("int")).cast("long")).drop("__exact", "__whole", "__rest")
 
 
-def next_fit(df: DataFrame, key: str, order: list[str], size: str, capacity: int, into: str = "part") -> DataFrame:
-    """Parts of at most ``capacity`` in the given order, never splitting a row: a new part opens when the next row doesn't fit.
-
-    The fold runs over one key's ordered rows inside one expression; a key's
-    rows must fit a task, as the order of a greedy fold allows no split.
-    """
-    fields = [c for c in df.columns if c != key]
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in fields if c not in order)))).alias("rows"))
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = (acc["used"] > 0) & (acc["used"] + x[size] > capacity)
-        part = acc["part"] + opens.cast("int")
-        return F.struct(part.alias("part"), (F.when(opens, F.lit(0)).otherwise(acc["used"]) + x[size]).cast("long").alias("used"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-
-    folded = rows.withColumn("parts", F.aggregate("rows", start, step)["parts"])
-    return folded.select(key, F.inline(F.arrays_zip("rows", "parts"))).select(key, "rows.*", F.col("parts").alias(into))
-
-
-def spaced_picks(df: DataFrame, key: str, order: list[str], day: str, days: int, most: int) -> DataFrame:
-    """Greedy in order: a row is picked if fewer than ``most`` are and each picked day is at least so many days away; null days pass.
-
-    Rows carry ``picked``. The state is a short array, so a key's fold stays small however many rows it passes.
-    """
-    fields = [c for c in df.columns if c != key]
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in fields if c not in order)))).alias("rows"))
-    start = F.struct(F.array().cast("array<date>").alias("days"), F.array().cast("array<boolean>").alias("picked"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.forall(acc["days"], lambda d: F.coalesce(F.abs(F.datediff(x[day], d)) >= days, F.lit(True)))
-        take = (F.size(acc["days"]) < most) & free
-        return F.struct(F.when(take, F.concat(acc["days"], F.array(x[day]))).otherwise(acc["days"]).alias("days"), F.concat(acc["picked"], F.array(take)).alias("picked"))
-
-    folded = rows.withColumn("picked", F.aggregate("rows", start, step)["picked"])
-    return folded.select(key, F.inline(F.arrays_zip("rows", "picked"))).select(key, "rows.*", "picked")
-
-
 def moving_average(df: DataFrame, key: str, order: str, value: str, radius: int, into: str) -> DataFrame:
     """Mean of the rows up to ``radius`` before and after; the first and last row of a key stay as they are."""
     w = Window.partitionBy(key).orderBy(order)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import geo
 from fieldlens.operators import ordered as O
+from fieldlens.operators import planning as P
 from fieldlens.operators import select as S
 from fieldlens.plans.prefix import running_totals
 from fieldlens.plans.tables import table
@@ -93,18 +94,18 @@ def budget_split(spark: SparkSession, d: str) -> DataFrame:
 @query("q_bundle_parts", """
     WITH RECURSIVE f AS (SELECT source, doc_id, greatest(n_chars, 0) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE n_chars IS NOT NULL AND source IS NOT NULL),
     g AS (SELECT source, doc_id, size, i, 0 AS part, size AS used FROM f WHERE i = 1
-          UNION ALL SELECT f.source, f.doc_id, f.size, f.i, CASE WHEN g.used > 0 AND g.used + f.size > 20000 THEN g.part + 1 ELSE g.part END, CASE WHEN g.used > 0 AND g.used + f.size > 20000 THEN f.size ELSE g.used + f.size END FROM g JOIN f ON f.source = g.source AND f.i = g.i + 1)
+          UNION ALL SELECT f.source, f.doc_id, f.size, f.i, CASE WHEN g.used + f.size > 20000 THEN g.part + 1 ELSE g.part END, CASE WHEN g.used + f.size > 20000 THEN f.size ELSE g.used + f.size END FROM g JOIN f ON f.source = g.source AND f.i = g.i + 1)
     SELECT source, doc_id, size, CAST(part AS INTEGER) AS part FROM g""")
 def bundle_parts(spark: SparkSession, d: str) -> DataFrame:
     """Next-fit packing of each source's files in order."""
     files = table(spark, d, "documents").filter("n_chars is not null and source is not null").select("source", "doc_id", F.greatest("n_chars", F.lit(0)).alias("size"))
-    return O.next_fit(files, "source", ["doc_id"], "size", 20000)
+    return P.next_fit(files, "source", ["doc_id"], "size", 20000)
 
 
 @query("q_spaced_scenes")
 def spaced_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Up to four scenes of a sample, clearest first, at least 60 days apart. Held against a sequential version in tests."""
-    return O.spaced_picks(T.scenes(spark, d).select("sample_id", "cloud", "scene_id", "day"), "sample_id", ["cloud", "scene_id"], "day", 60, 4)
+    return P.spaced_picks(T.scenes(spark, d).select("sample_id", "cloud", "scene_id", "day"), "sample_id", ["cloud", "scene_id"], "day", 60, 4)
 
 
 @query("q_operation_grid", """

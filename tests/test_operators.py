@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import aggregate, joins, learn, ordered, raster, reconcile, select, vectors
+from fieldlens.operators import aggregate, joins, learn, ordered, planning, raster, reconcile, select, vectors
 from fieldlens.plans.components import connected_components
 from fieldlens.plans.numbering import number_rows
 
@@ -96,8 +96,8 @@ def test_spaced_picks_and_next_fit_equal_loops(spark):
     rng = random.Random(2)
     rows = [(k, rng.randint(0, 5), i, dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 200)) if rng.random() > 0.1 else None, rng.randint(1, 40)) for k in range(5) for i in range(20)]
     df = spark.createDataFrame(rows, "k int, c int, i int, day date, size int")
-    got = {(r["k"], r["i"]) for r in ordered.spaced_picks(df, "k", ["c", "i"], "day", 20, 4).filter("picked").collect()}
-    parts = {(r["k"], r["i"]): r["part"] for r in ordered.next_fit(df.select("k", "i", "size"), "k", ["i"], "size", 50).collect()}
+    got = {(r["k"], r["i"]) for r in planning.spaced_picks(df, "k", ["c", "i"], "day", 20, 4).filter("picked").collect()}
+    parts = {(r["k"], r["i"]): r["part"] for r in planning.next_fit(df.select("k", "i", "size"), "k", ["i"], "size", 50).collect()}
     for k in range(5):
         own, days = sorted(r for r in rows if r[0] == k), []
         for _, _, i, day, _ in sorted(own, key=lambda r: (r[1], r[2])):
