@@ -50,10 +50,10 @@ def cluster_bootstrap(df: DataFrame, cluster: str, hits: Column, runs: int) -> D
     are, with replacement: runs x clusters narrow rows, spread over all tasks.
     """
     from fieldlens.plans.lineage import materialize
-    from fieldlens.plans.numbering import number_rows
+    from fieldlens.plans.prefix import running_totals
 
     sums = materialize(df.groupBy(F.col(cluster).alias("c")).agg(F.sum(hits.cast("long")).alias("h"), F.count(F.lit(1)).alias("n")))
-    numbered = materialize(number_rows(sums.withColumn("g", F.lit(0)), ["g"], ["c"], "i")).select("i", "h", "n")
+    numbered = materialize(running_totals(sums.withColumn("one", F.lit(1)), "c", {"i": "one"}).select((F.col("i") - 1).alias("i"), "h", "n"))
     k = sums.count()
     ranks = sums.sparkSession.range(k * runs).select((F.col("id") / k).cast("long").alias("run"), (F.col("id") % k).alias("t"))
     drawn = ranks.withColumn("i", draw(F.col("run"), F.col("t")) % k).groupBy("run", "i").agg(F.count(F.lit(1)).alias("times"))
@@ -94,11 +94,30 @@ def boosted(features: list[str], label: str) -> Pipeline:
     return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol=label, maxIter=10, maxDepth=3, seed=7)])
 
 
-def out_of_fold(df: DataFrame, splits: DataFrame, group: str, label: str, make: Pipeline, folds: int) -> DataFrame:
-    """Each fold's rows scored by a model of the others: the rows with fold and p. One fit a fold."""
+def balanced_weights(df: DataFrame, label: str, into: str = "__w") -> DataFrame:
+    """Adds the weight n / (classes x rows of the class), so that all classes weigh the same."""
+    per = df.groupBy(F.col(label).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = per.agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__k"))
+    weights = per.join(F.broadcast(whole)).select("__c", (F.col("__all") / (F.col("__k") * F.col("__n"))).alias(into))
+    return df.join(F.broadcast(weights), F.col(label) == F.col("__c")).drop("__c")  # one row a class
+
+
+def average_precision(scored: DataFrame, score: str, positive: str) -> DataFrame:
+    """One row: the mean precision over the positives, from the highest score down; rows are counted per score first."""
+    from fieldlens.operators.aggregate import count_if
+    from fieldlens.plans.prefix import running_totals
+
+    per = scored.groupBy((-F.col(score)).alias("__s")).agg(count_if(F.col(positive)).alias("__p"), F.count(F.lit(1)).alias("__n"))
+    upto = running_totals(per.filter("__s is not null"), "__s", {"__tp": "__p", "__all": "__n"})
+    return upto.agg(F.round(F.sum(F.col("__p") * F.col("__tp") / F.col("__all")) / F.sum("__p"), 6).alias("average_precision"), F.sum("__p").alias("positives"))
+
+
+def out_of_fold(df: DataFrame, splits: DataFrame, group: str, label: str, make: Pipeline, folds: int, balanced: bool = False) -> DataFrame:
+    """Each fold's rows scored by a model of the others: the rows with fold and p. One fit a fold; ``balanced`` adds the training rows' weights as __w."""
     joined, out = df.join(splits.select(group, "fold"), group), None
     for k in range(folds):
-        model = make.fit(joined.filter(F.col("fold") != k))
+        training = joined.filter(F.col("fold") != k)
+        model = make.fit(balanced_weights(training, label) if balanced else training)
         scored = model.transform(joined.filter(F.col("fold") == k)).withColumn("p", vector_to_array("probability")[1]).select(*df.columns, "fold", "p")
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -121,21 +140,65 @@ def principal_components(vectors: DataFrame, vector: str, most: int, share: floa
 
 
 def cluster_scores(vectors: DataFrame, vector: str, ks: list[int]) -> DataFrame:
-    """k, silhouette and inertia of k-means, and the BIC of a Gaussian mixture of the first two components. One fit a k."""
+    """k; silhouette, inertia, Calinski-Harabasz and Davies-Bouldin index of k-means; AIC and BIC of a Gaussian mixture of the first two components. One fit a k.
+
+    The indices come from sums per cluster: k rows of a vector each.
+    """
+    import math
+
+    import numpy as np
+
     spark = vectors.sparkSession
     x = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
     two = PCA(k=2, inputCol="features", outputCol="z").fit(x).transform(x).select(F.col("z").alias("features")).cache()
     n, rows = x.count(), []
+    spread = float(KMeans(k=1, seed=5, maxIter=1).fit(x).summary.trainingCost) if n > 1 else 0.0
     for k in ks:
         km = KMeans(k=k, seed=5, maxIter=20).fit(x)
+        done = km.transform(x)
+        inertia = float(km.summary.trainingCost)
+        centres = np.array(km.clusterCenters())
+        each = F.array(*(F.array(*(F.lit(float(c)) for c in row)) for row in centres))
+        far = F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), F.get(each, F.col("prediction")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+        inner = {r["prediction"]: r["m"] for r in done.groupBy("prediction").agg(F.avg(far).alias("m")).collect()}
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
+        worst = [max((inner[i] + inner[j]) / apart[i, j] for j in inner if j != i) for i in inner if len(inner) > 1]
         gm = GaussianMixture(k=k, seed=5, maxIter=20).fit(two)
-        parameters = k * 2 + k * 3 + k - 1
-        import math
-
-        rows.append((k, float(ClusteringEvaluator().evaluate(km.transform(x))), float(km.summary.trainingCost), float(parameters * math.log(max(n, 1)) - 2 * gm.summary.logLikelihood)))
+        parameters, likelihood = k * 2 + k * 3 + k - 1, float(gm.summary.logLikelihood)
+        calinski = (spread - inertia) / (k - 1) / (inertia / (n - k)) if k > 1 and n > k and inertia > 0 else None
+        rows.append((k, float(ClusteringEvaluator().evaluate(done)), inertia, calinski, float(np.mean(worst)) if worst else None, 2.0 * parameters - 2 * likelihood, parameters * math.log(max(n, 1)) - 2 * likelihood))
     x.unpersist()
     two.unpersist()
-    return spark.createDataFrame(rows, "k int, silhouette double, inertia double, bic double")
+    return spark.createDataFrame(rows, "k int, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double, aic double, bic double")
+
+
+def cluster_stability(vectors: DataFrame, key: str, vector: str, ks: list[int], runs: int, share: float = 0.8) -> DataFrame:
+    """k, run, ari: how far k-means of a part of the rows, drawn by hash, agrees with k-means of all of them on that part."""
+    from fieldlens.plans.lineage import materialize
+
+    x = materialize(vectors.select(F.col(key).alias("key"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+    out = None
+    for k in ks:
+        whole = KMeans(k=k, seed=5, maxIter=20, predictionCol="a").fit(x)
+        for run in range(runs):
+            part = x.filter(draw(F.lit(run), F.col("key")) < int(share * 2**32))
+            other = KMeans(k=k, seed=5 + run, maxIter=20, predictionCol="b").fit(part)
+            row = adjusted_rand(other.transform(whole.transform(part)), "a", "b").select(F.lit(k).alias("k"), F.lit(run).alias("run"), "ari")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def repeated_probe(df: DataFrame, group: str, label: str, features: list[str], folds: int, repeats: int) -> DataFrame:
+    """repeat, n, accuracy, macro_f1 of a balanced logistic regression's out-of-fold predictions, on new folds each time."""
+    from fieldlens.plans.lineage import materialize
+
+    df, out = materialize(df), None  # every fit reads it again
+    for i in range(repeats):
+        splits = stratified_folds(df, group, label, folds, 100 + i)
+        scored = out_of_fold(df, splits, group, label, logistic(features, label, weight="__w"), folds, balanced=True)
+        row = scored.agg(*_scores(label)).select(F.lit(i).alias("repeat"), "n", "accuracy", "macro_f1")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

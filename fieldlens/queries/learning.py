@@ -14,12 +14,24 @@ from fieldlens.sources import standins as T
 DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 
 
-@query("q_cluster_bootstrap")
+@query("q_cluster_bootstrap", f"""
+    WITH c AS (SELECT row_number() OVER (ORDER BY sample_id) - 1 AS i, CAST(count(*) FILTER (review_status = 'VALID') AS DOUBLE) AS h, count(*) AS n FROM obs GROUP BY sample_id), k AS (SELECT count(*) AS k FROM c),
+    d AS (SELECT run, {DRAW.format("run || '-' || t")} % k AS i FROM k, (SELECT unnest(range(200)) AS run), (SELECT unnest(range((SELECT k FROM k))) AS t)),
+    s AS (SELECT run, sum(h) / sum(n) AS share FROM d JOIN c USING (i) GROUP BY run)
+    SELECT (SELECT round(sum(h) / sum(n), 6) FROM c) AS share, round(quantile_cont(share, 0.025), 6) AS low, round(quantile_cont(share, 0.975), 6) AS high FROM s""")
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Share of valid events with its interval over resampled points. Held against numpy in tests."""
+    """Share of valid events with its interval over resampled points."""
     return L.cluster_bootstrap(T.events(spark, d), "sample_id", F.col("review_status") == "VALID", 200)
 
 
+@query("q_average_precision", """
+    WITH v AS (SELECT p_a, count(*) FILTER (human_label = 'Wildfire') AS p, count(*) AS n FROM obs WHERE human_label IS NOT NULL GROUP BY p_a), c AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS upto FROM v WINDOW w AS (ORDER BY p_a DESC ROWS UNBOUNDED PRECEDING))
+    SELECT round(sum(p * tp / CAST(upto AS DOUBLE)) / sum(p), 6) AS average_precision, CAST(sum(p) AS BIGINT) AS positives FROM c""")
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    e = T.events(spark, d).filter("human_label is not null").withColumn("y", F.col("human_label") == "Wildfire")
+    return L.average_precision(e, "p_a", "y")
+
+
 @query("q_grouped_folds", """
     WITH g AS (SELECT sample_id, min(review_class) AS stratum FROM obs GROUP BY sample_id) SELECT stratum, count(*) AS n FROM g GROUP BY stratum""")
 def grouped_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -38,10 +50,10 @@ def cohort(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_logistic_out_of_fold")
 def logistic_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Grouped cross-validation of a logistic regression: metrics of the out-of-fold predictions."""
+    """Grouped cross-validation of a class-balanced logistic regression: metrics of the out-of-fold predictions. Held against a Newton fit in tests."""
     c = cohort(spark, d)
     splits = L.stratified_folds(c, "sample_id", "y", 3, 3)
-    scored = L.out_of_fold(c, splits, "sample_id", "y", L.logistic(["area_ha", "pixels", "p_b"], "y"), 3)
+    scored = L.out_of_fold(c, splits, "sample_id", "y", L.logistic(["area_ha", "pixels", "p_b"], "y", weight="__w"), 3, balanced=True)
     return scored.agg(*A.binary_metrics(F.col("y") == 1, F.col("p") >= 0.5))
 
 
@@ -55,11 +67,25 @@ def boosted_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_cluster_scores")
 def cluster_scores(spark: SparkSession, d: str) -> DataFrame:
-    return L.cluster_scores(table(spark, d, "embeddings"), "embedding", [2, 4, 8])
+    """Measures of k-means and Gaussian mixtures for 2 to 10 clusters. Held against numpy in tests."""
+    return L.cluster_scores(table(spark, d, "embeddings"), "embedding", list(range(2, 11)))
+
+
+@query("q_cluster_stability")
+def cluster_stability(spark: SparkSession, d: str) -> DataFrame:
+    """How far clusterings of drawn parts agree with the whole's. Held against planted clusters in tests."""
+    return L.cluster_stability(table(spark, d, "embeddings"), "vec_id", "embedding", [2, 5], 3)
+
+
+@query("q_linear_probe")
+def linear_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated grouped cross-validation of a linear model."""
+    return L.repeated_probe(cohort(spark, d), "sample_id", "y", ["area_ha", "pixels", "p_b"], 2, 3)
 
 
 @query("q_pca")
 def pca(spark: SparkSession, d: str) -> DataFrame:
+    """Variance of the principal components, and which of them reach half of it. Held against numpy in tests."""
     k, variance = L.principal_components(table(spark, d, "embeddings"), "embedding", 20, 0.5)
     return spark.createDataFrame([(i, v, i <= k) for i, v in enumerate(variance, 1)], "component int, variance double, needed boolean")
 
