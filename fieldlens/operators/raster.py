@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -68,11 +70,62 @@ def components(mask: DataFrame, key: str, kind: str = "long") -> DataFrame:
     return mask.select(key, F.col("row").cast("int"), F.col("col").cast("int")).groupBy(key).applyInPandas(run, f"{key} {kind}, row int, col int, component long")
 
 
+#: What a border pixel adds to a perimeter, by 1 + 2 x its border neighbours at the sides + 10 x those at the corners.
+PERIMETER = dict.fromkeys((5, 7, 15, 17, 25, 27), 1.0) | dict.fromkeys((21, 33), 2**0.5) | dict.fromkeys((13, 23), (1 + 2**0.5) / 2)
+
+
+def _around(pixels: DataFrame, keys: list[str], weights: dict[tuple[int, int], int]) -> DataFrame:
+    """For each pixel, the sum of the weights of the places around it that are pixels of its keys: each pixel tells the places that it is there."""
+    places = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(w).alias("w")) for (r, c), w in weights.items()))
+    told = pixels.select(*keys, "row", "col", F.explode(places).alias("s"))
+    at = told.groupBy(*keys, (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    return at.agg(F.sum("s.w").alias("near"), F.max((F.col("s.r") == 0) & (F.col("s.c") == 0)).alias("own")).filter("own").drop("own")
+
+
+def perimeters(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Perimeter of each component, by the kinds of its border pixels (those with a side that is not of it)."""
+    sides = {(0, 0): 1, (0, 1): 1, (1, 0): 1, (0, -1): 1, (-1, 0): 1}
+    border = _around(parts, keys, sides).filter("near < 5").select(*keys, "row", "col")
+    weights = {(r, c): 1 if not r and not c else 10 if r and c else 2 for r in (-1, 0, 1) for c in (-1, 0, 1)}
+    adds = F.create_map(*(x for k, v in PERIMETER.items() for x in (F.lit(k), F.lit(v))))
+    return _around(border, keys, weights).groupBy(*keys).agg(F.sum(F.coalesce(F.try_element_at(adds, F.col("near").cast("int")), F.lit(0.0))).alias("perimeter"))
+
+
 def shape_features(mask: DataFrame, key: str, kind: str = "long") -> DataFrame:
-    """Per mask: components, share of the largest, rectangularity (filled share of component boxes, by area), edge density."""
-    parts = components(mask, key, kind).groupBy(key, "component").agg(F.count(F.lit(1)).alias("area"), ((F.max("row") - F.min("row") + 1) * (F.max("col") - F.min("col") + 1)).alias("box"))
-    per = parts.groupBy(key).agg(F.count(F.lit(1)).alias("components"), F.sum("area").alias("pixels"), (F.max("area") / F.sum("area")).alias("largest_share"), (F.sum(F.col("area") * F.col("area") / F.col("box")) / F.sum("area")).alias("rectangularity"))
-    return per.join(edge_pixels(mask, key).select(key, "edge"), key).select(key, "components", "pixels", F.round("largest_share", 6).alias("largest_share"), F.round("rectangularity", 6).alias("rectangularity"), F.round(F.col("edge") / F.col("pixels"), 6).alias("edge_density"))
+    """Per mask: components, share of the largest, compactness, rectangularity (filled share of component boxes) and perimeter by area, the three weighted by area, and edge density."""
+    found = components(mask, key, kind)
+    boxes = found.groupBy(key, "component").agg(F.count(F.lit(1)).alias("area"), ((F.max("row") - F.min("row") + 1) * (F.max("col") - F.min("col") + 1)).alias("box"))
+    parts = boxes.join(perimeters(found, [key, "component"]), [key, "component"]).withColumn("p", F.greatest("perimeter", F.lit(1e-6)))
+    mean = lambda c: F.sum(F.col("area") * c) / F.sum("area")
+    per = parts.groupBy(key).agg(
+        F.count(F.lit(1)).alias("components"), F.sum("area").alias("pixels"), (F.max("area") / F.sum("area")).alias("largest_share"), mean(4 * math.pi * F.col("area") / (F.col("p") * F.col("p"))).alias("compactness"),
+        mean(F.col("area") / F.col("box")).alias("rectangularity"), mean(F.col("p") / F.col("area")).alias("perimeter_area"),
+    )
+    shapes = ("largest_share", "compactness", "rectangularity", "perimeter_area")
+    return per.join(edge_pixels(mask, key).select(key, "edge"), key).select(key, "components", "pixels", *(F.round(c, 6).alias(c) for c in shapes), F.round(F.col("edge") / F.col("pixels"), 6).alias("edge_density"))
+
+
+def year_pairs(pixels: DataFrame, key: str) -> DataFrame:
+    """For masks (key, year, row, col) of one point and neighbouring years: least distance and distance of the centres, in pixels, and whether they touch when the first grows by one or two.
+
+    Pixels of the two years meet in cells as wide as the reach of a dilation;
+    the least distance takes the masks of one tile in blocks.
+    """
+    one = pixels.select(key, "year", "row", "col").distinct()
+    later = one.withColumn("year", F.col("year") - 1)
+    sums = one.groupBy(key, "year").agg(F.avg("row").alias("r"), F.avg("col").alias("c"))
+    after = sums.select(F.col(key).alias("__k"), (F.col("year") - 1).alias("__y"), F.col("r").alias("r2"), F.col("c").alias("c2"))
+    pairs = sums.join(after, (F.col(key) == F.col("__k")) & (F.col("year") == F.col("__y"))).drop("__k", "__y")
+    out = pairs.select(key, "year", F.sqrt((F.col("r") - F.col("r2")) ** 2 + (F.col("c") - F.col("c2")) ** 2).alias("centre_distance"))
+    for reach in (1, 2):
+        steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)))
+        grown = one.select(key, "year", F.explode(steps).alias("s"), "row", "col").select(F.col(key).alias("__k"), F.col("year").alias("__y"), (F.col("row") + F.col("s.a")).alias("__r"), (F.col("col") + F.col("s.b")).alias("__c")).distinct()
+        hits = later.join(grown, (F.col(key) == F.col("__k")) & (F.col("year") == F.col("__y")) & (F.col("row") == F.col("__r")) & (F.col("col") == F.col("__c")))
+        touching = hits.select(F.col(key).alias("__k"), F.col("year").alias("__y")).distinct().withColumn("__t", F.lit(True))
+        out = out.join(touching, (F.col(key) == F.col("__k")) & (F.col("year") == F.col("__y")), "left").withColumn(f"touch_{reach}", F.coalesce("__t", F.lit(False))).drop("__k", "__y", "__t")
+    code = F.xxhash64(key, "year")
+    near = min_distance(one.withColumn("__id", code).select("__id", "row", "col"), later.withColumn("__id", code).select("__id", "row", "col"), "__id")
+    return out.withColumn("__m", F.xxhash64(key, "year")).join(near, F.col("__m") == F.col("__id")).select(key, "year", F.round("distance", 6).alias("distance"), F.round("centre_distance", 6).alias("centre_distance"), "touch_1", "touch_2")
 
 
 def box_smooth(pixels: DataFrame, key: str, value: str, radius: int) -> DataFrame:

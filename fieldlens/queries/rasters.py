@@ -61,6 +61,17 @@ def raster_shapes(spark: SparkSession, d: str) -> DataFrame:
     return R.shape_features(mask(spark, d), "tile")
 
 
+@query("q_year_pairs", f"""
+    WITH p AS (SELECT DISTINCT tile, row, col, CAST(q AS INTEGER) % 4 AS year FROM {PIXELS} WHERE q > 20), c AS (SELECT tile, year, avg(row) AS r, avg(col) AS c FROM p GROUP BY ALL),
+    m AS (SELECT a.tile, a.year, round(sqrt(min((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col))), 6) AS distance, min(greatest(abs(a.row - b.row), abs(a.col - b.col))) AS reach FROM p a JOIN p b ON a.tile = b.tile AND b.year = a.year + 1 GROUP BY ALL)
+    SELECT m.tile, m.year, distance, round(sqrt((x.r - y.r) * (x.r - y.r) + (x.c - y.c) * (x.c - y.c)), 6) AS centre_distance, reach <= 1 AS touch_1, reach <= 2 AS touch_2
+    FROM m JOIN c x ON x.tile = m.tile AND x.year = m.year JOIN c y ON y.tile = m.tile AND y.year = m.year + 1""")
+def year_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How far apart the masks of neighbouring years of a tile are."""
+    p = pixels(spark, d).filter("q > 20").select("tile", "row", "col", (F.col("q").cast("int") % 4).alias("year"))
+    return R.year_pairs(p, "tile")
+
+
 @query("q_raster_smooth", f"WITH p AS (SELECT tile, row, col, max(q) AS v FROM {PIXELS} GROUP BY ALL) SELECT a.tile, a.row, a.col, round(avg(b.v), 6) AS v FROM p a JOIN p b ON a.tile = b.tile AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL")
 def raster_smooth(spark: SparkSession, d: str) -> DataFrame:
     """Mean of each pixel's 3 x 3 square."""
