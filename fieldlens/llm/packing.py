@@ -259,7 +259,7 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     spark = found.sparkSession
     table = spark.createDataFrame(places(plan(counts, capacity)), "p_length long, low long, high long, first_sequence long, offset long")
-    numbered = number_rows(found, ["length"], ["doc_id", "piece", "ids_crc32"], "number", lanes=64)
+    numbered = number_rows(found, ["length"], ["doc_id", "piece", "ids_crc32"], "number")
     here = (F.col("length") == F.col("p_length")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))
     placed = numbered.join(F.broadcast(table), here)  # at most capacity x patterns rows, whatever the corpus
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("number") - F.col("low")).alias("sequence_id"), "offset")
