@@ -197,6 +197,15 @@ LABELLED = """
     G7- G9- G16- F2:2- G30- G45- A20+ Y25- Y33:2- X12-
     F1:1- A8+ B2+ B3+ B1+ B2+ A21+ A16+ Y3- Y40- Y52- G10-
     O2- O1- O2:2- P6+ P38+ P29+ O2- O1- O3:3- O2-
+    P8- P30- A10+ A35+ A12+ A64+ A29+ A30+ P12- P55- P31- O20-
+    F2:2- P25- P60- P14- A7+ A30+ A31+ A29+ A15+ B30+ A90+ P33- P7- P41- O9-
+    O3:3- P45- A9+ A52+ A28+ A8+ A140+ A33+ P70- P5- P18- P27- G6-
+    P16- P29- P95- A6+ A31+ A10+ A30+ A22+ A5+ P11- P36- O14- O33-
+    G2- P9+ P40+ P3+ P52+ P6+ P38+ P4+ G12-
+    F3:3- P8+ P61+ P30+ P5+ P19+ P2+ G30- G22- G9-
+    P12+ P33+ P7+ P58+ P3+ O4-
+    G15- G40- P5+ P26+ P44+ P4+ P31+ G18- G7-
+    G33- P7+ P18+ P3+ P21+ P64+ P5+ G52- G26- G12- G48-
     G40- A12+ A9+ A66+ Y60- A4+ Y9- Y44- X2- Y38-
 """
 
@@ -224,8 +233,8 @@ def page_features(page: list[Block]) -> list[tuple]:
     ]
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
-    """A binary tree by Gini impurity: (feature, threshold, below, from) or (label,)."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 5) -> tuple:
+    """A binary tree by Gini impurity: (feature, threshold, below, from) or (label,). Each side of a split has ``least`` rows at least, so that no single block decides."""
     if depth == 0 or len(set(y.tolist())) < 2:
         return (int(y.mean() >= 0.5) if len(y) else 0,)
     best: tuple = (1e-9,)
@@ -234,6 +243,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
         values = np.unique(x[:, j])
         for bar in ((values[1:] + values[:-1]) / 2).tolist():
             low = x[:, j] < bar
+            if min(low.sum(), (~low).sum()) < least:
+                continue
             a, b = y[low].mean(), y[~low].mean()
             gain = whole - low.mean() * 2 * a * (1 - a) - (~low).mean() * 2 * b * (1 - b)
             if gain > best[0] + 1e-12:
@@ -241,7 +252,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
     if len(best) == 1:
         return (int(y.mean() >= 0.5),)
     low = x[:, best[1]] < best[2]
-    return best[1], best[2], grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+    return best[1], best[2], grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
 def train() -> tuple:
