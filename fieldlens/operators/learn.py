@@ -8,6 +8,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,15 +153,16 @@ def cluster_scores(vectors: DataFrame, vector: str, ks: list[int]) -> DataFrame:
     x = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
     two = PCA(k=2, inputCol="features", outputCol="z").fit(x).transform(x).select(F.col("z").alias("features")).cache()
     n, rows = x.count(), []
-    spread = float(KMeans(k=1, seed=5, maxIter=1).fit(x).summary.trainingCost) if n > 1 else 0.0
+    moments = x.select(Summarizer.metrics("variance").summary(F.col("features")).alias("s")).select("s.variance").first()
+    spread = float(sum(moments["variance"])) * (n - 1) if n > 1 else 0.0
     for k in ks:
         km = KMeans(k=k, seed=5, maxIter=20).fit(x)
         done = km.transform(x)
-        inertia = float(km.summary.trainingCost)
         centres = np.array(km.clusterCenters())
         each = F.array(*(F.array(*(F.lit(float(c)) for c in row)) for row in centres))
         far = F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), F.get(each, F.col("prediction")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-        inner = {r["prediction"]: r["m"] for r in done.groupBy("prediction").agg(F.avg(far).alias("m")).collect()}
+        sums = done.groupBy("prediction").agg(F.avg(far).alias("m"), F.sum(far * far).alias("s")).collect()
+        inner, inertia = {r["prediction"]: r["m"] for r in sums}, sum(r["s"] for r in sums)
         apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
         worst = [max((inner[i] + inner[j]) / apart[i, j] for j in inner if j != i) for i in inner if len(inner) > 1]
         gm = GaussianMixture(k=k, seed=5, maxIter=20).fit(two)
