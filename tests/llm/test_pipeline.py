@@ -51,6 +51,41 @@ def test_every_stage_does_its_work(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == seen[-1]
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
+
+
+def stages(spark, docs, path):
+    """What each stage leaves, written and read again."""
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        docs.write.mode("overwrite").parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        yield name, docs
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, docs in stages(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)):
+        assert docs.count() == 0 and (name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"])
+
+
+def test_stages_of_null_and_repeated_ids_ties_and_a_long_text(spark, tmp_path):
+    rng = random.Random(8)
+    same, other, long = words(rng, 60), words(rng, 60), words(rng, 400_000)
+    rows = [(1, same), (1, same), (1, other), (None, words(rng, 70)), (None, words(rng, 70)), (2, None), (3, ""), (4, long), (5, same)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "kept") for i, t in rows], SCHEMA)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts, last = {}, None
+    for name, docs in stages(spark, docs, str(tmp_path)):
+        counts[name] = docs.count()
+        if name == "suffix_dedup":
+            last = docs.collect()
+    # the base rule drops the two empty texts, the join the two copies of the first text; nothing is repeated then
+    assert [counts[n] for n in ("toxicity", "quality_rules", "jaccard_join", "suffix_dedup")] == [9, 7, 5, 5]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in last) == sorted((str(i), t) for i, t in [rows[0], *rows[2:5], rows[7]])
+    assert counts["packing"] > 400
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
