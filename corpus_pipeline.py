@@ -3,9 +3,18 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, folder) and
 returns a DataFrame. All but the last return the columns of documents, whatever
 these are: inside a stage, columns go by numbers, so no name of the input can
-clash with one of an operator's. ``doc_id`` and ``text`` must be there. Null
-texts count as empty and stay null; repeated rows are separate documents up to
-the near-duplicate stage, which keeps one row of each group.
+clash with one of an operator's. ``doc_id`` and ``text`` must be there. In every
+stage:
+
+- Null and empty texts count as empty; null ones stay null. They aren't toxic
+  by themselves, but fail the base rule of the quality stage.
+- Repeated rows, and rows with equal or null ids, are separate documents up to
+  the near-duplicate stage, which keeps one row of each group.
+- Ties: a toxicity score of exactly 0.5 goes; of near duplicates with the
+  smallest id the one row with the least hash of id and text stays.
+- Very long texts are read in stretches and stay whole.
+- An empty table gives an empty table with the same columns (the last stage:
+  with those of the pieces); without labels nothing is dropped but by the base rule.
 """
 
 from __future__ import annotations
