@@ -10,7 +10,7 @@ def rank_fraction(value: str, keys: list[str]) -> Column:
     """(dense rank - 1) / (distinct values - 1) within the group; 1 where there is one value, 0 for null. Values are counted by their ranks from the other end, without a set of them."""
     w = Window.partitionBy(*keys)
     ordered, reverse = F.dense_rank().over(w.orderBy(F.col(value).asc_nulls_last())), F.dense_rank().over(w.orderBy(F.col(value).desc_nulls_last()))
-    distinct = ordered + reverse - 1 - F.when(F.count_if(F.col(value).isNull()).over(w) > 0, 1).otherwise(0)
+    distinct = ordered + reverse - 1  # nulls come last both ways, so they don't count
     return F.when(F.col(value).isNull(), 0.0).when(distinct <= 1, 1.0).otherwise((ordered - 1) / (distinct - 1))
 
 
