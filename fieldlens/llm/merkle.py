@@ -27,9 +27,6 @@ are. An empty table gives an empty result. Ids must be whole numbers.
 
 from __future__ import annotations
 
-from hashlib import sha256
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,46 +99,29 @@ def ranked(rows: DataFrame, group: str, id_col: str, tie_col: str, cell_rows: in
     return materialize(done)
 
 
-def _hex(text: str) -> str:
-    return sha256(text.encode()).hexdigest()
-
-
-def _levels(nodes: list[str], fanout: int, most: int, size: int) -> list[list[str]]:
-    """The nodes of a block, level by level, up to the one at its prefix. ``size``: nodes of the whole tree at the lowest level; a block goes no higher than its tree."""
-    levels = [nodes]
-    while size > 1 and len(levels) <= most:
-        last = levels[-1]
-        levels.append([_hex("".join(last[i : i + fanout])) for i in range(0, len(last), fanout)])
-        size = -(-size // fanout)
-    return levels
-
+def _above(level: Column, fanout: int) -> Column:
+    """Digests of every ``fanout`` consecutive ones."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / fanout).cast("int"))
+    return F.transform(runs, lambda i: F.sha2(F.array_join(F.slice(level, i * fanout + 1, fanout), "").cast("binary"), 256))
 
-def _siblings(levels: list[list[str]], at: int, fanout: int) -> tuple[list[str], list[str]]:
-    """What stands left and right of a node's way up, level by level."""
-    left, right = [], []
-    for nodes in levels[:-1]:
-        run = at - at % fanout
-        left.append("".join(nodes[run:at]))
-        right.append("".join(nodes[at + 1 : run + fanout]))
-        at //= fanout
-    return left, right
 
+def _blocks(nodes: DataFrame, fanout: int, *more: str) -> DataFrame:
+    """The nodes of (tree, idx, size, digest) by block of ``fanout ** BLOCK``: ``nodes`` in order, and the digests level by level, ``level0`` to ``level{BLOCK}``.
 
-def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by("idx")
+    Levels end at the top of a tree, however many are left in its block.
+    """
+    blocked = nodes.withColumn("block", F.floor(F.col("idx") / fanout**BLOCK))
+    rows = blocked.groupBy("tree", "block").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("idx", "digest", *more))).alias("nodes"))
+    rows = rows.withColumn("level0", F.transform("nodes", lambda n: F.lower(F.hex(n["digest"]))))
+    for k in range(BLOCK):
+        rows = rows.withColumn(f"level{k + 1}", F.when(F.col("size") > fanout**k, _above(F.col(f"level{k}"), fanout)).otherwise(F.col(f"level{k}")))
+    return rows
 
 
 def _up(nodes: DataFrame, fanout: int) -> DataFrame:
-    """The nodes at the prefixes of (tree, idx, size, digest): one row for each block of ``fanout ** BLOCK``."""
-    block = fanout**BLOCK
-
-    def reduce(table: pa.Table) -> pa.Table:
-        table = _ordered(table)
-        tree, idx, size = (table[c][0].as_py() for c in ("tree", "idx", "size"))
-        top = _levels([d.hex() for d in table["digest"].to_pylist()], fanout, BLOCK, size)[-1]
-        return pa.table({"tree": [tree], "idx": [idx // block], "size": [-(-size // block)], "digest": [bytes.fromhex(top[0])]})
-
-    return nodes.withColumn("__block", F.floor(F.col("idx") / block)).groupBy("tree", "__block").applyInArrow(tk.tidy(reduce), "tree long, idx long, size long, digest binary")
+    """The nodes at the prefixes of (tree, idx, size, digest): one row for each block."""
+    size = F.ceil(F.col("size") / fanout**BLOCK).cast("long")
+    return _blocks(nodes, fanout).select("tree", F.col("block").alias("idx"), size.alias("size"), F.unhex(F.get(f"level{BLOCK}", F.lit(0))).alias("digest"))
 
 
 def _to_tops(nodes: DataFrame, fanout: int) -> list[DataFrame]:
@@ -152,48 +132,25 @@ def _to_tops(nodes: DataFrame, fanout: int) -> list[DataFrame]:
     return found
 
 
-_PATH = "tree long, idx long, left array<string>, right array<string>, subroot string"
-
-
-def _down(nodes: DataFrame, paths: DataFrame, fanout: int) -> DataFrame:
-    """The siblings on the way of each node up to the root, given those of the nodes at the prefixes."""
-    block = fanout**BLOCK
-
-    def extend(table: pa.Table, above: pa.Table) -> pa.Table:
-        table = _ordered(table)
-        levels = _levels([d.hex() for d in table["digest"].to_pylist()], fanout, BLOCK, table["size"][0].as_py())
-        up = above["left"][0].as_py(), above["right"][0].as_py()
-        ways = [_siblings(levels, i, fanout) for i in range(len(table))]
-        return pa.table({"tree": table["tree"], "idx": table["idx"], "left": pa.array([w[0] + up[0] for w in ways], pa.list_(pa.string())), "right": pa.array([w[1] + up[1] for w in ways], pa.list_(pa.string())), "subroot": pa.repeat(above["subroot"][0], len(table))})
-
-    blocked = nodes.withColumn("__block", F.floor(F.col("idx") / block)).groupBy("tree", "__block")
-    return blocked.cogroup(paths.withColumnRenamed("idx", "__block").groupBy("tree", "__block")).applyInArrow(tk.tidy(extend), _PATH)
-
-
-def _proofs(leaves: DataFrame, paths: DataFrame, fanout: int, root: str, kept: list[str], types: str) -> DataFrame:
-    """One row for each leaf: kept columns, leaf, proof and the root folded from the altered leaf, if there is one."""
-    block = fanout**BLOCK
+def _siblings(fanout: int) -> tuple[Column, Column]:
+    """What stands left and right of the way of the node at ``at`` in its block, level by level to the top of the block."""
+    left, right = [], []
+    for k in range(BLOCK):
+        place = F.floor(F.col("at") / fanout**k).cast("int")
+        first = place - place % fanout
+        inside = F.col("size") > fanout**k
+        left.append(F.when(inside, F.array_join(F.slice(f"level{k}", first + 1, place - first), "")))
+        right.append(F.when(inside, F.array_join(F.slice(f"level{k}", place + 2, fanout - 1 - place + first), "")))
+    return F.array_compact(F.array(*left)), F.array_compact(F.array(*right))
 
-    def prove(table: pa.Table, above: pa.Table) -> pa.Table:
-        table = _ordered(table)
-        digests = [d.hex() for d in table["digest"].to_pylist()]
-        altered = [d.hex() if d is not None else None for d in table["altered"].to_pylist()]
-        levels = _levels(digests, fanout, BLOCK, table["size"][0].as_py())
-        up = above["left"][0].as_py(), above["right"][0].as_py()
-        proof, folded = [], []
-        for i, digest in enumerate(digests):
-            left, right = _siblings(levels, i, fanout)
-            way = [*zip(left, right, strict=True), *zip(*up, strict=True)]
-            proof.append(_hex("".join(a + b for a, b in way)))
-            now = altered[i] or digest
-            for a, b in way:
-                now = _hex(a + now + b)
-            folded.append(now)
-        out = {c: table[c] for c in kept}
-        return pa.table(out | {"leaf": digests, "subroot": pa.repeat(above["subroot"][0], len(table)), "proof_sha256": proof, "folded_root": folded, "verified": [f == root for f in folded]})
 
-    blocked = leaves.withColumn("__block", F.floor(F.col("idx") / block)).groupBy("tree", "__block")
-    return blocked.cogroup(paths.withColumnRenamed("idx", "__block").groupBy("tree", "__block")).applyInArrow(tk.tidy(prove), f"{types}, leaf string, subroot string, proof_sha256 string, folded_root string, verified boolean")
+def _down(nodes: DataFrame, paths: DataFrame, fanout: int, *more: str) -> DataFrame:
+    """tree, idx, digest (hex), subroot and ``more`` of each node, with the siblings left and right on its way up to the root, given those of the nodes at the prefixes."""
+    above = paths.select(F.col("tree").alias("__tree"), F.col("idx").alias("__block"), F.col("left").alias("__left"), F.col("right").alias("__right"), "subroot")
+    met = _blocks(nodes, fanout, *more).join(above, (F.col("tree") == F.col("__tree")) & (F.col("block") == F.col("__block")))
+    each = met.select("*", F.posexplode("nodes").alias("at", "node"))
+    left, right = _siblings(fanout)
+    return each.select("tree", F.col("node.idx").alias("idx"), F.get("level0", F.col("at")).alias("digest"), F.concat(left, "__left").alias("left"), F.concat(right, "__right").alias("right"), "subroot", *(F.col(f"node.{c}").alias(c) for c in more))
 
 
 def manifest(df: DataFrame, fields: list[Column], keep: list[str], id_col: str = "doc_id", group_col: str = "lang", altered: Column | None = None, fanout: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -205,7 +162,7 @@ def manifest(df: DataFrame, fields: list[Column], keep: list[str], id_col: str =
     """
     if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError(f"{id_col} must be a whole number: its digits rank the rows")
-    names, types = tk.kept(df, keep)
+    names, _ = tk.kept(df, keep)
     rows = df.select(
         *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(id_col).cast("long").alias("__id"), F.col(group_col).cast("string").alias("__group"),
         F.unhex(leaf(fields)).alias("digest"), (F.unhex(altered) if altered is not None else F.lit(None).cast("binary")).alias("altered"),
@@ -228,5 +185,9 @@ def manifest(df: DataFrame, fields: list[Column], keep: list[str], id_col: str =
     paths = paths.select(F.col("idx").alias("tree"), F.lit(0).cast("long").alias("idx"), "left", "right").join(subroots, "tree")
     for nodes in reversed(groups[1:-1]):
         paths = materialize(_down(nodes, paths, fanout))
-    proofs = _proofs(leaves, paths, fanout, root, names, types)
-    return proofs.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", "verified")
+    found = _down(leaves, paths, fanout, "altered", *names)
+    way = F.zip_with("left", "right", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    folded = F.aggregate(way, F.coalesce(F.lower(F.hex("altered")), "digest"), lambda now, s: F.sha2(F.concat(s["a"], now, s["b"]).cast("binary"), 256))
+    proof = F.sha2(F.array_join(F.zip_with("left", "right", lambda a, b: F.concat(a, b)), "").cast("binary"), 256)
+    found = found.withColumns({"proof_sha256": proof, "folded_root": folded})
+    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("digest").alias("leaf"), "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
