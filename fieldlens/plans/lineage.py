@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet in the shared checkpoint folder and read back.
+
+    For loops that join a table with itself round after round: a checkpoint
+    keeps the planner's estimate of its size, which a join multiplies, so that
+    after some twenty rounds planning takes longer than the work. A file's size is known.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

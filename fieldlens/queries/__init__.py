@@ -1,3 +1,3 @@
 """All queries outside the corpus operators; importing this package registers them."""
 
-from fieldlens.queries import aggregates, checks, designs, joins, learning, more, ordered, planning, rasters, reconciles, scalars, streams, upkeep  # noqa: F401
+from fieldlens.queries import aggregates, checks, clusters, designs, joins, learning, more, ordered, planning, rasters, reconciles, scalars, shapes, streams, upkeep  # noqa: F401
