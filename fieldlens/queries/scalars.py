@@ -12,17 +12,17 @@ from fieldlens.registry import query
 from fieldlens.sources import standins as T
 
 
-@query("q_search_samples", "SELECT sample_id, source_id, driver, region FROM samples WHERE (source_id ILIKE '%00_1%' ESCAPE '$' OR CAST(sample_id AS VARCHAR) ILIKE '%00_1%' ESCAPE '$' OR country ILIKE '%er%') AND driver = 'BUILDING'".replace("00_1", "00$_1"))
+@query("q_search_samples", "SELECT sample_id, source_id, driver, region FROM samples WHERE (source_id ILIKE '%ation$_1%' ESCAPE '$' OR country ILIKE '%ation$_1%' ESCAPE '$' OR CAST(sample_id AS VARCHAR) ILIKE '%3%') AND driver = 'BUILDING'")
 def search_samples(spark: SparkSession, d: str) -> DataFrame:
     """Text in any of several columns, taken literally, and an equality. Two texts of one search box are joined by OR here."""
     s = T.samples(spark, d)
-    hits = S.search(s, "00_1", ["source_id", "sample_id"], {"driver": "BUILDING"}).unionByName(S.search(s, "er", ["country"], {"driver": "BUILDING"})).distinct()
+    hits = S.search(s, "ation_1", ["source_id", "country"], {"driver": "BUILDING"}).unionByName(S.search(s, " 3 ", ["sample_id"], {"driver": "BUILDING"})).distinct()
     return hits.select("sample_id", "source_id", "driver", "region")
 
 
-@query("q_search_count", "SELECT count(*) AS n FROM samples WHERE country ILIKE '%an%' AND region = 'ASIA'")
+@query("q_search_count", "SELECT count(*) AS n FROM samples WHERE country ILIKE '%ation$_2%' ESCAPE '$' AND driver = 'MACHINERY'")
 def search_count(spark: SparkSession, d: str) -> DataFrame:
-    return S.search(T.samples(spark, d), "an", ["country"], {"region": "ASIA"}).agg(F.count(F.lit(1)).alias("n"))
+    return S.search(T.samples(spark, d), "ATION_2", ["country"], {"driver": "MACHINERY"}).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_page", "SELECT sample_id, source_id FROM samples ORDER BY driver, source_id, sample_id LIMIT 50 OFFSET 100")

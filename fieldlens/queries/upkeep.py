@@ -321,15 +321,6 @@ def operation(entity: str, key: Column, action: Column | str, detail: Column) ->
     return [F.concat_ws(":", F.lit(entity), key.cast("string"), action).alias("op_id"), F.lit(entity).alias("entity"), key.cast("string").alias("key"), action.alias("action"), detail.cast("string").alias("detail")]
 
 
-@query("q_import_operations", """
-    SELECT entity || ':' || key || ':' || action AS op_id, entity, key, action, detail FROM (
-        SELECT 'scene' AS entity, o_orderkey::VARCHAR AS key, CASE WHEN c_custkey IS NULL THEN 'SKIP_NO_SAMPLE' ELSE 'INSERT' END AS action, o_custkey::VARCHAR AS detail FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey WHERE o_orderkey % 8 = 1
-        UNION ALL SELECT 'preview', o_orderkey || '-' || v, 'INSERT', v FROM orders JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey, (SELECT unnest(['rgb', 'nbr']) AS v) WHERE o_orderkey % 8 = 1)""")
-def import_operations(spark: SparkSession, d: str) -> DataFrame:
-    """The operations of one delivery, an eighth of the orders."""
-    return imported(spark, d, table(spark, d, "orders").filter("o_orderkey % 8 = 1"))
-
-
 @query("q_import_all_operations", """
     WITH j AS (SELECT o_orderkey, o_custkey, c_custkey FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey)
     SELECT entity || ':' || key || ':' || action AS op_id, entity, key, action, detail FROM (
