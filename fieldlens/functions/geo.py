@@ -96,3 +96,10 @@ def palette_color(value: Column, stops: list[tuple[float, tuple[int, int, int]]]
         color = F.array(*(F.floor(F.lit(float(x)) + (y - x) * t).cast("int") for x, y in zip(left, right, strict=True)))
         out = F.when((v >= a) & (v <= b), color) if out is None else out.when((v >= a) & (v <= b), color)
     return out
+
+
+def required_tiles(left: Column, bottom: Column, right: Column, top: Column) -> Column:
+    """Names of the tiles that a box touches, sorted, by nine points of it: a hair inside its corners, and the middles of its sides and of itself. A box is smaller than a tile."""
+    hair = 1e-9
+    lons, lats = (left + hair, right - hair, (left + right) / 2), (bottom + hair, top - hair, (bottom + top) / 2)
+    return F.array_sort(F.array_distinct(F.array(*(tile_id(lat, lon) for lat in lats for lon in lons))))

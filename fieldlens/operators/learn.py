@@ -75,6 +75,35 @@ def stratified_folds(df: DataFrame, group: str, label: str, folds: int, seed: in
     return number_rows(one, ["stratum"], ["__h", group], "__i", lanes=16).select(group, "stratum", (F.col("__i") % folds).cast("int").alias("fold"))
 
 
+def effective_folds(df: DataFrame, label: str, group: str | None, requested: int) -> DataFrame:
+    """One row: folds, the requested number or, if that is fewer, the groups (rows, without groups) of the rarest label, and that label's number. A group counts for every label it holds; rows with a null label don't count."""
+    one = df.filter(F.col(label).isNotNull())
+    each = one if group is None else one.select(label, group).distinct()
+    counts = each.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.agg(F.least(F.lit(requested), F.min("__n")).alias("folds"), F.min("__n").alias("rarest"))
+
+
+def clustering_winners(scores: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row: the k that is best by each measure of ``scores`` and by the mean agreement of ``stability``, the k nearest to the median of these votes, and how strongly the points are separated.
+
+    ``scores`` has a row for each k, ``stability`` (k, run, ari). Of equally good k
+    the smallest wins; mixtures are judged by BIC and don't vote.
+    """
+    mean = stability.groupBy(F.col("k").alias("__k")).agg(F.avg("ari").alias("ari"))
+    rows = scores.join(mean, F.col("k") == F.col("__k"), "left")
+    votes = {"silhouette_k": ("silhouette", 1), "davies_bouldin_k": ("davies_bouldin", -1), "calinski_harabasz_k": ("calinski_harabasz", 1), "stability_k": ("ari", 1), "bic_k": ("bic", -1)}
+    found = F.struct(*(F.max(F.when(F.col(c).isNotNull(), F.struct((sign * F.col(c)).alias("v"), (-F.col("k")).alias("k"))))["k"].alias(into) for into, (c, sign) in votes.items()))
+    row = rows.agg(found.alias("w"), F.max("silhouette").alias("best_silhouette"), F.max("ari").alias("best_ari"), F.sort_array(F.collect_list("k")).alias("ks"))
+    row = row.select(*((-F.col(f"w.{into}")).alias(into) for into in votes), "best_silhouette", "best_ari", "ks")
+    vote = F.sort_array(F.array_compact(F.array(*(into for into in votes if into != "bic_k"))))
+    n = F.size(vote)
+    median = (F.get(vote, F.floor((n - 1) / 2).cast("int")) + F.get(vote, F.floor(n / 2).cast("int"))) / 2
+    nearest = F.array_min(F.transform("ks", lambda k: F.struct(F.abs(k - median).alias("far"), k.alias("k"))))["k"]
+    s = F.col("best_silhouette")
+    signal = F.when(s < 0.10, "weak separation").when(s < 0.25, "limited separation").when(s < 0.50, "moderate separation").when(s.isNotNull(), "strong separation")
+    return row.select(*votes, nearest.alias("reference_k"), "best_silhouette", "best_ari", signal.alias("structure"))
+
+
 def leaks(splits: DataFrame, group: str) -> DataFrame:
     """Groups that are in more than one fold; should be empty."""
     return splits.groupBy(group).agg(F.count_distinct("fold").alias("folds")).filter("folds > 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators import agreement, density, leave_out
+from fieldlens.operators import learn as L
 from fieldlens.operators import ordered as O
 from fieldlens.plans.tables import table
 from fieldlens.registry import query
@@ -82,3 +83,22 @@ def membership_stability(spark: SparkSession, d: str) -> DataFrame:
 def rank_tests(spark: SparkSession, d: str) -> DataFrame:
     """Spearman correlation of area and score in each year, with its two-sided p-value."""
     return agreement.rank_tests(T.events(spark, d), "event_year", "area_ha", "p_a").select("event_year", "n", F.round("spearman", 6).alias("spearman"), F.round("p_value", 6).alias("p_value"))
+
+
+@query("q_clustering_winners")
+def clustering_winners(spark: SparkSession, d: str) -> DataFrame:
+    """Which number of clusters each measure prefers, and the one between them. The choice is held against a loop in tests."""
+    rows = coordinates(spark, d)
+    ks = [2, 3, 4]
+    return L.clustering_winners(L.cluster_scores(rows, "x", ks), L.cluster_stability(rows, "vec_id", "x", ks, 2))
+
+
+@query("q_effective_folds", """
+    SELECT review_status, least(7, min(n)) AS folds, min(n) AS rarest FROM (SELECT review_status, review_class, count(DISTINCT event_year) AS n FROM obs WHERE p_a > 0.9 GROUP BY ALL) GROUP BY review_status""")
+def effective_folds(spark: SparkSession, d: str) -> DataFrame:
+    """How many folds by year the classes of each status allow."""
+    e, out = T.events(spark, d).filter("p_a > 0.9"), None
+    for status in ("VALID", "REJECTED"):
+        row = L.effective_folds(e.filter(F.col("review_status") == status), "review_class", "event_year", 7).select(F.lit(status).alias("review_status"), "folds", "rarest")
+        out = row if out is None else out.unionByName(row)
+    return out

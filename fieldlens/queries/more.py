@@ -140,6 +140,16 @@ def missing_tiles(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("sample_id").agg(F.count_distinct(cell).alias("tiles"))
 
 
+@query("q_required_tiles", """
+    WITH p AS (SELECT sample_id, lat + dy AS lat, lon + dx AS lon FROM samples, (SELECT unnest([-0.4 + 1e-9, 0, 0.4 - 1e-9]) AS dy), (SELECT unnest([-0.4 + 1e-9, 0, 0.4 - 1e-9]) AS dx)),
+    c AS (SELECT DISTINCT sample_id, CAST(floor(lat / 10) * 10 + 10 AS BIGINT) AS n, CAST(floor(lon / 10) * 10 AS BIGINT) AS w FROM p)
+    SELECT sample_id, lpad(CAST(abs(n) AS VARCHAR), 2, '0') || CASE WHEN n >= 0 THEN 'N' ELSE 'S' END || '_' || lpad(CAST(abs(w) AS VARCHAR), 3, '0') || CASE WHEN w >= 0 THEN 'E' ELSE 'W' END AS tile FROM c""")
+def required_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The tiles that the box around each sample touches, by name."""
+    lat, lon = F.col("lat"), F.col("lon")
+    return T.samples(spark, d).select("sample_id", F.explode(geo.required_tiles(lon - 0.4, lat - 0.4, lon + 0.4, lat + 0.4)).alias("tile"))
+
+
 @query("q_overlaps", f"""
     SELECT sample_id, count(*) AS occupied FROM samples a, {SUPPLIERS} b WHERE abs(a.lat - b.lat) <= 200000 / 110574.0 AND abs(a.lon - b.lon) <= 200000 / (111320.0 * cos(radians(a.lat))) GROUP BY sample_id""")
 def overlaps(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlens.functions.special import correlation_p, incomplete_beta, ln_gamma
-from fieldlens.operators import agreement
+from fieldlens.operators import agreement, learn
 
 
 def test_best_matching_equals_all_permutations():
@@ -70,3 +70,28 @@ def test_correlation_p_values(spark):
     wanted = [1 - 0.5, 1 - 0.9, four(0.3), 1.0, 0.0, None]
     assert all(a is b is None or abs(a - b) < 1e-9 for a, b in zip(got, wanted, strict=False))
     assert abs(got[-1] - math.erfc(0.004 * math.sqrt(250_000) / math.sqrt(2))) < 1e-5
+
+
+def test_clustering_winners_equal_the_loop(spark):
+    rng = random.Random(6)
+    for _ in range(4):
+        ks = list(range(2, rng.randint(4, 9)))
+        pick = lambda: rng.choice([None, 0.05, 0.2, 0.2, 0.4, 0.9])
+        scores = [(k, pick(), 1.0, pick(), pick(), 1.0, rng.choice([1.0, 2.0, 3.0])) for k in ks]
+        scores[0] = (ks[0], 0.05, 1.0, 0.05, 0.9, 1.0, 2.0)
+        runs = [(k, r, rng.choice([0.1, 0.5, 0.9])) for k in ks for r in range(2)]
+        got = learn.clustering_winners(spark.createDataFrame(scores, "k int, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double, aic double, bic double"), spark.createDataFrame(runs, "k int, run int, ari double")).first()
+        best = lambda i, sign: min((s for s in scores if s[i] is not None), key=lambda s: (-sign * s[i], s[0]))[0]
+        ari = {k: sum(a for j, _, a in runs if j == k) / 2 for k in ks}
+        votes = [best(1, 1), best(4, -1), best(3, 1), min(ks, key=lambda k: (-ari[k], k))]
+        assert [got[c] for c in ("silhouette_k", "davies_bouldin_k", "calinski_harabasz_k", "stability_k", "bic_k")] == [*votes, best(6, -1)]
+        assert got["reference_k"] == min(ks, key=lambda k: (abs(k - float(np.median(votes))), k))
+        top = max(s[1] for s in scores if s[1] is not None)
+        assert got["structure"].split()[0] == ("weak" if top < 0.1 else "limited" if top < 0.25 else "moderate" if top < 0.5 else "strong")
+
+
+def test_effective_folds(spark):
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), (None, 9)]
+    df = spark.createDataFrame(rows, "label string, point int")
+    assert tuple(learn.effective_folds(df, "label", "point", 5).first()) == (2, 2)
+    assert tuple(learn.effective_folds(df, "label", None, 5).first()) == (3, 3) and learn.effective_folds(df, "label", None, 2).first()["folds"] == 2
