@@ -12,6 +12,7 @@ from fieldlens.plans.tables import table
 from fieldlens.registry import query
 from fieldlens.sources import files as X
 from fieldlens.sources import standins as T
+from fieldlens.sources import writers as W
 
 
 @query("q_export_inventory", """
@@ -23,3 +24,15 @@ def export_inventory(spark: SparkSession, d: str) -> DataFrame:
     rich.write.partitionBy("nation").csv(root, header=True)
     there = X.files(spark, root, "*.csv").filter("length > 0").select(F.regexp_extract("path", "nation=([0-9]+)", 1).cast("int").alias("at")).distinct()
     return table(spark, d, "nation").join(there, F.col("n_nationkey") == F.col("at"), "left").select(F.col("n_nationkey").alias("nation"), F.when(F.col("at").isNotNull(), "ok").otherwise("missing").alias("status"))
+
+
+@query("q_export_tables", """
+    SELECT 'events' AS name, count(*) AS rows, 14 AS columns FROM obs UNION ALL SELECT 'samples', count(*), 8 FROM samples UNION ALL SELECT 'classes', count(DISTINCT review_class), 2 FROM obs""")
+def export_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Result tables written as CSV with a manifest, which is read back; fails if a file holds other rows than it states."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/exports/{uuid4().hex}"
+    e = T.events(spark, d)
+    manifest = W.export_tables({"events": e, "samples": T.samples(spark, d), "classes": e.groupBy("review_class").count()}, root)
+    if not W.unlike_manifest(spark, root).isEmpty():
+        raise ValueError("the export differs from its manifest")
+    return manifest.select("name", "rows", "columns")

@@ -3,7 +3,12 @@
 import json
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
+from fieldlens.operators import learn
 from fieldlens.sources import files as X
+from fieldlens.sources import writers as W
 
 
 def put(path, content=b"II*\x00abc", at=None):
@@ -49,3 +54,29 @@ def test_bundle_files(spark, tmp_path):
     got = {r["path"]: (r["status"], r["length"]) for r in X.bundle_files(spark, str(root)).collect()}
     assert got.pop("data/a.csv") == ("ok", 5) and got.pop("data/b.csv") == ("missing", None) and got.pop("data/extra.csv") == ("unlisted", 1)
     assert {s for s, _ in got.values()} == {"unsafe"} and set(got) == set(listed[2:])
+
+
+def test_export_and_its_manifest(spark, tmp_path):
+    root = str(tmp_path / "run")
+    frames = {"a": spark.range(7).withColumn("text", F.lit('two\nlines, "quoted"')), "empty": spark.range(0), "nested": spark.range(2).withColumn("x", F.array("id"))}
+    got = {r["name"]: (r["rows"], r["columns"], r["fields"], r["note"]) for r in W.export_tables(frames, root, "n").collect()}
+    assert got == {"a": (7, 2, "id bigint, text string", "n"), "empty": (0, 1, "id bigint", "n"), "nested": (2, 2, "id bigint, x array<bigint>", "n")}
+    assert W.unlike_manifest(spark, root).collect() == []
+    spark.range(3).withColumn("text", F.lit("x")).write.mode("append").csv(f"{root}/tables/a", header=True)
+    assert [tuple(r) for r in W.unlike_manifest(spark, root).collect()] == [("a", 7, 10)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        W.export_tables(frames, root)
+    with pytest.raises(ValueError, match="name"):
+        W.export_tables({"../a": spark.range(1)}, root)
+
+
+def test_model_folder_repeats_its_rows(spark, tmp_path):
+    df = spark.range(60).select((F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, (F.col("id") % 11).cast("double")).alias("b"), ((F.col("id") % 7 + F.col("id") % 11) > 7).cast("int").alias("y"))
+    model = learn.logistic(["a", "b"], "y").fit(df)
+    W.save_model(model, str(tmp_path / "m"), df.limit(3), {"accuracy": 0.5}, ["a", "b"])
+    again = W.load_model(spark, str(tmp_path / "m"), "a double, b double")
+    assert [r["prediction"] for r in again.transform(df).collect()] == [r["prediction"] for r in model.transform(df).collect()]
+    other = learn.logistic(["a", "b"], "y", ridge=5.0).fit(df)
+    other.write().overwrite().save(str(tmp_path / "m/model"))
+    with pytest.raises(ValueError, match="repeat"):
+        W.load_model(spark, str(tmp_path / "m"), "a double, b double")
