@@ -10,7 +10,11 @@ Merging all occurrences of a pair in one round equals the library's one by one
 order unless a merge makes a still better pair; a word where that would happen
 merges only its first occurrence in that round.
 
-Nulls count as empty texts; an empty text has no ids and decodes to "".
+Nulls count as empty texts; an empty text has no ids and decodes to "". Very long
+texts are read whole, a run of one word at a time; equal words of a batch are
+encoded once. Repeated rows and null ids stay, each its own row; an empty table gives
+an empty result. Columns other than id and text are not read, so their names
+can't clash.
 """
 
 from __future__ import annotations

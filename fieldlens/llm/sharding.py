@@ -1,9 +1,10 @@
 """Sharding by k-d tree partitioning, with DataFrame functions only.
 
-Every row is a point: its source, language and id, each scaled to a range of
-whole numbers; its size is its weight. A node with more than the target bytes is split at the
-weighted median of its widest dimension, level by level, until every leaf
-holds the target. Ties in a dimension are broken by a hash of the row, so a
+Every row is a point: its source and language, each by a 16-bit hash of its text,
+and its id, all scaled to a range of whole numbers; its size is its weight. A hash
+keeps rows of one source or language together, but says nothing about which
+are alike. All nodes of a level are split at the weighted median of their widest
+dimension, for as many levels as bring the leaves to the target bytes. Ties in a dimension are broken by a hash of the row, so a
 source or language that holds most rows splits as evenly as any other.
 
 A median is found by descent over digits of the split coordinate: each pass
@@ -12,8 +13,11 @@ the driver sees, however many rows there are. All nodes of a level descend
 together. A large row at a median leaves the halves uneven; one row of each
 node, the one whose size is nearest to the excess, then changes sides.
 
-Null text has size 1 and the checksum of no bytes; null source, language or
-id count as the smallest value. Repeated rows are separate points.
+Null text has size 1 and the checksum of no bytes; null source or language are a
+value of their own, a null id counts as 0. Ids are numbers, or texts of numbers. Repeated rows
+are separate points. A very long text is one row, so a leaf may exceed the
+target by it. An empty table gives an empty result. Columns other than id, text,
+source and language are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -126,3 +126,20 @@ def test_held_out_labels(spark):
     named = queries.op2_language_id(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
     right = named.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right >= 0.99
+
+
+def test_shards_and_ids_of_clashing_and_missing_columns(spark):
+    """Columns with the operators' own names are not read; an empty table gives an empty result; repeated rows stay."""
+    own = ("size", "shard", "slot", "node", "row", "tie", "at", "d_id", "n_tokens", "ids_sha256")
+    docs = spark.createDataFrame([(1, "one text", "s", "en"), (1, "one text", "s", "en"), (None, None, None, None), (3, "", "s", None)], "doc_id long, text string, source string, lang string").withColumns({c: F.lit("x") for c in own})
+    placed = sharding.kd_shards(docs).collect()
+    assert sorted(r["size"] for r in placed) == [1, 1, 9, 9] and {r["law"] for r in placed} == {"bytes"}
+    assert sorted(r["n_tokens"] for r in sentencepiece_codec.encode_digests(docs, MODEL).collect())[:2] == [0, 0]
+    assert sharding.kd_shards(docs.limit(0)).collect() == [] and sentencepiece_codec.encode_digests(docs.limit(0), MODEL).collect() == []
+
+
+def test_ids_of_a_very_long_text_are_the_library_s(spark):
+    text = "der ung and " * 400_000
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("der ung and "), 400_000).alias("text"))
+    ids = sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+    assert sentencepiece_codec.encode_digests(docs, MODEL).first()["n_tokens"] == len(ids)
