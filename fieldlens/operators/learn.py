@@ -178,9 +178,11 @@ def cluster_scores(vectors: DataFrame, vector: str, ks: list[int]) -> DataFrame:
 
     import numpy as np
 
+    from fieldlens.plans.lineage import materialize
+
     spark = vectors.sparkSession
-    x = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
-    two = PCA(k=2, inputCol="features", outputCol="z").fit(x).transform(x).select(F.col("z").alias("features")).cache()
+    x = materialize(vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+    two = materialize(PCA(k=2, inputCol="features", outputCol="z").fit(x).transform(x).select(F.col("z").alias("features")))
     n, rows = x.count(), []
     moments = x.select(Summarizer.metrics("variance").summary(F.col("features")).alias("s")).select("s.variance").first()
     spread = float(sum(moments["variance"])) * (n - 1) if n > 1 else 0.0
@@ -198,8 +200,6 @@ def cluster_scores(vectors: DataFrame, vector: str, ks: list[int]) -> DataFrame:
         parameters, likelihood = k * 2 + k * 3 + k - 1, float(gm.summary.logLikelihood)
         calinski = (spread - inertia) / (k - 1) / (inertia / (n - k)) if k > 1 and n > k and inertia > 0 else None
         rows.append((k, float(ClusteringEvaluator().evaluate(done)), inertia, calinski, float(np.mean(worst)) if worst else None, 2.0 * parameters - 2 * likelihood, parameters * math.log(max(n, 1)) - 2 * likelihood))
-    x.unpersist()
-    two.unpersist()
     return spark.createDataFrame(rows, "k int, silhouette double, inertia double, calinski_harabasz double, davies_bouldin double, aic double, bic double")
 
 
