@@ -276,6 +276,14 @@ BODIES = """
 <p>{4+}</p><p>{9+}</p><p>{6+}</p>
 <div class="content-sidebar widget"><h1>{7+}</h1><p>{50+}</p><p>{43+}</p><p>{30+}</p><p>{61+}</p></div>
 <div class="widget"><article><h1>{7+}</h1><p>{50+}</p><p>{6+}</p><p>{30+}</p><p>{61+}</p></article></div>
+<div><h1>{8+}</h1><p>{20+}[3+]{20+}</p><p>{30+}[2+]</p><h2>{3+}</h2><p>[2+]{40+}</p><p>{14+}[3+]</p><p>{55+}[3+]{10+}</p></div>
+<div><h1>{6+}</h1><p>{12+}[2+]{9+}</p><p>{60+}</p><ul><li>{9+}[2+]</li><li>{14+}</li><li>{4+}</li></ul><blockquote><p>{18+}[1+]</p></blockquote><p>{33+}[6+]</p></div><div><h3>{2}</h3><ul><li>[7]</li><li>[5]</li><li>[9]</li></ul></div>
+<h1>{9+}</h1><p>{24+}[5+]{7+}</p><p>{5+}</p><p>{40+}</p><p>{3+}</p><p>{26+}</p><div><p>[6]</p><p>{3}</p><p>[8]</p><p>{2}</p><p>[5]</p><p>{3}</p></div>
+<div><p>[5]</p><p>{2}</p><p>[7]</p><p>{3}</p></div><div><h1>{6+}</h1><p>{35+}</p><p>{4+}</p><p>{48+}[2+]{5+}</p></div><div><p>[8]</p><p>{3}</p><p>[6]</p><p>{2}</p></div>
+<div><h1>{7+}</h1><p>{45+}</p><p>{30+}[3+]</p><p>{52+}</p></div><div><h3>[6]</h3><p>{12}</p><h3>[7]</h3><p>{16}</p><h3>[5]</h3><p>{10}</p></div>
+<article><h1>{7+}</h1><p>{45+}</p><p>{3+}</p><p>{30+}[3+]</p><p>{2+}</p><p>{52+}</p><p>[6]</p><p>{3}</p><p>[7]</p><p>{2}</p><p>[8]</p><p>{3}</p></article>
+<article><h1>{7+}</h1><p>{25+}</p><h2>{2+}</h2><p>{50+}</p><h2>{2}</h2><ul><li>[8]</li><li>[6]</li><li>[7]</li></ul></article>
+<article><h1>{5+}</h1><p>{38+}</p><h3>{3+}</h3><p>{44+}</p><ul><li>{4+}</li><li>{3+}</li><li>{11+}</li></ul><p>{20+}</p><h3>{2}</h3><ul><li>[6]</li><li>{3}</li><li>[9]</li><li>{2}</li><li>[7]</li></ul></article>
 <article><h1>{9+}</h1><p>{12+}</p><p>{15+}</p></article><p>{9}</p><p>{26}</p><p>{31}</p>
 <p>{16}</p><p>{29}</p><article><h1>{6+}</h1><p>{31+}</p><p>{10+}</p><p>{22+}</p></article><p>{36}</p>
 """.strip("\n").split("\n")
