@@ -145,7 +145,7 @@ def fixed_rules(events: DataFrame, baseline: DataFrame, thresholds: dict[str, fl
     rules = [(f, f"{f} <= {t}", t, low[f]) for f, t in thresholds.items()] + [("combined_or", "ANY_FIXED_THRESHOLD", None, either)]
     small, valid = F.coalesce(F.col("review_class") == "EVENT_TOO_SMALL", F.lit(False)), F.coalesce(F.col("review_status") == "VALID", F.lit(False))
     each = fresh.select(small.alias("__small"), valid.alias("__valid"), F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(n).alias("rule"), F.lit(t).cast("double").alias("threshold"), c.alias("hit")) for f, n, t, c in rules))))
-    hit, known, n = F.col("hit"), F.col("hit").isNotNull(), lambda c: A.count_if(c).cast("long")
+    hit, known, n = F.col("hit"), F.col("hit").isNotNull(), F.count_if
     cells = {
         "events": n(known), "missing_events": n(~known), "event_too_small_events": n(known & F.col("__small")), "predicted_small_events": n(hit), "true_positive": n(hit & F.col("__small")), "false_positive": n(hit & ~F.col("__small")),
         "false_negative": n(~hit & F.col("__small")), "true_negative": n(~hit & ~F.col("__small")), "valid_events": n(known & F.col("__valid")), "valid_events_lost": n(hit & F.col("__valid")),
@@ -173,7 +173,7 @@ def study(events: DataFrame, baseline: DataFrame, thresholds: dict[str, float],
     taxonomy = materialize(E.point_taxonomy(e))
     fire = lambda c: F.col(c) == "Wildfire"
     chosen = predictions.groupBy("sample_id").agg((F.min("selected_year") != F.max("selected_year")).alias("differs"))
-    n = lambda c: A.count_if(c).cast("long")
+    n = F.count_if
     head = e.agg(F.count(F.lit(1)).alias("reviewed_events"), n(F.col("review_status") == "VALID").alias("valid_events"), n(F.col("review_status") == "REJECTED").alias("rejected_events"))
     points = taxonomy.agg(F.count(F.lit(1)).alias("reviewed_points"), n(F.col("n_events") > 1).alias("multi_event_points"))
     apart = chosen.agg(F.count(F.lit(1)).alias("evaluable_points"), n(F.col("differs")).alias("points_where_methods_differ"))
