@@ -14,8 +14,8 @@ together. A large row at a median leaves the halves uneven; one row of each
 node, the one whose size is nearest to the excess, then changes sides.
 
 Null text has size 1 and the checksum of no bytes; null source or language are a
-value of their own, a null id counts as 0. Ids are numbers, or texts of numbers. Repeated rows
-are separate points. A very long text is one row, so a leaf may exceed the
+value of their own, a null id counts as 0. Ids are numbers or texts; a text that is no finite number
+counts as a 16-bit hash of itself. Repeated rows are separate points. A very long text is one row, so a leaf may exceed the
 target by it. An empty table gives an empty result. Columns other than id, text,
 source and language are not read, so their names can't clash.
 """
@@ -39,13 +39,15 @@ def _points(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
     """Narrow rows: id, size, checksum, the raw dimensions and a tie-breaking hash."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
     crc = F.crc32(text)
+    number = F.col(id_col).try_cast("double")
+    place = F.when(F.abs(number) < 1e300, number).when(F.col(id_col).isNull(), 0.0).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 16)).cast("double"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         crc.cast("long").alias("text_crc32"),
         F.pmod(F.xxhash64(F.col(source_col)), F.lit(1 << 16)).cast("double").alias("d_source"),
         F.pmod(F.xxhash64(F.col(lang_col)), F.lit(1 << 16)).cast("double").alias("d_lang"),
-        F.coalesce(F.col(id_col).cast("double"), F.lit(0.0)).alias("d_id"),
+        place.alias("d_id"),
         F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(1 << TIE)).alias("tie"),
     )
 

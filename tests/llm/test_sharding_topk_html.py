@@ -25,6 +25,15 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
 
 
+def test_ids_that_are_no_numbers(spark):
+    """Text ids, empty ones and texts of numbers that aren't finite shard as any others."""
+    ids = [f"doc-{i}" for i in range(300)] + ["17", " 18 ", "", "NaN", "Infinity", "1e400", "-3.5", None]
+    got = sharding.kd_shards(spark.createDataFrame([(i, "some text", "s", "en") for i in ids], "doc_id string, text string, source string, lang string")).collect()
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in got)
+    counts = [sum(r["shard"] == x for r in got) for x in range(16)]
+    assert max(counts) - min(counts) <= 4
+
+
 def test_equal_rows_and_few_rows_are_split(spark):
     schema = "doc_id long, text string, source string, lang string"
     same = sharding.kd_shards(spark.createDataFrame([(i, "same text", "s", "en") for i in range(160)], schema)).groupBy("shard").count().collect()
