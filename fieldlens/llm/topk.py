@@ -87,6 +87,16 @@ def most_product(q_norm: float, x_norm: np.ndarray, apart: np.ndarray, reach: fl
     return np.where(np.isfinite(most), most, np.inf)
 
 
+def least_apart(columns: np.ndarray, to_pivots: np.ndarray, n: int) -> np.ndarray:
+    """Lower bounds of a query's distance to n vectors: the greatest difference of their distances to a pivot. ``columns`` has a row of the table for each pivot; singles, whose rounding ``most_product`` allows for."""
+    out, one = np.zeros(n, np.float32), np.empty(n, np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for column, d in zip(columns, to_pivots, strict=True):
+            np.subtract(column, d, out=one)
+            np.maximum(out, np.abs(one, out=one), out=out)
+    return out.astype(np.float64)
+
+
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers, as longs; beyond a long they saturate."""
     size = x.shape[1] * np.abs(x).max(1, initial=0) * max(np.abs(q).max(initial=0), 1)
@@ -115,9 +125,10 @@ def block_top(asked: tuple, block: tuple, k: int, reach: float) -> tuple[np.ndar
     ids, x, table, norm = block
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     computed = 0
-    for qid, q, to_pivots, q_norm, bar in zip(*asked, strict=True):
-        apart = np.abs(table - to_pivots).max(1) if table.shape[1] else np.zeros(len(x))
-        most = most_product(q_norm, norm, apart, reach)
+    with np.errstate(over="ignore"):
+        columns, asked_to = np.ascontiguousarray(table.T, np.float32), np.asarray(asked[2], np.float32)
+    for qid, q, to_pivots, q_norm, bar in zip(*asked[:2], asked_to, *asked[3:], strict=True):
+        most = most_product(q_norm, norm, least_apart(columns, to_pivots, len(x)), reach)
         left = np.flatnonzero((most >= bar) & (ids != qid))
         best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         step = max(4 * k, 64)
