@@ -84,3 +84,17 @@ def test_medians_without_some_ranks():
         left = [v for i, v in enumerate(values) if i not in ranks]
         got = leave_out.median_without(n, low, values[low : high + 1], ranks)
         assert (np.isnan(got) and not left) or got == np.median(left)
+
+
+def test_most_models_need_no_rows_but_their_own(spark, monkeypatch):
+    rows, asked = made(7, 2500, d=2), []
+    df = spark.createDataFrame(rows, "point long, y int, a double, b double, id long")
+    monkeypatch.setattr(leave_out, "LARGE", 5)  # groups of six rows go the other way
+    far = leave_out.far_models
+    monkeypatch.setattr(leave_out, "far_models", lambda weighted, models, *rest: asked.append(models.count()) or far(weighted, models, *rest))
+    got = {r["id"]: r["p"] for r in leave_out.leave_one_out(df, "point", "y", ["a", "b"]).collect()}
+    monkeypatch.setattr(leave_out, "NEAR", -1.0)
+    wanted = {r["id"]: r["p"] for r in leave_out.leave_one_out(df, "point", "y", ["a", "b"]).collect()}
+    groups = len({r[0] for r in rows})
+    assert asked[1] == groups and asked[0] < groups / 2
+    assert got.keys() == wanted.keys() and max(abs(got[k] - wanted[k]) for k in got) < 1e-8
