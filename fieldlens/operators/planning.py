@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import dates
-from fieldlens.plans.lineage import materialize
+from fieldlens.plans.lineage import materialize, rewritten
 
 MIB = 1 << 20
 
@@ -210,17 +210,26 @@ def batch_plan(samples: DataFrame, events: DataFrame, scenes: DataFrame, grid: D
     return joined.select("sample_id", reason.alias("skip_reason"), *numbers, F.when(planned, F.greatest(F.col("target_valid") - F.col("valid_count"), F.lit(0))).alias("deficit"), F.when(planned, stop).alias("stop_reason"))
 
 
-def deal_candidates(candidates: DataFrame, conflicts: DataFrame, pool: int) -> DataFrame:
+def deal_candidates(candidates: DataFrame, conflicts: DataFrame | Callable[[DataFrame, DataFrame], DataFrame], pool: int) -> DataFrame:
     """Candidates (id, tile, score) with decision and turn: tiles deal in order of their names, one candidate a turn, the best first; one that conflicts with a candidate accepted before is passed over.
 
-    ``conflicts``: pairs (a, b), each once, in either order. accepted rows have
+    ``conflicts``: pairs (a, b), each once, in either order, or a function that finds the pairs (a of the
+    first, b of the second) of two tables with the columns of ``candidates``: it is asked for a round's heads,
+    one a tile, against the undecided, so pairs of others are never made. accepted rows have
     the turn they came in; passed-over ones are overlap; the rest, once the pool
     is full, is left. A candidate is decided as soon as nothing undecided that
     conflicts with it could come before it, so many tiles go on at once in each
     round, and no task holds a tile.
     """
-    both = materialize(conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    left = materialize(candidates.select("id", "tile", "score"))
+    if isinstance(conflicts, DataFrame):
+        both = materialize(conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+
+        def meet(few: DataFrame, many: DataFrame) -> DataFrame:
+            known = both.join(many.select(F.col("id").alias("__b")), F.col("b") == F.col("__b"), "left_semi")
+            return known.join(few.select(F.col("id").alias("__a")), F.col("a") == F.col("__a"), "left_semi")
+    else:
+        meet = conflicts
+    left = rewritten(candidates)
     accepted = left.select("id", "tile", F.lit(0).cast("long").alias("turn")).limit(0)
     overlap = left.select("id").limit(0)
     while True:
@@ -234,14 +243,15 @@ def deal_candidates(candidates: DataFrame, conflicts: DataFrame, pool: int) -> D
         if full["n"] >= pool and coming.agg(F.min("x").alias("x")).first()["x"] > full["last"]:
             break
         # the earliest turn at which each undecided neighbour could come is its tile's next one
-        rivals = heads.select(F.col("id").alias("me"), F.struct("turn", "tile").alias("mine")).join(both, F.col("me") == F.col("a"))
+        first = rewritten(left.join(heads.select(F.col("id").alias("__h")), F.col("id") == F.col("__h"), "left_semi"))
+        near = materialize(meet(first, left).filter("a <> b").select("a", "b").distinct())
+        rivals = heads.select(F.col("id").alias("me"), F.struct("turn", "tile").alias("mine")).join(near, F.col("me") == F.col("a"))
         rivals = rivals.join(left.select(F.col("id").alias("other"), F.col("tile").alias("ot")), F.col("b") == F.col("other")).join(heads.select(F.col("tile").alias("ht"), F.struct("turn", "tile").alias("theirs")), F.col("ot") == F.col("ht"))
         waiting = rivals.filter("theirs < mine").select(F.col("me").alias("w")).distinct()
         sure = materialize(heads.join(waiting, F.col("id") == F.col("w"), "left_anti"))
-        gone = sure.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("gone")).distinct()
-        passed = materialize(left.join(gone, F.col("id") == F.col("gone"), "left_semi").select("id"))
-        accepted, overlap = materialize(accepted.unionByName(sure)), materialize(overlap.unionByName(passed))
-        left = materialize(left.join(sure.select(F.col("id").alias("x")).unionByName(passed.select(F.col("id").alias("x"))), F.col("id") == F.col("x"), "left_anti"))
+        passed = materialize(sure.join(near, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct())
+        accepted, overlap = materialize(accepted.unionByName(sure)), overlap.unionByName(passed)
+        left = rewritten(left.join(sure.select(F.col("id").alias("x")).unionByName(passed.select(F.col("id").alias("x"))), F.col("id") == F.col("x"), "left_anti"))
     kept = materialize(accepted.orderBy("turn", "tile").limit(pool).join(candidates.select(F.col("id").alias("k"), "score"), F.col("id") == F.col("k")).select("k", "tile", "turn", "score"))
     end = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("turn", "tile")).alias("last")).first()
     # a candidate's tile came to it in the turn after its accepted candidates before it: at most ``pool`` rows in all

@@ -66,7 +66,10 @@ def batch_plan(spark: SparkSession, d: str) -> DataFrame:
 def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
     """Samples as candidates, dealt by region; those within 900 km of an accepted one are passed over. Held against a sequential version in tests."""
     c = T.samples(spark, d).select(F.col("sample_id").alias("id"), F.col("region").alias("tile"), F.col("balance").alias("score"), "lat", "lon")
-    near = J.within_distance(c.select("id", "lat", "lon"), c.select("id", "lat", "lon"), 900_000).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+    def near(few: DataFrame, many: DataFrame) -> DataFrame:
+        return J.within_distance(many.select("id", "lat", "lon"), few.select("id", "lat", "lon"), 900_000).select(F.col("b_id").alias("a"), F.col("a_id").alias("b"))
+
     return P.deal_candidates(c, near, 20).select("id", "tile", "score", "decision", "turn")
 
 

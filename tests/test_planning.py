@@ -102,6 +102,22 @@ def test_candidates_are_dealt_as_by_the_loop(spark, pool):
     assert {r["id"] for r in got if r["decision"] == "overlap"} == set(passed) and len(got) == 60
 
 
+@pytest.mark.parametrize("pool", [5, 1000])
+def test_only_heads_are_asked_for_conflicts(spark, pool):
+    rng = random.Random(6)
+    rows = [(i, f"t{rng.randint(0, 3)}", float(rng.randint(0, 30)), float(rng.randint(0, 40))) for i in range(60)]
+    near = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and abs(a[3] - b[3]) <= 1}
+
+    def meet(few, many):
+        assert few.count() <= 4
+        return few.select(F.col("id").alias("a"), F.col("at").alias("p")).join(many.select(F.col("id").alias("b"), F.col("at").alias("q")), F.abs(F.col("p") - F.col("q")) <= 1).select("a", "b")
+
+    got = planning.deal_candidates(spark.createDataFrame(rows, "id int, tile string, score double, at double"), meet, pool).collect()
+    accepted, passed = dealt([r[:3] for r in rows], near, pool)
+    assert [r["id"] for r in sorted((r for r in got if r["decision"] == "accepted"), key=lambda r: (r["turn"], r["tile"]))] == accepted
+    assert {r["id"] for r in got if r["decision"] == "overlap"} == set(passed) and len(got) == 60
+
+
 def test_matching_along_a_path_needs_no_cap(spark):
     rows = [(f"a{i}", f"b{j}", float(2 * i + (i != j))) for i in range(70) for j in (i, i - 1) if j >= 0][:12]
     assert {(r[0], r[1]) for r in mutual_pairs(spark.createDataFrame(rows, "a string, b string, c double"), "a", "b", "c").collect()} == {(f"a{i}", f"b{i}") for i in range(7)}
