@@ -73,8 +73,8 @@ def union_last_wins(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, arg_min(sample_id, (round(h, 12), sample_id)) AS sample_id FROM (SELECT b.id, a.sample_id, {h_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS h FROM samples a, {SUPPLIERS} b WHERE abs(a.lat - b.lat) < 7 AND 2.0 * 6371000.0 * asin(sqrt({h_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')})) <= 600000) GROUP BY id""")
 def nearest_candidate(spark: SparkSession, d: str) -> DataFrame:
     """The nearest sample within 600 km of each supplier."""
-    near = J.within_distance(suppliers(spark, d), T.samples(spark, d).select(F.col("sample_id").alias("id"), "lat", "lon"), 600_000)
-    return near.groupBy(F.col("a_id").alias("id")).agg(F.min_by("b_id", F.struct(F.round("distance_m", 4), "b_id")).alias("sample_id"))
+    near = J.nearest_within(suppliers(spark, d), T.samples(spark, d).select(F.col("sample_id").alias("id"), "lat", "lon"), 600_000)
+    return near.select(F.col("a_id").alias("id"), F.col("b_id").alias("sample_id"))
 
 
 @query("q_legend", "SELECT CAST(p_size AS INTEGER) AS size, min(p_name) AS name FROM part GROUP BY p_size")

@@ -228,3 +228,19 @@ def test_pages_are_bounded(spark):
     with pytest.raises(ValueError):
         select.page(spark.range(3).toDF("i"), ["i"], 1001)
     assert [r["i"] for r in select.page(spark.range(9).toDF("i"), ["i"], 3, 4).collect()] == [4, 5, 6]
+
+
+def test_nearest_within_equals_all_pairs_and_makes_few(spark, monkeypatch):
+    rng = random.Random(8)
+    a = [(i, rng.choice([10.0, 10.5, 40.0 + rng.random()]), float(rng.randint(0, 9))) for i in range(60)]
+    b = [(i, rng.choice([10.0, 10.5, 44.0]), rng.randint(0, 5) + rng.choice([0.0, 0.25])) for i in range(300)]
+    frames = [spark.createDataFrame(p, "id int, lat double, lon double") for p in (a, b)]
+    best, pairs = {}, 0
+    for r in joins.within_distance(*frames, 450_000).collect():
+        pairs += 1
+        best[r["a_id"]] = min(best.get(r["a_id"], (1e9, 0)), (round(r["distance_m"], 4), r["b_id"]))
+    made, plain = [], joins.within_distance
+    monkeypatch.setattr(joins, "within_distance", lambda *x: made.append(plain(*x)) or made[-1])
+    got = {r["a_id"]: r["b_id"] for r in joins.nearest_within(*frames, 450_000).collect()}
+    assert got == {k: v[1] for k, v in best.items()}
+    assert sum(m.count() for m in made) < pairs / 10
