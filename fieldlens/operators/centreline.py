@@ -164,14 +164,18 @@ def smooth_lines(lines: DataFrame, mask: DataFrame, key: str, pixel_m: float = 2
 
 
 def segment_squares(points: DataFrame, key: str, order: str, length: float, context: float) -> DataFrame:
-    """key, segment, x, y, side: for each piece of ``length`` of a line (the last one may be shorter) the square around its middle that reaches ``context`` beyond it."""
+    """key, segment, x, y, side: for each piece of ``length`` of a line (the last one may be shorter) the square around its middle that reaches ``context`` beyond it.
+
+    A step of the line makes the pieces whose middle falls on it, so steps and pieces are not joined. A piece's middle is at most half a length after its start.
+    """
     steps = measured(points, key, order)
-    total = steps.groupBy(key).agg(F.max("d1").alias("__total")).filter("__total > 0")
-    n = F.greatest(F.lit(1), F.ceil(F.col("__total") / length)).cast("long")
-    cut = total.select(F.col(key).alias("__key"), "__total", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("segment"))
+    total = steps.groupBy(F.col(key).alias("__key")).agg(F.max("d1").alias("__total"))
+    last = F.greatest(F.lit(1), F.ceil(F.col("__total") / length)).cast("long") - 1
+    low, high = F.greatest(F.floor(F.col("d0") / length - 0.5).cast("long"), F.lit(0)), F.least(F.ceil(F.col("d1") / length).cast("long"), last)
+    on = steps.filter("d1 > d0").join(total, F.col(key) == F.col("__key")).filter(low <= high)
+    cut = on.select(key, "d0", "d1", "x0", "y0", "x", "y", "__total", F.explode(F.sequence(low, high)).alias("segment"))
     end = F.least((F.col("segment") + 1) * length, "__total")
-    cut = cut.select("__key", "segment", ((F.col("segment") * length + end) / 2).alias("__middle"), (end - F.col("segment") * length).alias("__long"))
-    on = (F.col(key) == F.col("__key")) & (F.col("__middle") >= F.col("d0")) & (F.col("__middle") < F.col("d1"))
+    cut = cut.withColumns({"__middle": (F.col("segment") * length + end) / 2, "__long": end - F.col("segment") * length}).filter("__middle >= d0 and __middle < d1")
     part = (F.col("__middle") - F.col("d0")) / (F.col("d1") - F.col("d0"))
     along = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * part
-    return cut.join(steps.filter("d1 > d0"), on).select(key, "segment", along("x0", "x").alias("x"), along("y0", "y").alias("y"), (F.col("__long") + 2 * context).alias("side"))
+    return cut.select(key, "segment", along("x0", "x").alias("x"), along("y0", "y").alias("y"), (F.col("__long") + 2 * context).alias("side"))

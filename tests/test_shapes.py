@@ -1,6 +1,7 @@
 """Centre lines, localised changes and clipped mosaics, against loops over pixels."""
 
 import heapq
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -258,3 +259,21 @@ def test_localised_changes_equal_the_loop(spark):
         assert a == pytest.approx(b, abs=1.01e-3)  # the two round halves apart
     per = {r["tile"]: (r["components"], r["matched"]) for r in localise.change_summary(found, "tile").collect()}
     assert per == {t: (n, sum(w[4] for w in wanted if w[0] == t)) for t, n in Counter(w[0] for w in wanted).items()}
+
+
+def test_segment_squares_equal_the_loop_without_meeting_all_steps(spark):
+    rng = random.Random(8)
+    rows = [(line, i, rng.uniform(0, 400) * (line != 3), i * 3.0 * (line != 3)) for line in range(5) for i in range(1 if line == 4 else 40)]
+    got = centreline.segment_squares(spark.createDataFrame(rows, "line int, i int, x double, y double"), "line", "i", 70.0, 10.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in x and "middle" in x for x in plan.splitlines())
+    wanted = {}
+    for line in range(5):
+        points = [r[2:] for r in rows if r[0] == line]
+        at = np.concatenate(([0.0], np.cumsum([math.dist(p, q) for p, q in zip(points, points[1:])])))
+        total = at[-1]
+        for s in range(max(1, math.ceil(total / 70.0)) if total > 0 else 0):
+            end = min((s + 1) * 70.0, total)
+            wanted[line, s] = (*(np.interp((s * 70.0 + end) / 2, at, [p[j] for p in points]) for j in (0, 1)), end - s * 70.0 + 20.0)
+    found = {(r["line"], r["segment"]): (r["x"], r["y"], r["side"]) for r in got.collect()}
+    assert found.keys() == wanted.keys() and all(np.allclose(found[k], wanted[k]) for k in wanted)
