@@ -124,17 +124,16 @@ def paired_bootstrap(rows: DataFrame, cluster: str, truth: Column, first: Column
 
     Both models are measured on the same draw. Clusters are summed first; a run
     draws as many clusters as there are, with replacement, by hash, so runs x
-    clusters narrow rows are spread over all tasks.
+    clusters narrow rows are spread over tasks of bounded size.
     """
-    from fieldlens.operators.learn import draw
+    from fieldlens.operators.learn import resampled
+
     cells = [c for name, p in (("a", first), ("b", second)) for c in (A.count_if(truth & p).alias(f"{name}_tp"), A.count_if(~truth & ~p).alias(f"{name}_tn"), A.count_if(~truth & p).alias(f"{name}_fp"), A.count_if(truth & ~p).alias(f"{name}_fn"))]
     names = [f"{m}_{c}" for m in "ab" for c in CELLS]
     sums = materialize(rows.groupBy(F.col(cluster).alias("c")).agg(*cells))
     numbered = materialize(running_totals(sums.withColumn("one", F.lit(1)), "c", {"i": "one"}).select((F.col("i") - 1).alias("i"), *names))
     k = sums.count()
-    ranks = sums.sparkSession.range(k * runs).select((F.col("id") / k).cast("long").alias("run"), (F.col("id") % k).alias("t"))
-    drawn = ranks.withColumn("i", draw(F.col("run"), F.col("t")) % max(k, 1)).groupBy("run", "i").agg(F.count(F.lit(1)).alias("times"))
-    each = drawn.join(numbered, "i").groupBy("run").agg(*(F.sum(F.col(n) * F.col("times")).alias(n) for n in names))
+    each = resampled(numbered, k, runs).groupBy("run").agg(*(F.sum(n).alias(n) for n in names))
     pair = lambda: F.array(*(F.struct(F.lit(m).alias("metric"), x.alias("a"), y.alias("b")) for (m, x), y in zip(_measures("a").items(), _measures("b").values(), strict=True)))
     spread = each.select(F.explode(pair()).alias("x")).select("x.metric", (F.col("x.a") - F.col("x.b")).alias("delta"))
     spread = spread.groupBy(F.col("metric").alias("m")).agg(F.avg("delta").alias("mean"), F.percentile("delta", [0.5, 0.025, 0.975]).alias("q"), F.avg((F.col("delta") > 0).cast("double")).alias("above"), F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators.aggregate import binary_metrics
@@ -20,6 +20,27 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+#: Drawn numbers that a task makes, and numbers that a task looks up.
+DRAWN, LOOKED_UP = 2_000_000, 4_000_000
+
+
+def numbers(spark: SparkSession, k: int, runs: int) -> DataFrame:
+    """run, t: 0 to k - 1 in each run. Tasks grow in number with the rows, not in size."""
+    ids = spark.range(0, k * runs, 1, max(1, -(-k * runs // DRAWN)))
+    return ids.select((F.col("id") / k).cast("long").alias("run"), (F.col("id") % k).alias("t"))
+
+
+def resampled(numbered: DataFrame, k: int, runs: int) -> DataFrame:
+    """Rows of ``numbered`` (i from 0 to k - 1) as drawn with replacement, k in each run, with ``run``.
+
+    Draws are not counted before they meet their rows, as hardly two of a run are the same: a task
+    that counts them holds them all. They pass by a small table of rows instead, in as many parts as there are draws for.
+    """
+    parts = max(1, -(-k * runs // LOOKED_UP))
+    drawn = numbers(numbered.sparkSession, k, runs).select("run", (draw(F.col("run"), F.col("t")) % max(k, 1)).alias("i"))
+    return drawn.repartition(parts, "i").join(numbered.repartition(parts, "i").hint("shuffle_hash"), "i")
+
+
 def mark_lowest(rows: DataFrame, group: str, draw: str, tie: str, n: DataFrame) -> DataFrame:
     """Adds ``taken``: whether a row is one of its group's n lowest by draw (from 0 to below 2**32), then by tie.
 
@@ -48,7 +69,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, hits: Column, runs: int) -> D
     """One row: share of hits with its 2.5 and 97.5 % quantiles over resamplings of whole clusters.
 
     Clusters are first summed, then each run draws as many clusters as there
-    are, with replacement: runs x clusters narrow rows, spread over all tasks.
+    are, with replacement: runs x clusters narrow rows, in tasks of bounded size.
     """
     from fieldlens.plans.lineage import materialize
     from fieldlens.plans.prefix import running_totals
@@ -56,9 +77,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, hits: Column, runs: int) -> D
     sums = materialize(df.groupBy(F.col(cluster).alias("c")).agg(F.sum(hits.cast("long")).alias("h"), F.count(F.lit(1)).alias("n")))
     numbered = materialize(running_totals(sums.withColumn("one", F.lit(1)), "c", {"i": "one"}).select((F.col("i") - 1).alias("i"), "h", "n"))
     k = sums.count()
-    ranks = sums.sparkSession.range(k * runs).select((F.col("id") / k).cast("long").alias("run"), (F.col("id") % k).alias("t"))
-    drawn = ranks.withColumn("i", draw(F.col("run"), F.col("t")) % k).groupBy("run", "i").agg(F.count(F.lit(1)).alias("times"))
-    shares = drawn.join(numbered, "i").groupBy("run").agg((F.sum(F.col("h") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("share"))
+    shares = resampled(numbered, k, runs).groupBy("run").agg((F.sum("h") / F.sum("n")).alias("share"))
     all_rows = sums.agg(F.round(F.sum("h") / F.sum("n"), 6).alias("share"))
     return all_rows.join(F.broadcast(shares.agg(F.percentile("share", [0.025, 0.975]).alias("q")))).select("share", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 

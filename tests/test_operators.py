@@ -244,3 +244,16 @@ def test_nearest_within_equals_all_pairs_and_makes_few(spark, monkeypatch):
     got = {r["a_id"]: r["b_id"] for r in joins.nearest_within(*frames, 450_000).collect()}
     assert got == {k: v[1] for k, v in best.items()}
     assert sum(m.count() for m in made) < pairs / 10
+
+
+def test_drawn_rows_equal_a_loop_in_tasks_of_bounded_size(spark):
+    import hashlib
+
+    k, runs = 37, 5
+    got = learn.resampled(spark.range(k).select(F.col("id").alias("i"), (F.col("id") * 10).alias("h")), k, runs).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).collect()
+    picks = lambda run: [int(hashlib.md5(f"{run}-{t}".encode()).hexdigest()[:8], 16) % k for t in range(k)]
+    assert {(r["run"], r["n"], r["h"]) for r in got} == {(run, k, 10 * sum(picks(run))) for run in range(runs)}
+    parts = learn.numbers(spark, 3_000_000, 200).rdd.getNumPartitions()
+    assert 3_000_000 * 200 / parts <= learn.DRAWN
+    plan = learn.resampled(spark.range(10).select(F.col("id").alias("i")), 10, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
