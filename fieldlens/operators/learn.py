@@ -162,8 +162,13 @@ def average_precision(scored: DataFrame, score: str, positive: str) -> DataFrame
 
 
 def out_of_fold(df: DataFrame, splits: DataFrame, group: str, label: str, make: Pipeline, folds: int, balanced: bool = False) -> DataFrame:
-    """Each fold's rows scored by a model of the others: the rows with fold and p. One fit a fold; ``balanced`` adds the training rows' weights as __w."""
-    joined, out = df.join(splits.select(group, "fold"), group), None
+    """Each fold's rows scored by a model of the others: the rows with fold and p. One fit a fold; ``balanced`` adds the training rows' weights as __w.
+
+    A fit reads its rows several times, so they are joined with their folds once and written.
+    """
+    from fieldlens.plans.lineage import materialize
+
+    joined, out = materialize(df.join(splits.select(group, "fold"), group)), None
     for k in range(folds):
         training = joined.filter(F.col("fold") != k)
         model = make.fit(balanced_weights(training, label) if balanced else training)

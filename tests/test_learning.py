@@ -152,3 +152,9 @@ def test_average_precision_by_hand(spark):
     rows = spark.createDataFrame([(0.9, True), (0.8, False), (0.8, True), (0.1, False), (None, True)], "s double, y boolean")
     got = learn.average_precision(rows, "s", "y").first()
     assert (got["average_precision"], got["positives"]) == (round((1 + 2 / 3) / 2, 6), 2)
+
+
+def test_folds_are_joined_once(spark):
+    c = cohort(spark, FOLDER)
+    found = learn.out_of_fold(c, learn.stratified_folds(c, "sample_id", "y", 2, 3), "sample_id", "y", learn.logistic(FEATURES, "y"), 2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == c.count()
