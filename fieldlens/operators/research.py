@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from fieldlens.operators import aggregate as A
 from fieldlens.operators import evaluation as E
 from fieldlens.operators import leave_out
-from fieldlens.operators.learn import draw
+from fieldlens.operators.learn import draw, numbers
 from fieldlens.operators.ordered import rank_fraction
 from fieldlens.plans.lineage import materialize
-from fieldlens.plans.numbering import number_rows
 
 #: Methods by the rank fractions and scores they use, weights of the composite, labels and outcomes.
 LEFT_OUT = "LOPO_LOGISTIC_REGRESSION"
 COMPOSITE = {"area_ha": 0.45, "__p": 0.30, "usable": 0.15, "quality": 0.10}
 TARGETS = ("Logging", "Wildfire")
 OUTCOMES = ("VALID", "YEAR_MISMATCH", "EVENT_TOO_SMALL")
+#: Events that a task ranks.
+TASK_ROWS = 50_000
 CLASSES = ("VALID_LOGGING", "VALID_WILDFIRE", "YEAR_MISMATCH", "EVENT_TOO_SMALL")
 
 
@@ -49,7 +50,8 @@ def year_rankings(events: DataFrame, left_out: DataFrame | None = None) -> DataF
     ``left_out`` (event_id, p) has one. Ties go to the larger area, then the
     earlier year. A missing value scores -1, or 0 in the composite.
     """
-    e = evaluable_events(events).withColumn("__p", mean_probability("p_a", "p_b"))
+    e = materialize(evaluable_events(events).withColumn("__p", mean_probability("p_a", "p_b")))
+    e = e.repartition(max(1, -(-e.count() // TASK_ROWS)), "sample_id")  # every window below stays in these parts
     for c in COMPOSITE:
         e = e.withColumn(f"__f{c}", rank_fraction(c, ["sample_id"]))
     composite = sum((F.col(f"__f{c}") * w for c, w in COMPOSITE.items()), F.lit(0.0))
@@ -112,21 +114,25 @@ def relative_area_by_class(relative: DataFrame) -> DataFrame:
 def outcome_intervals(relative: DataFrame, runs: int = 200) -> DataFrame:
     """Shares of valid, misdated and small events at the selected year and a year beside it, by method, with 2.5 and 97.5 % quantiles over resampled points.
 
-    Points are summed first; a run draws as many points of the method and
-    stratum as there are, with replacement, by hash. All methods and strata go
-    together: runs x points narrow rows, spread over all tasks.
+    Points are summed first. Those of equal sums are alike to the shares, and few sums differ, as a
+    point has at most an event a year: so points are numbered by their sums, and a run's draw, by hash and
+    with replacement, of as many points of the method and stratum as there are, falls into one of a few stretches of numbers.
+    Nothing but counts is shuffled. All methods and strata go by the same hashes.
     """
     outcome = F.when(F.col("review_class").startswith("VALID_"), "VALID").otherwise(F.col("review_class"))
     stratum = F.when(F.col("abs_delta_year") == 0, "delta_0").when(F.col("abs_delta_year") == 1, "abs_delta_1")
     hits = [f"h{i}" for i in range(len(OUTCOMES))]
     sums = relative.withColumns({"stratum": stratum, "__o": outcome}).filter("stratum is not null").groupBy("method", "stratum", "sample_id").agg(F.count(F.lit(1)).alias("n"), *(A.count_if(F.col("__o") == o).alias(h) for h, o in zip(hits, OUTCOMES, strict=True)))
-    sums = materialize(sums)
-    ordered = materialize(number_rows(sums, ["method", "stratum"], ["sample_id"], "i"))
-    whole = materialize(sums.groupBy("method", "stratum").agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("events"), *(F.sum(h).alias(f"all_{h}") for h in hits)))
-    sized = ordered.select("method", "stratum", "i").join(F.broadcast(whole.select("method", "stratum", "points")), ["method", "stratum"])  # two rows a method
-    drawn = sized.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("i", draw(F.col("run"), F.col("i")) % F.col("points"))
-    drawn = drawn.groupBy("method", "stratum", "run", "i").agg(F.count(F.lit(1)).alias("times"))
-    each = drawn.join(ordered, ["method", "stratum", "i"]).groupBy("method", "stratum", "run").agg(*((F.sum(F.col(h) * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias(h) for h in hits))
+    alike = materialize(sums.groupBy("method", "stratum", "n", *hits).agg(F.count(F.lit(1)).alias("alike")))
+    whole = materialize(alike.groupBy("method", "stratum").agg(F.sum("alike").alias("points"), F.sum(F.col("n") * F.col("alike")).alias("events"), *(F.sum(F.col(h) * F.col("alike")).alias(f"all_{h}") for h in hits)))
+    part = Window.partitionBy("method", "stratum").orderBy("n", *hits)
+    stretches = alike.select(F.xxhash64("method", "stratum").alias("g"), "n", *hits, F.sum("alike").over(part).alias("upto"), (F.sum("alike").over(part) - F.col("alike")).alias("first"), F.sum("alike").over(Window.partitionBy("method", "stratum")).alias("points"))
+    most = whole.agg(F.max("points")).first()[0] or 0
+    hashes = numbers(whole.sparkSession, most, runs).select("run", "t", draw(F.col("run"), F.col("t")).alias("u"))
+    at = F.col("u") % F.col("points")
+    drawn = hashes.join(F.broadcast(stretches), (F.col("t") < F.col("points")) & (at >= F.col("first")) & (at < F.col("upto")))  # a few stretches a method
+    each = drawn.groupBy("g", "run").agg(*((F.sum(h) / F.sum("n")).alias(h) for h in hits))
+    each = each.join(F.broadcast(whole.select(F.xxhash64("method", "stratum").alias("__g"), "method", "stratum")), F.col("g") == F.col("__g"))  # two rows a method
     spread = each.groupBy("method", "stratum").agg(*(F.percentile(h, [0.025, 0.975]).alias(f"q_{h}") for h in hits))
     r = lambda c, n: F.round(c, 6).alias(n)
     rows = F.array(*(F.struct(F.lit(o).alias("outcome"), r(F.col(f"all_{h}") / F.col("events"), "estimate"), r(F.col(f"q_{h}")[0], "ci_low"), r(F.col(f"q_{h}")[1], "ci_high")) for h, o in zip(hits, OUTCOMES, strict=True)))
@@ -157,6 +163,16 @@ def fixed_rules(events: DataFrame, baseline: DataFrame, thresholds: dict[str, fl
     return rows.withColumns(ratios | {"f1": f1})
 
 
+def summary(events: DataFrame, predictions: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """One row, the head of a study: reviewed, valid and rejected events, points, and points where methods select different years."""
+    n = F.count_if
+    chosen = predictions.groupBy("sample_id").agg((F.min("selected_year") != F.max("selected_year")).alias("differs"))
+    head = events.agg(F.count(F.lit(1)).alias("reviewed_events"), n(F.col("review_status") == "VALID").alias("valid_events"), n(F.col("review_status") == "REJECTED").alias("rejected_events"))
+    points = taxonomy.agg(F.count(F.lit(1)).alias("reviewed_points"), n(F.col("n_events") > 1).alias("multi_event_points"))
+    apart = chosen.agg(F.count(F.lit(1)).alias("evaluable_points"), n(F.col("differs")).alias("points_where_methods_differ"))
+    return head.join(F.broadcast(points)).join(F.broadcast(apart))  # one row each
+
+
 def study(events: DataFrame, baseline: DataFrame, thresholds: dict[str, float], features: list[str] | None = None, runs: int = 200, merge_threshold: float = 0.5) -> dict[str, DataFrame]:
     """All result tables of a study of reviewed events, by name, as ``writers.export_tables`` takes them.
 
@@ -172,13 +188,8 @@ def study(events: DataFrame, baseline: DataFrame, thresholds: dict[str, float],
     predictions, relative = materialize(point_predictions(rankings)), relative_events(rankings)
     taxonomy = materialize(E.point_taxonomy(e))
     fire = lambda c: F.col(c) == "Wildfire"
-    chosen = predictions.groupBy("sample_id").agg((F.min("selected_year") != F.max("selected_year")).alias("differs"))
-    n = F.count_if
-    head = e.agg(F.count(F.lit(1)).alias("reviewed_events"), n(F.col("review_status") == "VALID").alias("valid_events"), n(F.col("review_status") == "REJECTED").alias("rejected_events"))
-    points = taxonomy.agg(F.count(F.lit(1)).alias("reviewed_points"), n(F.col("n_events") > 1).alias("multi_event_points"))
-    apart = chosen.agg(F.count(F.lit(1)).alias("evaluable_points"), n(F.col("differs")).alias("points_where_methods_differ"))
     return {
-        "summary": head.join(F.broadcast(points)).join(F.broadcast(apart)),  # one row each
+        "summary": summary(e, predictions, taxonomy),
         "hierarchy_counts": A.counts(e.withColumn("review_class", F.coalesce("review_class", F.lit("(missing)"))), ["review_class"]),
         "taxonomy": taxonomy,
         "taxonomy_counts": A.counts(taxonomy, ["point_type"]),

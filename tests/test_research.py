@@ -141,3 +141,35 @@ def test_a_study_is_whole_and_exported(spark, tmp_path):
 def test_a_study_of_no_events(spark):
     tables = R.study(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "sample_id long"), {"area_ha": 1.0, "pixels": 1}, ["area_ha"], 5)
     assert tables["summary"].first()["reviewed_events"] == 0 and all(tables[n].isEmpty() for n in ("taxonomy", "ranking_metrics", "dominant_relative", "outcome_intervals", "merge_pairs"))
+
+
+def test_intervals_count_draws_by_stretches_of_like_points(spark):
+    """The same intervals as a loop over every draw, with points in the order of their sums; no draw is shuffled."""
+    import hashlib
+
+    import numpy as np
+
+    rows = made(6, 80)
+    relative = R.relative_events(R.year_rankings(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)))
+    runs, sums = 40, defaultdict(lambda: defaultdict(lambda: [0, 0, 0, 0]))
+    for r in relative.collect():
+        if r["abs_delta_year"] <= 1:
+            k = r["review_class"] or ""
+            x = sums[r["method"], "abs_delta_1" if r["abs_delta_year"] else "delta_0"][r["sample_id"]]
+            for i, hit in enumerate((True, k.startswith("VALID_"), k == "YEAR_MISMATCH", k == "EVENT_TOO_SMALL")):
+                x[i] += hit
+    found = {(r["method"], r["stratum"], r["outcome"]): (r["ci_low"], r["ci_high"]) for r in R.outcome_intervals(relative, runs).collect()}
+    assert len(found) == 3 * len(sums)
+    for (method, stratum), points in sums.items():
+        ordered = np.array(sorted(points.values()), float)
+        drawn = [ordered[[int(hashlib.md5(f"{run}-{t}".encode()).hexdigest()[:8], 16) % len(ordered) for t in range(len(ordered))]].sum(0) for run in range(runs)]
+        for i, outcome in enumerate(R.OUTCOMES, 1):
+            assert np.allclose(found[method, stratum, outcome], np.quantile([d[i] / d[0] for d in drawn], [0.025, 0.975]), atol=2e-6)
+
+
+def test_ranked_events_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_ROWS", 20)
+    rows = made(5, 60)
+    ranked = R.year_rankings(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA))
+    count = ranked.count() // ranked.select("method").distinct().count()
+    assert ranked.rdd.getNumPartitions() >= count / 20
