@@ -7,8 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlens.operators import evaluation as E
 from fieldlens.operators import research as R
-from fieldlens.plans.lineage import checkpoint_dir
+from fieldlens.plans.lineage import checkpoint_dir, materialize
 from fieldlens.registry import query
 from fieldlens.sources import standins as T
 from fieldlens.sources import writers as W
@@ -94,8 +95,9 @@ def full_study(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     o AS (SELECT sample_id, count(*) AS n FROM obs GROUP BY sample_id), c AS (SELECT sample_id, min(selected_year) <> max(selected_year) AS differs FROM r GROUP BY sample_id)
     SELECT (SELECT count(*) FROM obs) AS reviewed_events, (SELECT count(*) FROM obs WHERE review_status = 'VALID') AS valid_events, (SELECT count(*) FROM obs WHERE review_status = 'REJECTED') AS rejected_events, (SELECT count(*) FROM o) AS reviewed_points, (SELECT count(*) FROM o WHERE n > 1) AS multi_event_points, (SELECT count(*) FROM c) AS evaluable_points, (SELECT count(*) FROM c WHERE differs) AS points_where_methods_differ""")
 def study_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The head of a study without fitted models."""
-    return R.study(reviewed(spark, d), untrained(spark, d), THRESHOLDS, None, 2)["summary"]
+    """The head of a study without fitted models; its other tables are not begun."""
+    e = materialize(reviewed(spark, d))
+    return R.summary(e, R.point_predictions(R.year_rankings(e)), E.point_taxonomy(e))
 
 
 @query("q_study_tables")
