@@ -9,19 +9,22 @@ stability is what its points' densities, one over the distance at which they
 leave it, exceed its own at birth. Clusters stand that are more stable than those
 within them together; points outside are noise.
 
-Distances are taken between blocks of points, so a task holds two blocks; every
-pair is looked at, as the tree is exact. Merges go through tasks in stretches of
-the sorted edges, with the state of the parts they touch, so no task holds all
-points or all edges. All settings of a grid go through the same jobs.
+Points lie in blocks along a space-filling curve, and a block's box bounds how
+near its points can be. A point looks in its own block first; what it finds there
+bounds what it still looks for, and only blocks whose boxes are that near are
+looked into. A task holds two blocks. Bounds only spare looks, so tree and scores are those
+of all pairs. Merges go through tasks in stretches of the sorted edges, with the
+state of the parts they touch, so no task holds all points or all edges. All
+settings of a grid go through the same jobs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.plans.lineage import rewritten
@@ -29,53 +32,103 @@ from fieldlens.plans.prefix import running_totals
 
 #: Points of a block, edges that a task merges at once, and the shortest distance that counts (copies are that far apart).
 BLOCK, STRETCH, SHORTEST = 1000, 200_000, 1e-12
+#: Guests of a block that come at once.
+GUESTS = 20_000
 
 
-def paired(points: DataFrame, blocks: int, *columns: str) -> DataFrame:
-    """Every point once for each pair of blocks that its own is in, with side 0 or 1 there (both, 2, where it meets its own block)."""
-    own = F.col("block")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    side = F.when(own < F.col("other"), 0).when(own > F.col("other"), 1).otherwise(2)
-    return points.select("n", "x", *columns, "block", other.alias("other")).select((F.least(own, "other") * blocks + F.greatest(own, "other")).alias("pair"), side.alias("side"), "n", "x", *columns)
+def along_curve(points: DataFrame, block: int) -> DataFrame:
+    """The points (n, x) with their block: each has as many points that follow each other on a Morton curve."""
+    first = points.select(F.size("x").alias("dims")).first()
+    dims = min(first["dims"], 20) if first else 0
+    if not dims:
+        return points.withColumn("block", F.lit(0))
+    ends = points.agg(*(f(F.get("x", F.lit(k))).alias(f"{name}{k}") for k in range(dims) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    lo, hi = (np.array([ends[f"{name}{k}"] for k in range(dims)]) for name in ("lo", "hi"))
+    bits = 60 // dims
+
+    @F.pandas_udf("long")
+    def code(x: pd.Series) -> pd.Series:
+        at = np.nan_to_num((_matrix(x)[:, :dims] - lo) / np.where(hi > lo, hi - lo, 1.0))
+        cell = np.minimum(at * 2.0**bits, 2.0**bits - 1).astype(np.int64)
+        return pd.Series(sum(((cell[:, k] >> j) & 1) << (j * dims + k) for k in range(dims) for j in range(bits)), dtype="int64")
+
+    placed = rewritten(points.withColumns({"order": F.struct(code("x").alias("code"), "n"), "one": F.lit(1)}))
+    return running_totals(placed, "order", {"i": "one"}).withColumn("block", F.floor((F.col("i") - 1) / block).cast("int")).drop("order", "one", "i")
+
+
+def gap(lo: str, hi: str, low: str, high: str) -> Column:
+    """Least distance of two boxes; rounded no higher than that of any two points in them."""
+    sides = F.zip_with(F.zip_with(low, hi, lambda p, q: p - q), F.zip_with(lo, high, lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+    return F.sqrt(F.aggregate(sides, F.lit(0.0), lambda total, t: total + t * t))
+
+
+def boxes(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, lo, hi: the box of each block's vectors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf[vector])
+        return pd.DataFrame({key: pdf[key].iloc[:1], "lo": [x.min(axis=0).tolist()], "hi": [x.max(axis=0).tolist()]})
+
+    return rows.select(key, vector).groupBy(key).applyInPandas(run, f"{key} int, lo array<double>, hi array<double>")
+
+
+def meet(guests: DataFrame, hosts: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, tasks: int) -> DataFrame:
+    """What ``run`` makes of the guests (to, n, ...) of each block of hosts (to, ...); very many guests come in several turns.
+
+    Rows are few for the work they make, so the number of tasks is given, not taken from their size.
+    """
+    came = rewritten(guests)
+    turns = rewritten(came.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / GUESTS).alias("turns")).withColumnRenamed("to", "__to"))
+    there = came.join(turns, F.col("to") == F.col("__to")).withColumn("turn", F.pmod(F.xxhash64("n"), "turns").cast("long")).drop("__to", "turns")
+    here = hosts.join(turns, F.col("to") == F.col("__to")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("__to", "turns")
+    there, here = (rows.repartition(tasks, "to", "turn").groupBy("to", "turn") for rows in (there, here))
+    return there.cogroup(here).applyInPandas(run, schema)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Distances of stretches of rows of a to all rows of b, with the first row's place; equal both ways to the last bit."""
-    step = max(1, (1 << 21) // max(b.size, 1))
+    step = max(1, (1 << 17) // max(len(b), 1))
     for i in range(0, len(a), step):
-        yield i, np.sqrt(((a[i : i + step, None] - b[None]) ** 2).sum(axis=2))
-
-
-def _sides(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-    """The two ways to look at a pair of blocks: from each side to the other, or once from a block to itself."""
-    same = pdf[pdf["side"] == 2]
-    if len(same):
-        yield same, same
-    else:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        yield a, b
-        yield b, a
+        d = np.zeros((len(a[i : i + step]), len(b)))
+        for k in range(b.shape[1]):
+            t = a[i : i + step, k, None] - b[None, :, k]
+            t *= t
+            d += t
+        yield i, np.sqrt(d, out=d)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float).reshape(len(column), -1)
 
 
-def core_distances(points: DataFrame, blocks: int, samples: list[int]) -> DataFrame:
+def _frame(parts: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    return pd.concat(parts) if parts else pd.DataFrame(columns=columns, dtype=object)  # objects become any type
+
+
+def core_distances(points: DataFrame, box: DataFrame, samples: list[int], tasks: int) -> DataFrame:
     """n, core: for each entry of ``samples`` the distance to the point's neighbour of that number, itself being the first."""
     most = max(samples)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for a, b in _sides(pdf):
-            y = _matrix(b["x"])
-            for i, d in distances(_matrix(a["x"]), y):
+        if len(a) and len(b):
+            for i, d in distances(_matrix(a["x"]), _matrix(b["x"])):
                 near = np.sort(np.partition(d, most - 1, axis=1)[:, :most] if d.shape[1] > most else d, axis=1)
                 out.append(pd.DataFrame({"n": a["n"].to_numpy()[i : i + len(d)], "near": near.tolist()}))
-        return pd.concat(out) if out else pd.DataFrame({"n": [], "near": []})
-
-    near = paired(points, blocks).groupBy("pair").applyInPandas(run, "n long, near array<double>")
-    merged = near.groupBy("n").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))  # most x blocks numbers a point
+        return _frame(out, ["n", "near"])
+
+    schema = "n long, near array<double>"
+    own = rewritten(points.select("n", "x", "block").repartition(tasks, "block").groupBy("block").applyInPandas(lambda pdf: nearest(pdf, pdf), schema))
+    # only what is nearer than the last one found in the own block can change it
+    bound = F.coalesce(F.get("near", F.lit(most - 1)), F.lit(float("inf")))
+    bounded = rewritten(points.select("n", "x", "block").join(own.select("n", bound.alias("bound")), "n").repartition(tasks, "block"))
+    looks = bounded.groupBy("block").agg(F.max("bound").alias("bound")).join(box, "block").select(F.col("block").alias("from"), "bound", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    ways = looks.join(F.broadcast(box.withColumnRenamed("block", "to")), (F.col("from") != F.col("to")) & (gap("__lo", "__hi", "lo", "hi") < F.col("bound")))  # one row a block
+    ways = rewritten(ways.select("from", "to", "lo", "hi"))
+    guests = bounded.join(ways, F.col("block") == F.col("from")).filter(gap("x", "x", "lo", "hi") < F.col("bound")).select("to", "n", "x")
+    hosts = points.select(F.col("block").alias("to"), "n", "x")
+    met = meet(guests, hosts, nearest, schema, tasks)
+    merged = own.unionByName(met).groupBy("n").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
     return merged.select("n", F.array(*(F.get("near", F.least(F.lit(k), F.size("near")) - 1) for k in samples)).alias("core"))
 
 
@@ -93,32 +146,61 @@ def _roots(ways: DataFrame) -> DataFrame:
             return now.withColumnRenamed("up", "root")
 
 
-def spanning_trees(points: DataFrame, count: int, blocks: int, settings: int) -> DataFrame:
+def spanning_trees(points: DataFrame, box: DataFrame, count: int, settings: int, tasks: int) -> DataFrame:
     """setting, a, b, distance: the minimum spanning tree by each setting's core distances. Of equally long edges the one with the smaller numbers goes first."""
     labels = points.select("n", F.array_repeat(F.col("n"), settings).alias("part"))
     edges: DataFrame | None = None
+    schema = "setting int, part long, distance double, a long, b long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for a, b in _sides(pdf):
+        if len(a) and len(b):
             na, nb, ca, cb, pa, pb = a["n"].to_numpy(), b["n"].to_numpy(), _matrix(a["core"]), _matrix(b["core"]), _matrix(a["part"]).astype(int), _matrix(b["part"]).astype(int)
+            looks = _matrix(a["looks"]).astype(bool) if "looks" in a else np.ones(pa.shape, bool)
+            looks &= (pa != pb[0]) | (pb != pb[0]).any(axis=0)  # not where all of b is of the own part
             for i, d in distances(_matrix(a["x"]), _matrix(b["x"])):
-                rows = slice(i, i + len(d))
                 for s in range(settings):
-                    far = np.maximum(np.maximum(d, ca[rows, s, None]), cb[None, :, s])
-                    far[pa[rows, s, None] == pb[None, :, s]] = np.inf
+                    at = np.flatnonzero(looks[i : i + len(d), s])
+                    if not len(at):
+                        continue
+                    here, part = na[i + at], pa[i + at, s]
+                    far = np.maximum(np.maximum(d[at], ca[i + at, s, None]), cb[None, :, s])
+                    far[part[:, None] == pb[None, :, s]] = np.inf
                     least = far.min(axis=1)
                     # of equally near points the one with the smallest number, and so the smallest edge of this point
                     to = np.where(far == least[:, None], nb[None], np.iinfo(np.int64).max).min(axis=1)
                     known = np.isfinite(least)
-                    here = na[rows][known]
-                    best = pd.DataFrame({"setting": s, "part": pa[rows, s][known], "distance": least[known], "a": np.minimum(here, to[known]), "b": np.maximum(here, to[known])})
+                    here, to = here[known], to[known]
+                    best = pd.DataFrame({"setting": s, "part": part[known], "distance": least[known], "a": np.minimum(here, to), "b": np.maximum(here, to)})
                     out.append(best.sort_values(["part", "distance", "a", "b"]).drop_duplicates("part"))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("setting", "part", "distance", "a", "b")})
+        return _frame(out, ["setting", "part", "distance", "a", "b"])
 
+    numbers = [F.lit(s) for s in range(settings)]
     while True:
-        now = paired(points.join(labels, "n"), blocks, "core", "part").groupBy("pair").applyInPandas(run, "setting int, part long, distance double, a long, b long")
-        best = now.groupBy("setting", "part").agg(F.min(F.struct("distance", "a", "b")).alias("e"))
+        now = rewritten(points.join(labels, "n").repartition(tasks, "block"))
+        own = now.repartition(tasks, "block").groupBy("block").applyInPandas(lambda pdf: nearest(pdf, pdf), schema)
+        own = rewritten(own.groupBy("setting", "part").agg(F.min(F.struct("distance", "a", "b")).alias("e")))
+        # a part looks no farther than the edge it has found within blocks; an equal one may go first
+        known = own.select(F.col("setting").alias("__s"), F.col("part").alias("__p"), F.col("e.distance").alias("__d"))
+        long = now.select("n", F.posexplode("part").alias("s", "p")).join(known, (F.col("s") == F.col("__s")) & (F.col("p") == F.col("__p")), "left")
+        bounds = long.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("s", F.coalesce("__d", F.lit(float("inf"))).alias("d")))).alias("b")).select("n", F.col("b.d").alias("bound"))
+        bounded = rewritten(now.join(bounds, "n").repartition(tasks, "block"))
+        state = [F.array(*(f(F.get(c, s)) for s in numbers)).alias(name) for name, f, c in (("most", F.max, "bound"), ("core_least", F.min, "core"), ("part_first", F.min, "part"), ("part_last", F.max, "part"))]
+        block = rewritten(bounded.groupBy("block").agg(*state).join(box, "block"))
+        other = block.select(F.col("block").alias("to"), "lo", "hi", F.col("core_least").alias("to_core"), F.col("part_first").alias("to_first"), F.col("part_last").alias("to_last"))
+        at = lambda c, s: F.get(c, s)
+        alike = lambda s: (at("part_first", s) == at("to_first", s)) & (at("part_last", s) == at("to_last", s)) & (at("part_first", s) == at("part_last", s))
+        near = F.col("block") != F.col("to")
+        some = F.exists(F.array(*numbers), lambda s: (F.col("__gap") <= at("most", s)) & ~alike(s))
+        ways = block.withColumnsRenamed({"lo": "__lo", "hi": "__hi"}).join(F.broadcast(other), near).withColumn("__gap", gap("__lo", "__hi", "lo", "hi")).filter(some)  # one row a block
+        ways = rewritten(ways.select(F.col("block").alias("from"), "to", "lo", "hi", "to_core", "to_first", "to_last"))
+        same = lambda s: (at("part", s) == at("to_first", s)) & (at("part", s) == at("to_last", s))
+        looks = F.transform(F.array(*numbers), lambda s: (F.greatest("__gap", at("core", s), at("to_core", s)) <= at("bound", s)) & ~same(s))
+        guests = bounded.join(ways, F.col("block") == F.col("from")).withColumn("__gap", gap("x", "x", "lo", "hi")).withColumn("looks", looks).filter(F.exists("looks", lambda x: x))
+        guests = guests.select("to", "n", "x", "core", "part", F.transform("looks", lambda x: x.cast("int")).alias("looks"))
+        hosts = now.select(F.col("block").alias("to"), "n", "x", "core", "part")
+        met = meet(guests, hosts, nearest, schema, tasks)
+        best = own.unionByName(met.groupBy("setting", "part").agg(F.min(F.struct("distance", "a", "b")).alias("e"))).groupBy("setting", "part").agg(F.min("e").alias("e"))
         best = rewritten(best.select("setting", "part", "e.*"))
         if best.isEmpty():
             return edges if edges is not None else best.select("setting", "a", "b", "distance")
@@ -244,26 +326,69 @@ def members(tree: DataFrame) -> DataFrame:
     return points.join(tops, (F.col("combo") == F.col("__k")) & (F.col("__in") == F.col("c"))).select("combo", "n", "cluster", (F.least("density", "most") / F.col("most")).alias("membership"))
 
 
-def silhouettes(points: DataFrame, blocks: int, found: DataFrame, combos: int) -> DataFrame:
-    """combo, silhouette: the mean over clustered points, of combos with two clusters or more; points alone in a cluster count 0."""
-    codes = F.map_from_entries(F.collect_list(F.struct("combo", "cluster")))
-    labelled = points.join(found.groupBy("n").agg(codes.alias("in")), "n").withColumn("labels", F.transform(F.sequence(F.lit(0), F.lit(combos - 1)), lambda c: F.coalesce(F.try_element_at("in", c.cast("int")), F.lit(-1).cast("long")))).drop("in")
+def silhouettes(points: DataFrame, box: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
+    """combo, silhouette: the mean over clustered points, of combos with two clusters or more; points alone in a cluster count 0.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    The mean distance to a cluster is no less than that to its centre, and no
+    more than that with the mean distance of its members to the centre added. So
+    a point meets its own cluster and those whose centre is nearer than the
+    least such sum, the first of which comes from the clusters of its block.
+    """
+    mine = rewritten(found.select("combo", "cluster", "n").join(points.select("n", "x", "block"), "n"))
+    dims = (mine.select(F.size("x").alias("d")).first() or {"d": 1})["d"]
+    centres = mine.groupBy("combo", "cluster").agg(F.count(F.lit(1)).alias("size"), F.min("block").alias("at"), F.array(*(F.avg(F.get("x", F.lit(k))) for k in range(dims))).alias("centre"))
+    centres = rewritten(centres.withColumnsRenamed({"combo": "__k", "cluster": "__c"}))
+    of = (F.col("combo") == F.col("__k")) & (F.col("cluster") == F.col("__c"))
+    spread = mine.join(centres, of).groupBy("__k", "__c").agg(F.avg(gap("x", "x", "centre", "centre")).alias("spread"))
+    centres = rewritten(centres.join(spread, ["__k", "__c"]))
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for a, b in _sides(pdf):
-            la, lb = (_matrix(t["labels"]).astype(np.int64) for t in (a, b))
-            known = [np.unique(lb[:, s], return_inverse=True) for s in range(combos)]
-            for i, d in distances(_matrix(a["x"]), _matrix(b["x"])):
-                for s, (names, at) in enumerate(known):
-                    sums = d @ np.eye(len(names))[at]
-                    r, c = np.nonzero((la[i : i + len(d), s, None] >= 0) & (names[None] >= 0))
-                    out.append(pd.DataFrame({"combo": s, "n": a["n"].to_numpy()[i + r], "own": la[i + r, s], "cluster": names[c], "total": sums[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("combo", "n", "own", "cluster", "total")})
-
-    sums = paired(labelled, blocks, "labels").groupBy("pair").applyInPandas(run, "combo int, n long, own long, cluster long, total double").groupBy("combo", "n", "own", "cluster").agg(F.sum("total").alias("total"))
-    sizes = rewritten(found.groupBy("combo", "cluster").agg(F.count(F.lit(1)).alias("size")))
-    each = sums.join(sizes, ["combo", "cluster"])
+        for _, g in pdf.groupby("combo"):
+            names, first = np.unique(g["cluster"].to_numpy(), return_index=True)
+            least, own = np.empty(len(g)), np.searchsorted(names, g["cluster"].to_numpy())
+            for i, d in distances(_matrix(g["x"]), _matrix(g["centre"])[first]):
+                d = d + g["spread"].to_numpy()[first]
+                d[np.arange(len(d)), own[i : i + len(d)]] = np.inf
+                least[i : i + len(d)] = d.min(axis=1)
+            out.append(g[["combo", "cluster", "n", "x", "block"]].assign(bound=least * (1 + 1e-9) + 1e-12))
+        return _frame(out, ["combo", "cluster", "n", "x", "block", "bound"])
+
+    kept = "combo int, cluster long, n long, x array<double>, block int"
+    bounded = rewritten(mine.join(centres, of).select("combo", "cluster", "n", "x", "block", "centre", "spread").repartition(tasks, "block").groupBy("block").applyInPandas(bound, f"{kept}, bound double"))
+    # centres lie in groups of their own, by the first block of their members
+    around = boxes(centres, "at", "centre").withColumnsRenamed({"at": "to"})
+    looks = bounded.groupBy("block").agg(F.max("bound").alias("most")).join(box.withColumnsRenamed({"lo": "__lo", "hi": "__hi"}), "block").withColumnRenamed("block", "from")
+    ways = rewritten(looks.join(F.broadcast(around), gap("__lo", "__hi", "lo", "hi") <= F.col("most")).select("from", "to", "lo", "hi"))  # one row a block
+    guests = bounded.join(ways, F.col("block") == F.col("from")).filter(gap("x", "x", "lo", "hi") <= F.col("bound")).select("to", "combo", "cluster", "n", "x", "bound")
+    hosts = centres.select(F.col("at").alias("to"), F.col("__k").alias("combo"), F.col("__c").alias("cluster"), "centre")
+
+    def candidates(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for combo, g in a.groupby("combo"):
+            other = b[b["combo"] == combo]
+            names, own = other["cluster"].to_numpy(), g["cluster"].to_numpy()
+            for i, d in distances(_matrix(g["x"]), _matrix(other["centre"])) if len(other) else ():
+                r, c = np.nonzero((d <= g["bound"].to_numpy()[i : i + len(d), None]) & (names[None] != own[i : i + len(d), None]))
+                out.append(pd.DataFrame({"combo": combo, "n": g["n"].to_numpy()[i + r], "own": own[i + r], "cluster": names[c]}))
+        return _frame(out, ["combo", "n", "own", "cluster"])
+
+    met = meet(guests, hosts, candidates, "combo int, n long, own long, cluster long", tasks)
+    wanted = rewritten(met.unionByName(mine.select("combo", "n", F.col("cluster").alias("own"), "cluster")).join(points.select("n", "x"), "n"))
+    places = rewritten(mine.select(F.col("combo").alias("__k"), F.col("cluster").alias("__c"), F.col("block").alias("to")).distinct())
+    guests = wanted.join(places, of).select("to", "combo", "n", "own", "cluster", "x")
+    hosts = mine.select(F.col("block").alias("to"), "combo", "cluster", "x")
+
+    def totals(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, members = [], {k: _matrix(g["x"]) for k, g in b.groupby(["combo", "cluster"])}
+        for key, g in a.groupby(["combo", "cluster"]) if len(a) else ():
+            if key in members:
+                total = np.concatenate([d.sum(axis=1) for _, d in distances(_matrix(g["x"]), members[key])])
+                out.append(g[["combo", "n", "own", "cluster"]].assign(total=total))
+        return _frame(out, ["combo", "n", "own", "cluster", "total"])
+
+    sums = meet(guests, hosts, totals, "combo int, n long, own long, cluster long, total double", tasks).groupBy("combo", "n", "own", "cluster").agg(F.sum("total").alias("total"))
+    each = sums.join(centres.select("__k", "__c", "size"), of)
     same = F.col("own") == F.col("cluster")
     near = each.groupBy("combo", "n").agg(F.max(F.when(same & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"), F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"))
     value = F.when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
@@ -284,16 +409,17 @@ def density_grid(vectors: DataFrame, key: str, vector: str, grid: list[tuple[int
     numbered = running_totals(rows.withColumns({"order": F.struct("key", "x"), "one": F.lit(1)}), "order", {"i": "one"})
     points = rewritten(numbered.select((F.col("i") - 1).cast("long").alias("n"), "key", "x"))
     count = points.count()
-    blocks = max(1, -(-count // block))
     samples = sorted({ms or size for size, ms in grid})
     sizes = [(size, samples.index(ms or size)) for size, ms in grid]
-    points = points.withColumn("block", (F.col("n") % blocks).cast("int"))
-    with_core = rewritten(points.join(core_distances(points, blocks, samples), "n"))
-    tree = rewritten(condensed(spanning_trees(with_core, count, blocks, len(samples)), count, sizes, stretch)) if count > 1 else vectors.sparkSession.createDataFrame([], _OUT)
+    points = rewritten(along_curve(points, block))
+    tasks = max(1, -(-count // (2 * block)))
+    box = rewritten(boxes(points, "block", "x"))
+    with_core = rewritten(points.select("n", "x", "block").join(core_distances(points, box, samples, tasks), "n"))
+    tree = rewritten(condensed(spanning_trees(with_core, box, count, len(samples), tasks), count, sizes, stretch)) if count > 1 else vectors.sparkSession.createDataFrame([], _OUT)
     found = rewritten(members(tree))
     per = found.groupBy("combo").agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("clustered"), F.avg("membership").alias("membership"))
     settings = vectors.sparkSession.createDataFrame([(c, size, ms) for c, (size, ms) in enumerate(grid)], "combo int, min_cluster_size int, min_samples int")
-    per = settings.join(per, "combo", "left").join(silhouettes(points, blocks, found, len(grid)), "combo", "left")
+    per = settings.join(per, "combo", "left").join(silhouettes(points, box, found, tasks), "combo", "left")
     clusters, clustered = F.coalesce("clusters", F.lit(0)), F.coalesce("clustered", F.lit(0))
     scored = rewritten(per.withColumns({"clusters": clusters, "clustered": clustered, "noise": F.lit(count) - clustered, "coverage": clustered / F.lit(max(count, 1)), "membership": F.coalesce("membership", F.lit(0.0))}))
     scored = scored.withColumn("score", F.coalesce(F.col("silhouette") * F.col("coverage"), F.lit(-1.0)))

@@ -127,3 +127,16 @@ def test_copies_and_few_points(spark):
     rows = [(i, [float(i // 10)]) for i in range(30)]  # three groups of ten copies
     scores, _ = density.density_grid(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", [(5, 3)], block=7, stretch=8)
     assert (scores.first()["clusters"], scores.first()["noise"]) == (3, 0)
+
+
+def test_no_point_looks_into_far_blocks(spark, monkeypatch):
+    x = np.concatenate([np.random.default_rng(3).normal(size=(40, 3)) + at for at in (0.0, 1000.0)])
+    points = density.along_curve(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "n long, x array<double>"), 20)
+    box, came, plain = density.boxes(points, "block", "x"), [], density.meet
+    blocks = {r["n"]: r["block"] for r in points.collect()}
+    assert max(blocks.values()) == 3 and {i // 40 for i, b in blocks.items() if b < 2} in ({0}, {1})
+    monkeypatch.setattr(density, "meet", lambda guests, *a: came.append(guests) or plain(guests, *a))
+    got = {r["n"]: r["core"] for r in density.core_distances(points, box, [1, 4], 2).collect()}
+    assert all(blocks[r["n"]] // 2 == r["to"] // 2 for r in came[0].collect())
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
+    assert all(abs(got[i][0]) < 1e-12 and abs(got[i][1] - d[i, 3]) < 1e-12 for i in range(80))
