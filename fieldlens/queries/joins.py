@@ -126,7 +126,7 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
     FROM samples a, {SUPPLIERS} b WHERE abs(a.lat - b.lat) < 4) WHERE distance <= 300000""")
 def points_within(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of points of two tables at most 300 km apart."""
-    near = J.within_distance(T.samples(spark, d).select(F.col("sample_id").alias("id"), "lat", "lon"), suppliers(spark, d), 300_000)
+    near = J.pairs_within(T.samples(spark, d).select(F.col("sample_id").alias("id"), "lat", "lon"), suppliers(spark, d), 300_000)
     return near.select("a_id", "b_id", F.round("distance_m", 2).alias("distance"))
 
 
@@ -139,8 +139,7 @@ def nearest_points(spark: SparkSession, d: str) -> DataFrame:
 @query("q_matched_pairs")
 def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Greedy one-to-one matching of nearby points of two tables, nearest first. Held against a sequential version in tests."""
-    near = J.within_distance(T.samples(spark, d).select(F.col("sample_id").alias("id"), "lat", "lon"), suppliers(spark, d), 300_000)
-    return J.mutual_pairs(near, "a_id", "b_id", "distance_m")
+    return J.matched_within(T.samples(spark, d).select(F.col("sample_id").alias("id"), "lat", "lon"), suppliers(spark, d), 300_000)
 
 
 @query("q_portable_diff", """

@@ -257,3 +257,19 @@ def test_drawn_rows_equal_a_loop_in_tasks_of_bounded_size(spark):
     assert 3_000_000 * 200 / parts <= learn.DRAWN
     plan = learn.resampled(spark.range(10).select(F.col("id").alias("i")), 10, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_points_at_one_place_meet_and_match_as_single_ones(spark):
+    rng = random.Random(8)
+    make = lambda n: [(i, 50.0 + rng.randint(0, 2), 30.0 + rng.randint(0, 3) + shift) for shift in (n / 100,) for i in range(n)]
+    frames = [spark.createDataFrame(make(n), "id int, lat double, lon double") for n in (40, 25)]
+    plain = {(r["a_id"], r["b_id"]): r["distance_m"] for r in joins.within_distance(*frames, 150_000).collect()}
+    got = joins.pairs_within(*frames, 150_000).collect()
+    assert {(r["a_id"], r["b_id"]): r["distance_m"] for r in got} == plain and len(got) == len(plain) > 300
+    used, wanted = (set(), set()), set()
+    for _, i, j in sorted((d, *k) for k, d in plain.items()):
+        if i not in used[0] and j not in used[1]:
+            used[0].add(i)
+            used[1].add(j)
+            wanted.add((i, j))
+    assert {(r["a_id"], r["b_id"]) for r in joins.matched_within(*frames, 150_000).collect()} == wanted
