@@ -166,19 +166,28 @@ def reject_rules(rows: DataFrame, probability: str, truth: Column, known: str, b
 def pair_sweep(a: DataFrame, b: DataFrame, kilometres: list[float], years: list[int]) -> DataFrame:
     """For each distance and gap in years: pairs of points (id, lat, lon, year) of two tables, and how many a one-to-one matching by distance takes.
 
-    Pairs are made once, for the largest distance; all matchings go on together, a combination being part of the ids.
+    Points at one place count together. A matching takes the nearest first, so
+    those of smaller distances are the first pairs of that of the largest.
     """
     from fieldlens.operators import joins as J
 
-    near = J.within_distance(a.select("id", "lat", "lon"), b.select("id", "lat", "lon"), max(kilometres) * 1000.0)
-    dated = near.join(a.select(F.col("id").alias("x"), F.col("year").alias("xy")), F.col("a_id") == F.col("x")).join(b.select(F.col("id").alias("y"), F.col("year").alias("yy")), F.col("b_id") == F.col("y"))
-    grid = F.array(*(F.struct(F.lit(float(k)).alias("max_km"), F.lit(g).alias("max_years")) for k in kilometres for g in years))
-    fits = (F.col("distance_m") <= F.col("c.max_km") * 1000.0) & (F.abs(F.col("xy") - F.col("yy")) <= F.col("c.max_years"))
-    each = materialize(dated.withColumn("c", F.explode(grid)).filter(fits).select("c", F.struct("c", "a_id").alias("a"), F.struct("c", "b_id").alias("b"), "distance_m"))
-    counts = each.groupBy("c").agg(F.count(F.lit(1)).alias("pairs"))
-    unique = J.mutual_pairs(each.select("a", "b", "distance_m"), "a", "b", "distance_m").groupBy(F.col("a.c").alias("k")).agg(F.count(F.lit(1)).alias("unique_pairs"))
-    every = a.sparkSession.range(1).select(F.explode(grid).alias("g")).join(counts, F.col("g") == F.col("c"), "left").join(unique, F.col("g") == F.col("k"), "left")
-    return every.select("g.max_km", "g.max_years", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("unique_pairs", F.lit(0)).alias("unique_pairs"))
+    most = max(kilometres) * 1000.0
+    sides = []
+    for rows in (a, b):
+        per = rows.groupBy("lat", "lon", "year").agg(F.count(F.lit(1)).alias("n")).groupBy("lat", "lon").agg(F.collect_list(F.struct("year", "n")).alias("id"))
+        sides.append(per.select("id", "lat", "lon"))
+    near = J.within_distance(*sides, most).select(F.explode("a_id").alias("a"), "b_id", "distance_m").select("a", F.explode("b_id").alias("b"), "distance_m")
+    grid = [(float(k), g) for k in kilometres for g in years]
+    fits = [(F.col("distance_m") <= k * 1000.0) & (F.abs(F.col("a.year") - F.col("b.year")) <= g) for k, g in grid]
+    sums = near.agg(*(F.coalesce(F.sum(F.when(fit, F.col("a.n") * F.col("b.n"))), F.lit(0)).alias(f"n{i}") for i, fit in enumerate(fits)))
+    counts = sums.select(F.inline(F.array(*(F.struct(F.lit(k).alias("max_km"), F.lit(g).alias("max_years"), F.col(f"n{i}").alias("pairs")) for i, (k, g) in enumerate(grid)))))
+    unique = None
+    for g in sorted(set(years)):
+        taken = J.matched_within(a, b, most, g)
+        row = taken.agg(*(F.count(F.when(F.col("distance_m") <= k * 1000.0, 1)).alias(f"n{i}") for i, k in enumerate(kilometres)))
+        row = row.select(F.inline(F.array(*(F.struct(F.lit(float(k)).alias("km"), F.lit(g).alias("gap"), F.col(f"n{i}").alias("unique_pairs")) for i, k in enumerate(kilometres)))))
+        unique = row if unique is None else unique.unionByName(row)
+    return counts.join(F.broadcast(unique), (F.col("max_km") == F.col("km")) & (F.col("max_years") == F.col("gap"))).select("max_km", "max_years", "pairs", "unique_pairs")  # a row of each combination
 
 
 def artifact_status(wanted: DataFrame, found: DataFrame, key: str, identity: list[str]) -> DataFrame:
